@@ -125,13 +125,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the words [^\\x20\\x09-\\x0D]+; words don't cross rows."""
+#: all ASCII but letters and digits
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[:128] = True
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the runs of bytes that aren't `between` words (by default
+    [^\\x20\\x09-\\x0D]+); words don't cross rows."""
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    inside = ~SPACE[data]
+    inside = ~between[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     before = np.empty(n, bool)
