@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, packing, secrets, simple8b, toxicity, url_filter
+from . import decontaminate, exact_dedup, language_id, packing, quality, secrets, simple8b, toxicity, url_filter
 from .shared import table
 
 
@@ -73,6 +73,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the line chains; labels are learned from where they aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    field = quality.train(docs.filter(_remainder(3) != 1), table(spark, sf_dir, "labels").filter(_remainder(3) != 1))
+    return quality.scored(docs, field).select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simple8b": op2_simple8b,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
