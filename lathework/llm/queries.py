@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, packing, quality, secrets, simple8b, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, simple8b, toxicity, url_filter
 from .shared import table
 
 
@@ -42,6 +42,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, size=1024)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of 3-word shingles reach a Jaccard similarity of 0.9."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against a dated list. The table has no fetch day, so page_id gives one."""
     pages = table(spark, sf_dir, "pages")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simple8b": op2_simple8b,
     "op3_packing": op3_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
