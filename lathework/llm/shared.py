@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Arrow batches of at most so many rows, and bytes where Spark can: long texts would make default ones large.
+    A session's smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).strip("bB").lstrip("-").isdigit() or int(str(now).strip("bB")) <= 0 or int(str(now).strip("bB")) > most:
+            spark.conf.set(key, str(most))
+
+
 #: Rows of a key table that may be broadcast: two keys of eight bytes each, some 100 MB as a hash table.
 BROADCAST_ROWS = 1_000_000
 
