@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, span_hash, string_bytes, word_spans
+from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, string_bytes, word_spans
 
 K1, B = 1.2, 0.75
 #: A passage must reach this share of an item's score for its own text.
@@ -204,6 +204,7 @@ def _passes(benchmark: DataFrame):
 
 
 def _rows_with(docs: DataFrame, parts: list[Part]):
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(parts)
     step = longest(parts)
 

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .shared import row_blocks, string_bytes
+from .shared import row_blocks, small_batches, string_bytes
 
 #: Labelled text that an automaton is built from: characters of a language, documents taken for it,
 #: characters of one document. More labelled rows than these aren't fitted on.
@@ -198,8 +199,9 @@ def predictions(docs: DataFrame, model: Model, keep: list[str] | None = None) ->
     Null text and text without a letter: `und`, score 0. Only the text is looked at.
     """
     keep = keep or ["doc_id"]
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def judge(batches):
         for batch in batches:
@@ -217,6 +219,7 @@ def predictions(docs: DataFrame, model: Model, keep: list[str] | None = None) ->
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs in a language that the model can name, with all their columns; no shuffle."""
+    small_batches(docs.sparkSession)
     sent, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def kept(batches):

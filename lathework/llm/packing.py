@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import spread, string_bytes, written
+from .shared import small_batches, spread, string_bytes, written
 from .simple8b import encoder_of
 
 SIZE = 1024
@@ -32,6 +32,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, m
     Null text counts as empty: its piece is the end id alone. Repeated rows give pieces each.
     """
 
+    small_batches(docs.sparkSession)
+
     def cut(batches):
         enc = encoder_of(tokenizer, True, mark)
         for batch in batches:

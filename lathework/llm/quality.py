@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, row_blocks, running_hash, span_hash, string_bytes, word_spans
+from .shared import LOWER, SPACE, row_blocks, running_hash, small_batches, span_hash, string_bytes, word_spans
 
 #: Labelled rows that the field is fitted on, at most, of texts of at most so many characters.
 FIT_ROWS, FIT_CHARS = 4000, 20_000
@@ -230,6 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Field:
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id and score of each row: 0 to 1, higher for good. Null counts as empty: no line, the chain's own chance."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def judge(batches):

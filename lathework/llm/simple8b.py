@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunked_bpe import ChunkedEncoder
-from .shared import row_blocks, spread, string_bytes, written
+from .shared import small_batches, spread, string_bytes, written
 
 #: Fixed values of the format, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -152,6 +152,8 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
+    small_batches(docs.sparkSession)
+
     def shard(batches):
         enc = encoder_of(tokenizer, False, mark)
         shard_id, record, first = TaskContext.get().partitionId(), 0, 0

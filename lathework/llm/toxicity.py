@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, span_hash, string_bytes, word_spans
+from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, string_bytes, word_spans
 
 #: Rows that the classifier is fitted on, at most: confirmed toxic ones and unlabelled ones; of texts of
 #: at most so many characters.
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each row: 0 to 1, higher for toxic. Null counts as empty, which scores by the bias alone."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):

@@ -1,4 +1,8 @@
-"""Reports: grouped means of scores. Keys are languages and types, so partial sums do the work."""
+"""Reports: grouped means of scores. Keys are languages and types, so partial sums do the work.
+
+The overall row comes from the groups' sums, so it is there without any score too, and the scores are
+computed once: both parts of a report share the groups' shuffle.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +12,24 @@ from pyspark.sql import functions as F
 from ..functions.text import rounded
 
 
-def _mean(column: Column | str, places: int | None) -> Column:
-    mean = F.avg(column)
+def _placed(mean: Column, places: int | None) -> Column:
     return mean if places is None else rounded(mean, places)
 
 
+def _both(groups: DataFrame, keys: list[str], sums: dict[str, str], places: int | None) -> DataFrame:
+    """scope, keys, count and a mean for each sum, by group and overall."""
+    means = lambda n: [_placed(F.when(n > 0, F.col(s) / n), places).alias(name) for s, name in sums.items()]
+    each = groups.filter("count > 0").select(F.lit("language").alias("scope"), *keys, "count", *means(F.col("count")))
+    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), *(F.sum(s).alias(s) for s in sums))
+    return each.unionAll(total.select(F.lit("overall").alias("scope"), *(F.lit(None).cast("string").alias(k) for k in keys), "count", *means(F.col("count"))))
+
+
 def ocr_report(scored: DataFrame, places: int | None = 3) -> DataFrame:
-    """scope (overall, language), language, count, avg_anls_word, avg_anls_char in one pass; rows without a score aren't counted."""
+    """scope (overall, language), language, count, avg_anls_word, avg_anls_char; rows without a score aren't counted."""
     # rows without a score drop out of the sums; a filter here would be pushed below and compute scores twice
     both = F.col("anls_word").isNotNull() & F.col("anls_char").isNotNull()
-    mean = lambda c: _mean(F.when(both, F.col(c)), places).alias(f"avg_{c}")
-    grouped = scored.groupingSets([["language"], []], "language").agg(F.grouping("language").alias("g"), F.count(F.when(both, 1)).alias("count"), mean("anls_word"), mean("anls_char"))
-    return grouped.filter("g = 1 OR count > 0").select(F.when(F.col("g") == 1, "overall").otherwise("language").alias("scope"), "language", "count", "avg_anls_word", "avg_anls_char")
+    groups = scored.groupBy("language").agg(F.count(F.when(both, 1)).alias("count"), *(F.sum(F.when(both, F.col(c))).alias(f"sum_{c}") for c in ("anls_word", "anls_char")))
+    return _both(groups, ["language"], {"sum_anls_word": "avg_anls_word", "sum_anls_char": "avg_anls_char"}, places)
 
 
 def typed_report(scores: DataFrame, total: DataFrame | int, value: str = "score", places: int | None = 3) -> DataFrame:
@@ -27,16 +37,18 @@ def typed_report(scores: DataFrame, total: DataFrame | int, value: str = "score"
 
     Null scores are in no group. total: rows of the input, scored or not, that the overall row carries.
     """
-    rows = scores.filter("score IS NOT NULL")
-    grouped = rows.groupingSets([["language", "question_type"], []], "language", "question_type").agg(F.grouping_id().alias("g"), F.count("*").alias("count"), _mean("score", places).alias(value))
-    n = F.lit(total) if isinstance(total, int) else F.col("total_data_points")
-    out = grouped if isinstance(total, int) else grouped.crossJoin(F.broadcast(total.agg(F.count("*").alias("total_data_points"))))  # one row
-    return out.select(F.when(F.col("g") == 3, "overall").otherwise("language").alias("scope"), "language", "question_type", "count", value, F.when(F.col("g") == 3, n).alias("total_data_points"))
+    groups = scores.groupBy("language", "question_type").agg(F.count("score").alias("count"), F.sum("score").alias("sum_score"))
+    out = _both(groups, ["language", "question_type"], {"sum_score": value}, places)
+    n = F.lit(total).cast("long") if isinstance(total, int) else F.col("total_data_points")
+    out = out if isinstance(total, int) else out.join(F.broadcast(total.agg(F.count("*").alias("total_data_points"))))  # one row
+    return out.select("scope", "language", "question_type", "count", value, F.when(F.col("scope") == "overall", n).alias("total_data_points"))
 
 
 def mmt_report(scored: DataFrame) -> DataFrame:
     """target_language, count, avg_bleu, avg_ribes over rows that have both; not rounded."""
-    return scored.filter("bleu IS NOT NULL AND ribes IS NOT NULL").groupBy("target_language").agg(F.count("*").alias("count"), F.avg("bleu").alias("avg_bleu"), F.avg("ribes").alias("avg_ribes"))
+    both = F.col("bleu").isNotNull() & F.col("ribes").isNotNull()
+    groups = scored.groupBy("target_language").agg(F.count(F.when(both, 1)).alias("count"), F.avg(F.when(both, F.col("bleu"))).alias("avg_bleu"), F.avg(F.when(both, F.col("ribes"))).alias("avg_ribes"))
+    return groups.filter("count > 0")
 
 
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
