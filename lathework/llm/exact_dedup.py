@@ -49,7 +49,8 @@ def digest() -> Column:
 def decisions(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     rows = docs.select("doc_id", digest().alias("text_sha256"))
-    both = rows.join(duplicate_groups(docs, prefix), "text_sha256", "left")
+    groups = written(duplicate_groups(docs, prefix), "groups")
+    both = rows.join(F.broadcast(groups) if few_enough(groups) else groups, "text_sha256", "left")
     return both.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("group_size").isNull() | F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"), "text_sha256")
 
 
