@@ -51,7 +51,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against a dated list. The table has no fetch day, so page_id gives one."""
     pages = table(spark, sf_dir, "pages")
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")).alias("fetched"))
-    return url_filter.judged(captures, url_filter.derived_entries(pages)).withColumnRenamed("capture_id", "page_id")
+    return url_filter.judged(captures, url_filter.derived_entries(pages)).withColumnRenamed("capture_id", "page_id").withColumn("fetched", F.col("fetched").cast("string"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT host, fetched, count(*) AS n_entries, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories
             FROM keyed JOIN valid ON keyed.domain = valid.domain AND action = 'add' AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
             GROUP BY host, fetched)
-        SELECT page_id, c.host, c.fetched, n_entries IS NOT NULL AS blocked, coalesce(n_entries, 0) AS n_entries, coalesce(categories, '') AS categories
+        SELECT page_id, c.host, CAST(c.fetched AS VARCHAR) AS fetched, n_entries IS NOT NULL AS blocked, coalesce(n_entries, 0) AS n_entries, coalesce(categories, '') AS categories
         FROM captures c LEFT JOIN verdict v ON c.host = v.host AND c.fetched = v.fetched
     """,
     "op7_exact_dedup": """
