@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, string_bytes, word_spans
+from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, string_bytes, tidy, word_spans
 
 #: Rows that the classifier is fitted on, at most: confirmed toxic ones and unlabelled ones; of texts of
 #: at most so many characters.
 POSITIVES, UNLABELLED, FIT_CHARS = 2000, 12_000, 10_000
 FEATURES = 512
-#: Least ratio of a feature's rates in toxic and in unlabelled text.
-LEAST_GAIN = 3.0
+#: Least ratio of a feature's rates in toxic and in unlabelled text, as a share of the largest that the class
+#: prior allows (1 / prior), and in itself.
+GAIN_SHARE, LEAST_GAIN = 0.3, 1.5
 #: Bytes of the beginnings of words that are features.
 HEADS = (4, 5)
 STEPS, RATE, DECAY = 300, 0.05, 1e-5
@@ -117,9 +118,9 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     for _, data, offsets in _bytes(unlabelled):
         in_unlabelled += np.bincount(known(keys, data, offsets)[1], minlength=len(keys))
     # bounds of the counts, so that a word that is rare by chance isn't taken for a sign
-    low = np.maximum(in_positive - 1.5 * np.sqrt(in_positive), 0.02 * len(positive) if len(positive) < 100 else 0) / len(positive)
+    low = (in_positive - 1.5 * np.sqrt(in_positive)) / len(positive)
     high = (in_unlabelled + 1.5 * np.sqrt(in_unlabelled) + 1) / len(unlabelled)
-    chosen = np.flatnonzero(low / high >= LEAST_GAIN)
+    chosen = np.flatnonzero(low / high >= max(LEAST_GAIN, GAIN_SHARE / prior))
     chosen = np.sort(chosen[np.argsort(-in_positive[chosen], kind="stable")[:FEATURES]])
     keys = keys[chosen]
 
@@ -185,4 +186,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             parts = [sent.value.scores(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) for low, high in row_blocks(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(judge, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(judge), "doc_id long, score double")
