@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..dims import OPTION_LETTERS, STATE_LANGUAGE, TARGET_LANGUAGES
 from ..functions.prompts import JUDGE_KINDS
-from .queries import _CORRECTIONS_SQL, _STRUCTURED_SQL, _digit_sql, _lang_sql
+from .queries import _CORRECTIONS_SQL, _STRUCTURED_SQL, _lang_sql
 
 _TARGETS = "[" + ", ".join(f"'{x}'" for x in TARGET_LANGUAGES) + "]"
 _STATES = "[" + ", ".join(f"'{x}'" for x in sorted(STATE_LANGUAGE)) + "]"
@@ -131,4 +131,3 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_OPEN} SELECT question_type, CAST(sum(length({_RULE} || chr(10) || 'Question: Why?' || chr(10) || 'Reference: ' || reference || chr(10) || 'Answer: x' || chr(10) || 'Reply with a number from 0 to 10 alone.')) AS BIGINT) AS length
         FROM rows GROUP BY question_type""",
 }
-del _digit_sql

@@ -11,15 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import OPTION_LETTERS, STATE_LANGUAGE, TARGET_LANGUAGES, TRUE_FALSE_SYNONYMS, TRUE_FALSE_WORDS
+from ..dims import OPTION_LETTERS, STATE_LANGUAGE, TARGET_LANGUAGES, TRUE_FALSE_WORDS
 from ..functions.bleu import bleu_score
 from ..functions.edit import char_error, token_distance, vocabulary_of
 from ..functions.html import element_text, image_url, proofread
-from ..functions.normalize import judge_score, option_letter, option_score, true_false_score
+from ..functions.normalize import judge_score, option_letter
 from ..functions.prompts import judge_prompt, translation_prompt, vqa_prompt
 from ..functions.replies import line_fields, option_list, qa_fields
 from ..functions.ribes import ribes_score
-from ..functions.text import join_path, mime_type, path_part, quote_title, title_url, tokens, unfenced, untouched_if_blank, url_language
+from ..functions.text import join_path, mime_type, path_part, title_url, tokens, unfenced, untouched_if_blank, url_language
 from ..operators import lookups, reports, reshape, sampling, unions
 from ..operators.projections import option_line, published, with_defaults, with_path_parts
 from . import evaluate

@@ -97,11 +97,10 @@ def judged(long: DataFrame, make: Callable[[], Provider], attempts: int = 3) ->
     return sent.withColumn("score", judge_score(F.col("_judge"))).drop("_prompt", "_judge", "_judge_error")
 
 
-def translated(rows: DataFrame, key: str, fields: list[str], make: Callable[[], Provider], language: str, attempts: int = 3) -> DataFrame:
+def translated(rows: DataFrame, fields: list[str], make: Callable[[], Provider], language: str, attempts: int = 3) -> DataFrame:
     """rows with their fields translated, each by itself; a blank field stays, a failed one keeps the original.
 
-    failed_fields lists those that failed. Fields become rows for the model and are put back within the
-    task, by one struct a row, so nothing is shuffled.
+    failed_fields lists those that failed. A row's fields go to the model within its task; nothing is shuffled.
     """
     schema = StructType([*rows.schema.fields, StructField("failed_fields", ArrayType(StringType()))])
 
@@ -126,7 +125,6 @@ def translated(rows: DataFrame, key: str, fields: list[str], make: Callable[[],
                 pdf[f] = pd.Series(values, dtype="object", index=pdf.index)
             yield pdf.assign(failed_fields=pd.Series(failed, index=pdf.index))
 
-    del key
     return rows.mapInPandas(work, schema)
 
 

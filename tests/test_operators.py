@@ -130,3 +130,31 @@ def test_stream_resumes(spark, tmp_path):
         incremental.score_stream(spark, source, schema, evaluate.score_ocr, sink, mark)
         assert spark.read.parquet(sink).count() == i + 1
     assert spark.read.parquet(sink).select("anls_word").distinct().collect()[0][0] == 50.0
+
+
+def test_translation_keeps_what_fails(spark):
+    def make():
+        def model(asked):
+            if "bad" in asked[0][0]:
+                raise RuntimeError("no")
+            return ["T"]
+
+        return model
+
+    rows = spark.createDataFrame([("1", "x", "bad", " ", None)], "id string, a string, b string, c string, d string")
+    got = providers.translated(rows, ["a", "b", "c", "d"], make, "Hindi").first()
+    assert (got.a, got.b, got.c, got.d, got.failed_fields) == ("T", "bad", " ", None, ["b"])
+
+
+def test_sections_become_one_text(spark):
+    boxes = spark.createDataFrame([("p", 2, "i2"), ("p", 1, "i1"), ("p", 3, "")], "page string, place int, image_path string")
+    make = lambda: lambda asked: [f"{asked[0][1]}<br>x" if asked[0][1] else " "]
+    assert [tuple(r) for r in providers.sections(boxes, "page", "place", make).collect()] == [("p", "i1\nx\ni2\nx")]
+
+
+def test_unknown_model_is_an_error():
+    import pytest
+
+    with pytest.raises(ValueError, match="no model named"):
+        providers.maker("nothing")
+    assert providers.maker("STUB") is providers.stub
