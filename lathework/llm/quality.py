@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, row_blocks, running_hash, small_batches, span_hash, string_bytes, word_spans
+from .shared import LOWER, SPACE, row_blocks, running_hash, small_batches, span_hash, string_bytes, tidy, word_spans
 
 #: Labelled rows that the field is fitted on, at most, of texts of at most so many characters.
 FIT_ROWS, FIT_CHARS = 4000, 20_000
@@ -184,7 +184,11 @@ def _edges(values: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: list[int]) -> Field:
     """A field from documents and their labels; without both kinds of label every score is a half."""
     data, offsets, _ = string_bytes(pa.array(texts, pa.string()))
-    features, rows, _ = line_features(data, offsets)
+    parts = []
+    for low, high in row_blocks(offsets):
+        part, of, _ = line_features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        parts.append((part, of + low))
+    features, rows = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, 12)), np.zeros(0, np.int64))
     width = features.shape[1]
     edges = np.stack([_edges(features[:, k]) for k in range(width)])
     field = Field(edges, np.zeros((3, width, BINS + 1)), np.zeros((2, 2)), np.zeros(1))
@@ -239,4 +243,4 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
             parts = [sent.value.scores(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) for low, high in row_blocks(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(judge, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(judge), "doc_id long, score double")
