@@ -9,6 +9,7 @@ outside ASCII, final sigma) are encoded whole by the library.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -21,6 +22,8 @@ _WHOLE = re.compile("<\\||[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u
 _SIGNS = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xce\xa3")
 
 
+#: Bytes of text encoded together.
+ENCODE_BYTES = 200_000
 #: Chunks given to the library as one string, with a special token between them.
 JOINED = 256
 #: A letter before one of these marks always ends a chunk.
@@ -45,6 +48,7 @@ class ChunkedEncoder:
     mark: a special token of the vocabulary; it only stands between chunks given to the library together."""
 
     def __init__(self, path: str, keep_space: bool, mark: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -102,9 +106,9 @@ class ChunkedEncoder:
         self.keys = np.insert(self.keys, where, keys)
         self.ids = np.concatenate([self.ids, flat])
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray):
+    def encode(self, data: np.ndarray, offsets: np.ndarray, most: int = ENCODE_BYTES):
         """Yields (first row, end row, ids, ids' offsets by row) for runs of rows."""
-        for low, high in row_blocks(offsets):
+        for low, high in row_blocks(offsets, most):
             yield low, high, *self._block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
 
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, string_bytes, word_spans
+from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, string_bytes, tidy, word_spans
 
 K1, B = 1.2, 0.75
 #: A passage must reach this share of an item's score for its own text.
@@ -29,6 +29,8 @@ SHINGLE = 5
 BLOCK_ITEMS = 8
 #: Items of one index part, and words of an item; a longer item is indexed as several.
 PART_ITEMS, ITEM_WORDS = 256, 512
+#: Bytes of text searched together.
+SEARCH_BYTES = 250_000
 #: Items that are sent to executors together; more items take more passes over the documents.
 PASS_ITEMS = 8192
 
@@ -210,7 +212,7 @@ def _rows_with(docs: DataFrame, parts: list[Part]):
 
     def of(column):
         data, offsets, _ = string_bytes(column)
-        for low, high in row_blocks(offsets):
+        for low, high in row_blocks(offsets, SEARCH_BYTES):
             for row, *rest in matches(sent.value, step, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]):
                 yield low + row, *rest
 
@@ -235,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     row, item, score, q, a = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(score), pa.array(q), pa.array(a)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        made = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(hits, schema)
+        made = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(hits), schema)
         out = made if out is None else out.unionAll(made)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -253,5 +255,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 mask[[row for row, *_ in find(batch.column(column))]] = False
                 yield batch.filter(pa.array(mask))
 
-        out = out.mapInArrow(kept, docs.schema)
+        out = out.mapInArrow(tidy(kept), docs.schema)
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .shared import row_blocks, small_batches, string_bytes
+from .shared import row_blocks, small_batches, string_bytes, tidy
 
 #: Labelled text that an automaton is built from: characters of a language, documents taken for it,
 #: characters of one document. More labelled rows than these aren't fitted on.
@@ -30,7 +30,7 @@ LANGUAGES = 32
 SYMBOLS = 64
 WINDOW = 256
 UNKNOWN = "und"
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -214,7 +214,7 @@ def predictions(docs: DataFrame, model: Model, keep: list[str] | None = None) ->
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(judge, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(tidy(judge), schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,4 +230,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 langs += sent.value.predict(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])[0]
             yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import small_batches, spread, string_bytes, written
-from .simple8b import encoder_of
+from .shared import small_batches, spread, string_bytes, tidy, written
+from .simple8b import encoder_of, forget
 
 SIZE = 1024
 #: Rows of a length that are ranked together; a longer list of equal lengths is dealt over several groups.
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, m
                 crc = [zlib.crc32(raw[b:e]) for b, e in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(low, high - low).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(tokens[doc], pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(cut, forget), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def strategy(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
@@ -130,4 +130,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) ->
             at = np.searchsorted(keys, length * (1 << 44) + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence[at] + rank - low[at], pa.int64()), pa.array(offset[at], pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(put, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(tidy(put), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

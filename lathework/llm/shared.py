@@ -7,6 +7,8 @@ for each word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass takes together; a longer text goes alone.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 700_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
     """Arrow batches of at most so many rows, and bytes where Spark can: long texts would make default ones large.
     A session's smaller settings stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
@@ -47,6 +49,25 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def tidy(work, after=None):
+    """A function over Arrow batches that gives memory back when its task ends: Python workers stay for later tasks.
+
+    after: called at the end of a task, to drop what the worker would keep.
+    """
+
+    def tidied(batches):
+        try:
+            yield from work(batches)
+        finally:
+            if after:
+                after()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 #: Rows of a key table that may be broadcast: two keys of eight bytes each, some 100 MB as a hash table.
 BROADCAST_ROWS = 1_000_000
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunked_bpe import ChunkedEncoder
-from .shared import small_batches, spread, string_bytes, written
+from .shared import BLOCK_BYTES, small_batches, spread, string_bytes, tidy, written
 
 #: Fixed values of the format, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -139,6 +139,10 @@ def encoder_of(path: str, keep_space: bool, mark: str) -> ChunkedEncoder:
     return _encoders[key]
 
 
+def forget() -> None:
+    _encoders.clear()
+
+
 FILES = "shard int, record long, first_id long, n_ids long, doc_ids array<bigint>, lengths array<int>, payload binary"
 
 
@@ -170,7 +174,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<
         for batch in batches:
             data, offsets, _ = string_bytes(batch.column(1))
             doc_ids = batch.column(0)
-            for low, high, ids, at in enc.encode(data, offsets):
+            for low, high, ids, at in enc.encode(data, offsets, BLOCK_BYTES):
                 lengths = np.diff(at) + 1
                 full = np.full(len(ids) + high - low, end_id, np.int64)
                 owner, place = spread(np.diff(at))
@@ -184,7 +188,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<
         if names:
             yield flush()
 
-    return written(rows.mapInArrow(shard, FILES), "simple8b")
+    return written(rows.mapInArrow(tidy(shard), FILES), "simple8b")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -201,4 +205,4 @@ def read_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([names.cast(pa.int64()), pa.array(ends - lengths + batch.column(3)[k].as_py(), pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return based.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.mapInArrow(tidy(documents), "doc_id long, start long, n_tokens long, ids_crc32 long")
