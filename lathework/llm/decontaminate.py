@@ -7,7 +7,9 @@ terms' largest weights can't reach any threshold, a block of items when the sum
 of the terms' block maxima can't; what is left is scored in full, and every item
 at or above its threshold is verified by the five-word shingles of its question
 and of its answer. Passages overlap by half, and are as long as two longest
-items, so that an item's copy lies in one of them whole.
+items, so that an item's copy lies in one of them whole. A longer item than
+ITEM_WORDS is searched by pieces of about equal length, each a candidate only: where
+one is found, the whole item is verified in the words as far as it reaches on both sides.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ SHARE = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK_ITEMS = 8
-#: Items of one index part, and words of an item; a longer item is indexed as several.
+#: Items of one index part, and words of an item; a longer item is searched by several pieces.
 PART_ITEMS, ITEM_WORDS = 256, 512
 #: Bytes of text searched together.
 SEARCH_BYTES = 250_000
@@ -63,8 +65,11 @@ class Part:
     block_top: np.ndarray  # term x block
     least: np.ndarray  # item: threshold
     block_least: np.ndarray
+    #: of the whole item, also where the column is a piece of it
     questions: list = field(default_factory=list)
     answers: list = field(default_factory=list)
+    lengths: list = field(default_factory=list)  # words of the item or piece
+    wholes: list = field(default_factory=list)  # of a piece: words, terms and weights of its item; else None
 
 
 def question_words(text: str) -> int:
@@ -84,13 +89,16 @@ def _words(text: str) -> np.ndarray:
 
 def build(items: list[tuple]) -> list[Part]:
     """Index parts of (item_id, text); null or wordless texts are in none, and match nothing."""
-    cut = []
+    cut, marks = [], []
     for item, text in items:
         words = _words(text or "")
-        q = question_words(text) if len(words) else 0
-        for at in range(0, len(words), ITEM_WORDS):
-            piece = words[at : at + ITEM_WORDS]
-            cut.append((item, piece, min(max(1, q - at), len(piece))))
+        if not len(words):
+            continue
+        q, n = question_words(text), min(SHINGLE, len(words))
+        all_of = shingles(words, n)
+        question, answer = all_of[: max(1, min(q, len(all_of)))], all_of[min(max(0, q - n + 1), len(all_of) - 1) :]
+        marks.append(((n, np.unique(question)), (n, np.unique(answer)), words))
+        cut += [(item, piece, len(marks) - 1) for piece in np.array_split(words, -(-len(words) // ITEM_WORDS))]
     if not cut:
         return []
     distinct, df = np.unique(np.concatenate([np.unique(w) for _, w, _ in cut]), return_counts=True)
@@ -102,6 +110,7 @@ def build(items: list[tuple]) -> list[Part]:
         return terms, idf_all[np.searchsorted(distinct, terms)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
 
     own = [weights(w) for _, w, _ in cut]
+    wholes = [(len(w), *weights(w)) if len(w) > ITEM_WORDS else None for *_, w in marks]
     order = sorted(range(len(cut)), key=lambda i: own[i][1].sum())
     parts = []
     for low in range(0, len(order), PART_ITEMS):
@@ -114,17 +123,17 @@ def build(items: list[tuple]) -> list[Part]:
         least = SHARE * table.sum(0)
         part = Part([cut[i][0] for i in chosen], vocabulary, table, table.max(1), np.maximum.reduceat(table, begins, axis=1), least, np.minimum.reduceat(least, begins))
         for i in chosen:
-            _, words, q = cut[i]
-            n = min(SHINGLE, len(words))
-            all_of = shingles(words, n)
-            part.questions.append((n, np.unique(all_of[: max(1, min(q, len(all_of)))])))
-            part.answers.append((n, np.unique(all_of[min(max(0, q - n + 1), len(all_of) - 1) :])))
+            _, words, of = cut[i]
+            part.questions.append(marks[of][0])
+            part.answers.append(marks[of][1])
+            part.lengths.append(len(words))
+            part.wholes.append(wholes[of])
         parts.append(part)
     return parts
 
 
 def longest(parts: list[Part]) -> int:
-    return max((len(a[1]) + len(q[1]) + SHINGLE for p in parts for q, a in zip(p.questions, p.answers, strict=True)), default=SHINGLE)
+    return max((n for p in parts for n in p.lengths), default=0) + SHINGLE
 
 
 def search(part: Part, words: np.ndarray, passage: np.ndarray, step: int):
@@ -180,10 +189,18 @@ def matches(parts: list[Part], step: int, data: np.ndarray, offsets: np.ndarray)
     base = np.cumsum(segments + 1) - segments  # one number between documents stays free
     passage = base[rows] + (np.arange(len(words)) - first[rows]) // step
     best: dict[tuple, tuple] = {}
+    seen: set[tuple] = set()  # long items and the words that these were verified in
     for part in parts:
         for number, column, score in search(part, words, passage, step):
             low, high = np.searchsorted(passage, [number, number + 2])
             row = int(rows[low]) if low < len(rows) else -1
+            if whole := part.wholes[column]:
+                reach, terms, weights = whole
+                low, high = max(first[row], low - reach), min(first[row] + per_row[row], high + reach)
+                if (id(whole), low, high) in seen:
+                    continue
+                seen.add((id(whole), low, high))
+                score = float(weights[np.isin(terms, words[low:high])].sum())
             inside = words[low:high]
             sizes = {part.questions[column][0], part.answers[column][0]}
             have = {n: shingles(inside, n) for n in sizes}

@@ -279,6 +279,21 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, rows).limit(0), benchmark).count() == 0
 
 
+def test_long_items_are_verified_whole(spark):
+    items = [(1, words(51, 512, 5000) + " lastword"), (2, f"{words(52, 1290, 5000)}. {words(53, 10, 5000)}."), (3, "w1 " * 600 + "end")]
+    long = items[1][1].split()
+    rows = [
+        (1, f"{words(61, 300, 5000)} lastword {words(62, 300, 5000)}"), (2, "lastword"), (3, " ".join(long[430:860])), (4, " ".join(long[:1200])), (5, " ".join(long[-300:])),
+        (10, items[0][1]), (11, f"{words(63, 700, 5000)} {items[0][1]} {words(64, 700, 5000)}"), (12, f"{words(65, 3000, 5000)} {items[1][1]} {words(66, 900, 5000)}"), (13, items[1][1]),
+        (14, items[2][1]), (15, "w1 w2 end"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, rows), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(10, 1), (11, 1), (12, 2), (13, 2), (14, 3)]
+    assert all(r.question_overlap == 1 and r.answer_overlap == 1 for r in got)
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), benchmark).collect()} == {1, 2, 3, 4, 5, 15}
+
+
 def test_pruned_scores_are_all_scores():
     items = [(i, words(40 + i, 12, 60)) for i in range(40)]
     part = decontaminate.build(items)[0]
