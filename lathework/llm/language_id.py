@@ -2,9 +2,10 @@
 
 For each language a suffix automaton of labelled text is built. A document is
 parsed into the longest phrases that occur in that text; the fewer phrases a
-character takes, the closer the document is to it. The automata of all languages
-become one table (state, symbol) -> state with a mark where a phrase ends, and
-documents are parsed in windows, all windows of a batch step by step together.
+character takes, the closer the document is to it. Each language's automaton has
+the alphabet of its own text and becomes a table (state, symbol) -> state with a
+mark where a phrase ends, and documents are parsed in windows, all windows of a
+batch step by step together.
 Every window of every text is parsed; a phrase never crosses windows.
 """
 
@@ -26,8 +27,8 @@ from .shared import row_blocks, small_batches, string_bytes, tidy
 TRAIN_CHARS, TRAIN_DOCS, DOC_CHARS = 16_000, 48, 1_500
 #: Languages, the most frequent labels: each has a table of some 6 MB.
 LANGUAGES = 32
-#: Distinct symbols, the most frequent letters of the labelled text and a space among them; all others are one symbol.
-SYMBOLS = 64
+#: Bytes of a table with a place for each state and symbol; of a larger alphabet only the transitions are kept.
+TABLE_BYTES = 12 << 20
 WINDOW = 256
 UNKNOWN = "und"
 BLOCK = 500_000
@@ -63,50 +64,69 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+class Table:
+    """An automaton's transitions: state * symbols + symbol -> next state * symbols, plus 1 where the symbol begins a new phrase."""
+
+    def __init__(self, codes: np.ndarray, local: np.ndarray):
+        """codes: the text in its own symbols; local: the own symbol of each of the model's, 0 where the text has none."""
+        self.local = local
+        self.symbols = int(local.max(initial=0)) // 2 * 2 + 2  # even, as the mark is the lowest bit
+        nexts = suffix_automaton(codes.tolist())
+        self.states = len(nexts)
+        self.start = np.ones(self.symbols, np.int32)  # an unseen symbol is a phrase of its own
+        for c, s in nexts[0].items():
+            self.start[c] = s * self.symbols + 1
+        moves = sorted((s * self.symbols + c, t * self.symbols) for s, row in enumerate(nexts) if s for c, t in row.items())
+        self.moves, self.to = np.array(moves or [(-1, 0)], np.int32).T.copy()
+
+    def whole(self) -> np.ndarray | None:
+        """A place for each state and symbol, or None where that is too large."""
+        if self.states * self.symbols * 4 > TABLE_BYTES:
+            return None
+        table = np.tile(self.start, self.states)
+        table[self.moves[self.moves >= 0]] = self.to[self.moves >= 0]
+        return table
+
+    def step(self, now: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """As whole()[now + symbol], by a search among the transitions."""
+        key = now + symbol
+        at = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+        return np.where(self.moves[at] == key, self.to[at], self.start[symbol])
+
+
 class Model:
-    """languages, symbol of each code point, letters, and a parse table for each language."""
+    """languages, symbol of each code point, and a parse table for each language."""
 
     def __init__(self, texts: dict[str, str]):
         """texts: labelled text of each language."""
         self.languages = sorted(texts)
         folded = {k: fold(v) for k, v in texts.items()}
-        every = np.concatenate([*folded.values(), np.array([32], np.uint32)])
-        points, n = np.unique(every, return_counts=True)
-        chosen = points[np.argsort(-n, kind="stable")][: SYMBOLS - 1]
-        self.symbol = np.zeros(0x110000, np.uint8)  # 0: none of the chosen
-        self.symbol[chosen] = np.arange(1, len(chosen) + 1)
+        points = np.unique(np.concatenate([*folded.values(), np.array([32], np.uint32)]))
+        self.symbol = np.zeros(0x110000, np.int32)  # 0: in no language's text
+        self.symbol[points] = np.arange(1, len(points) + 1)
         self.tables, self.rates = [], []
         for k in self.languages:
-            codes = self.symbol[folded[k]].tolist()
+            codes = self.symbol[folded[k]]
             held = len(codes) // 5
-            self.tables.append(self._table(codes[held:]))
+            local = np.zeros(len(points) + 1, np.int32)
+            own = np.unique(codes[held:])
+            local[own] = np.arange(1, len(own) + 1)
+            self.tables.append(Table(local[codes[held:]], local))
             # phrases a character takes in other text of the language itself: automata of more varied text need more
-            own = self.phrases(np.array(codes[:held], np.uint8), np.array([0, held]))[:, 0] if held else np.ones(len(self.tables))
-            self.rates.append(max(float(own[-1]) / max(held, 1), 1e-3))
+            taken = self._parsed(self.tables[-1:], codes[:held], np.array([0, held]))[0, 0] if held else 1
+            self.rates.append(max(float(taken) / max(held, 1), 1e-3))
         if self.rates:
             middle = float(np.median(self.rates))
             self.rates = [min(max(r, 0.7 * middle), 1.5 * middle) for r in self.rates]
 
-    @staticmethod
-    def _table(codes: list[int]) -> np.ndarray:
-        """(state * SYMBOLS + symbol) -> next state * SYMBOLS, plus 1 where the symbol begins a new phrase."""
-        nexts = suffix_automaton(codes)
-        start = np.ones(SYMBOLS, np.int32)  # an unseen symbol is a phrase of its own
-        for c, s in nexts[0].items():
-            start[c] = s * SYMBOLS + 1
-        start[0] = 1
-        table = np.tile(start, (len(nexts), 1))
-        for s, row in enumerate(nexts):
-            for c, t in row.items():
-                if c:
-                    table[s, c] = t * SYMBOLS
-        table[0] = start
-        return table.ravel()
-
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each row (column) by each language (row)."""
+        return self._parsed(self.tables, symbols, offsets)
+
+    @staticmethod
+    def _parsed(tables: list[Table], symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
-        out = np.zeros((len(self.tables), rows), np.int64)
+        out = np.zeros((len(tables), rows), np.int64)
         counts = -(-np.diff(offsets) // WINDOW)
         owner = np.repeat(np.arange(rows), counts)
         if not len(owner):
@@ -117,13 +137,15 @@ class Model:
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
         live = len(owner) - np.searchsorted(length[::-1], np.arange(WINDOW), "right")
-        state = [np.zeros(len(owner), np.int32) for _ in self.tables]
-        found = [np.zeros(len(owner), np.int32) for _ in self.tables]
+        state = [np.zeros(len(owner), np.int32) for _ in tables]
+        found = [np.zeros(len(owner), np.int32) for _ in tables]
+        wholes = [t.whole() for t in tables]
         for k in range(int(length[0])):
             n = int(live[k])
-            at = symbols[begin[:n] + k].astype(np.int32)
-            for table, now, seen in zip(self.tables, state, found, strict=True):
-                step = table[now[:n] + at]
+            at = symbols[begin[:n] + k]
+            for table, whole, now, seen in zip(tables, wholes, state, found, strict=True):
+                symbol = table.local[at]
+                step = whole[now[:n] + symbol] if whole is not None else table.step(now[:n], symbol)
                 mark = step & 1
                 seen[:n] += mark
                 now[:n] = step - mark

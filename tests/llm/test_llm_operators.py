@@ -242,6 +242,31 @@ def test_phrases_are_longest_matches():
         assert got[k] == count
 
 
+def made_up(seed, letters, n):
+    """Text of made-up words of the letters."""
+    rng = random.Random(seed)
+    lexicon = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    return " ".join(rng.choice(lexicon) for _ in range(n))
+
+
+def test_languages_of_many_letters():
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrl1": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "cyrl2": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "arab": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"}
+    letters |= {k: "".join(map(chr, range(0x4E00, 0x4E00 + 2500))) for k in ("han1", "han2")}
+    text = {k: made_up(i, x, 3400) for i, (k, x) in enumerate(letters.items())}
+    model = language_id.Model({k: v[:9000] for k, v in text.items()})
+    names = list(text)
+    data, offsets = np.frombuffer("".join(text[k][-400:] for k in names).encode(), np.uint8), np.cumsum([0] + [len(text[k][-400:].encode()) for k in names])
+    assert model.predict(data, offsets)[0] == names
+
+
+def test_tables_step_alike_with_and_without_places(monkeypatch):
+    model = language_id.Model({k: made_up(k, "abcdefgh", 900) for k in "xyz"})
+    codes = model.symbol[language_id.fold(made_up("q", "abcdefghi", 900))]
+    want = model.phrases(codes, np.array([0, 300, 300, len(codes)]))
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 0)
+    assert (model.phrases(codes, np.array([0, 300, 300, len(codes)])) == want).all()
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, "the cat and the dog went over there with them " * 6) for i in range(5)]
     learned = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") < 3, "en").otherwise("xx")).withColumn("text", F.when(F.col("lang") == "xx", F.reverse("text")).otherwise(F.col("text")))
