@@ -25,10 +25,10 @@ from .shared import row_blocks, small_batches, string_bytes, tidy
 #: Labelled text that an automaton is built from: characters of a language, documents taken for it,
 #: characters of one document. More labelled rows than these aren't fitted on.
 TRAIN_CHARS, TRAIN_DOCS, DOC_CHARS = 16_000, 48, 1_500
-#: Languages, the most frequent labels: each has a table of some 6 MB.
-LANGUAGES = 32
 #: Bytes of a table with a place for each state and symbol; of a larger alphabet only the transitions are kept.
 TABLE_BYTES = 12 << 20
+#: Bytes of tables that are laid out together; the text is parsed with more tables in several passes.
+PASS_BYTES = 192 << 20
 WINDOW = 256
 UNKNOWN = "und"
 BLOCK = 500_000
@@ -79,9 +79,14 @@ class Table:
         moves = sorted((s * self.symbols + c, t * self.symbols) for s, row in enumerate(nexts) if s for c, t in row.items())
         self.moves, self.to = np.array(moves or [(-1, 0)], np.int32).T.copy()
 
+    def size(self) -> int:
+        """Bytes of whole(); 0 for None."""
+        size = self.states * self.symbols * 4
+        return size if size <= TABLE_BYTES else 0
+
     def whole(self) -> np.ndarray | None:
         """A place for each state and symbol, or None where that is too large."""
-        if self.states * self.symbols * 4 > TABLE_BYTES:
+        if not self.size():
             return None
         table = np.tile(self.start, self.states)
         table[self.moves[self.moves >= 0]] = self.to[self.moves >= 0]
@@ -113,18 +118,35 @@ class Model:
             local[own] = np.arange(1, len(own) + 1)
             self.tables.append(Table(local[codes[held:]], local))
             # phrases a character takes in other text of the language itself: automata of more varied text need more
-            taken = self._parsed(self.tables[-1:], codes[:held], np.array([0, held]))[0, 0] if held else 1
+            taken = self._parsed(self.tables[-1:], [self.tables[-1].whole()], codes[:held], np.array([0, held]))[0, 0] if held else 1
             self.rates.append(max(float(taken) / max(held, 1), 1e-3))
         if self.rates:
             middle = float(np.median(self.rates))
             self.rates = [min(max(r, 0.7 * middle), 1.5 * middle) for r in self.rates]
+        self._kept: list | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_kept": None}
+
+    def _passes(self):
+        """Runs of tables of at most PASS_BYTES together, and these laid out; those of a single run are kept."""
+        ends = np.cumsum([t.size() for t in self.tables])
+        if not len(ends) or ends[-1] <= PASS_BYTES:
+            self._kept = self._kept or [t.whole() for t in self.tables]
+            yield self.tables, self._kept
+            return
+        at = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PASS_BYTES, "right")))
+            yield self.tables[at:end], [t.whole() for t in self.tables[at:end]]
+            at = end
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each row (column) by each language (row)."""
-        return self._parsed(self.tables, symbols, offsets)
+        return np.concatenate([self._parsed(*tables, symbols, offsets) for tables in self._passes()])
 
     @staticmethod
-    def _parsed(tables: list[Table], symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _parsed(tables: list[Table], wholes: list, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
         out = np.zeros((len(tables), rows), np.int64)
         counts = -(-np.diff(offsets) // WINDOW)
@@ -139,7 +161,6 @@ class Model:
         live = len(owner) - np.searchsorted(length[::-1], np.arange(WINDOW), "right")
         state = [np.zeros(len(owner), np.int32) for _ in tables]
         found = [np.zeros(len(owner), np.int32) for _ in tables]
-        wholes = [t.whole() for t in tables]
         for k in range(int(length[0])):
             n = int(live[k])
             at = symbols[begin[:n] + k]
@@ -197,14 +218,12 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model from labelled (doc_id, text, lang); bounded by LANGUAGES, and by TRAIN_DOCS and TRAIN_CHARS for each.
+    """A model from labelled (doc_id, text, lang); every language, bounded by TRAIN_DOCS and TRAIN_CHARS for each.
 
     Documents of a language are taken by a hash of doc_id, so that the order and number of the
     partitions don't matter. Null texts and null languages are left out.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    names = [r[0] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    rows = rows.filter(F.col("lang").isin(names))
     keys = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id")
     chosen = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= TRAIN_DOCS).select("doc_id")
     taken = rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text"))

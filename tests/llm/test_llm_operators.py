@@ -267,6 +267,21 @@ def test_tables_step_alike_with_and_without_places(monkeypatch):
     assert (model.phrases(codes, np.array([0, 300, 300, len(codes)])) == want).all()
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(100 * k + i, made_up(k, "abcdefgh", 120), f"l{k:02}") for k in range(40) for i in range(1 + (k < 36))] + [(9000, "x y", None), (9001, None, "null")]
+    learned = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(learned)
+    assert model.languages == [f"l{k:02}" for k in range(40)]
+    docs = frame(spark, [(i, t) for i, t, x in rows if x and t])
+    got = {(r.doc_id, r.lang_pred) for r in language_id.predictions(docs, model).collect()}
+    assert got == {(i, x) for i, t, x in rows if x and t}
+    codes = model.symbol[language_id.fold(rows[0][1] + rows[70][1])]
+    want = model.phrases(codes, np.array([0, len(codes)]))
+    for size in (0, 1 << 20):  # several passes
+        monkeypatch.setattr(language_id, "PASS_BYTES", size)
+        assert (model.phrases(codes, np.array([0, len(codes)])) == want).all()
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, "the cat and the dog went over there with them " * 6) for i in range(5)]
     learned = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") < 3, "en").otherwise("xx")).withColumn("text", F.when(F.col("lang") == "xx", F.reverse("text")).otherwise(F.col("text")))
