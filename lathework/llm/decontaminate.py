@@ -25,8 +25,9 @@ from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_bat
 K1, B = 1.2, 0.75
 #: A passage must reach this share of an item's score for its own text.
 SHARE = 0.6
-#: Least share of the question's and of the answer's shingles that the passage holds.
-OVERLAP = 0.8
+#: Least share of the question's and of the answer's shingles that the passage holds. Where it is that of the whole item,
+#: each part needs the lower share only: one changed word is in five shingles, which of a short part are many.
+OVERLAP, PART_OVERLAP = 0.8, 0.4
 SHINGLE = 5
 BLOCK_ITEMS = 8
 #: Items of one index part, and words of an item; a longer item is searched by several pieces.
@@ -173,9 +174,11 @@ def search(part: Part, words: np.ndarray, passage: np.ndarray, step: int):
     return found
 
 
-def _share(wanted: tuple[int, np.ndarray], have: dict[int, np.ndarray]) -> float:
-    n, marks = wanted
-    return float(np.isin(marks, have[n]).mean())
+def _overlaps(question: tuple[int, np.ndarray], answer: tuple[int, np.ndarray], words: np.ndarray) -> tuple[float, float, float]:
+    """Shares of the shingles of the item, its question and its answer that are among the words."""
+    n, q = question
+    a, have = answer[1], shingles(words, n)
+    return tuple(float(np.isin(x, have).mean()) for x in (np.union1d(q, a), q, a))
 
 
 def matches(parts: list[Part], step: int, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
@@ -194,19 +197,17 @@ def matches(parts: list[Part], step: int, data: np.ndarray, offsets: np.ndarray)
         for number, column, score in search(part, words, passage, step):
             low, high = np.searchsorted(passage, [number, number + 2])
             row = int(rows[low]) if low < len(rows) else -1
-            if whole := part.wholes[column]:
-                reach, terms, weights = whole
+            if of := part.wholes[column]:
+                reach, terms, weights = of
                 low, high = max(first[row], low - reach), min(first[row] + per_row[row], high + reach)
-                if (id(whole), low, high) in seen:
+                if (id(of), low, high) in seen:
                     continue
-                seen.add((id(whole), low, high))
+                seen.add((id(of), low, high))
                 score = float(weights[np.isin(terms, words[low:high])].sum())
-            inside = words[low:high]
-            sizes = {part.questions[column][0], part.answers[column][0]}
-            have = {n: shingles(inside, n) for n in sizes}
-            q, a = _share(part.questions[column], have), _share(part.answers[column], have)
+            share, q, a = _overlaps(part.questions[column], part.answers[column], words[low:high])
             key = (row, part.items[column])
-            if q >= OVERLAP and a >= OVERLAP and (key not in best or best[key][0] < score):
+            held = min(q, a) >= OVERLAP or share >= OVERLAP and min(q, a) >= PART_OVERLAP
+            if held and (key not in best or best[key][0] < score):
                 best[key] = (score, q, a)
     return [(row, item, *x) for (row, item), x in sorted(best.items(), key=lambda y: (y[0][0], str(y[0][1])))]
 

@@ -334,6 +334,23 @@ def test_long_items_are_verified_whole(spark):
     assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), benchmark).collect()} == {1, 2, 3, 4, 5, 15}
 
 
+def test_items_with_one_word_changed_are_found(spark):
+    items = [(i, f"{words(7000 + i, 30, 5000)}. {words(7100 + i, 10, 5000)}.") for i in range(8)]
+    rows = []
+    for i, text in items:
+        for k in (3, 15, 26, 34, 36):
+            w = text.split()
+            w[k] = "changed" + "." * (k == 29)
+            rows.append((100 * i + k, f"{words(7200 + i, 50, 5000)} {' '.join(w)} {words(7300 + k, 60, 5000)}"))
+        question, answer = text.split(". ")
+        rows.append((100 * i + 90, f"{words(7400 + i, 50, 5000)} {question}. {words(7500 + i, 40, 5000)}"))
+        rows.append((100 * i + 91, f"{words(7600 + i, 50, 5000)} {answer}"))
+        rows.append((100 * i + 92, " ".join("changed" if k % 9 == 4 else x for k, x in enumerate(text.split()))))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()}
+    assert got == {(d, d // 100) for d, _ in rows if d % 100 < 90}
+
+
 def test_pruned_scores_are_all_scores():
     items = [(i, words(40 + i, 12, 60)) for i in range(40)]
     part = decontaminate.build(items)[0]
