@@ -2,8 +2,8 @@
 
 Documents become pieces of at most `size` ids; the histogram of piece lengths (at
 most `size` bins, whatever the corpus) is packed on the driver, longest first,
-each length going to the open packs with most room. Equal packs are one pattern
-with a count, so the work doesn't grow with the corpus. Each pattern's places
+each length going to the open packs with most room, to the same ones again while
+these have most room. Equal packs are one pattern with a count, so the work doesn't grow with the corpus. Each pattern's places
 are then intervals of ranks of a length, and pieces join them by their rank.
 """
 
@@ -60,9 +60,8 @@ def strategy(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tup
     open_packs: dict[int, list[list]] = defaultdict(list)  # room -> [count, lengths]
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        grown: list[tuple[int, list]] = []
-        for room in sorted((r for r in open_packs if r >= length and open_packs[r]), reverse=True):
-            packs = open_packs[room]
+        for room in range(size, length - 1, -1):
+            packs = open_packs.get(room, [])
             while packs and left:
                 count, lengths = packs[-1]
                 take = min(count, left)
@@ -70,12 +69,10 @@ def strategy(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tup
                     packs.pop()
                 else:
                     packs[-1][0] -= take
-                grown.append((room - length, [take, (*lengths, length)]))
+                open_packs[room - length].append([take, (*lengths, length)])  # its turn comes again further down
                 left -= take
             if not left:
                 break
-        for room, pack in grown:
-            open_packs[room].append(pack)
         # what no open pack takes starts new ones; a pack takes this length as often as it fits
         each = size // length
         while left:

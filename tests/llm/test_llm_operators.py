@@ -1,6 +1,7 @@
 """Each operator on odd rows (nulls, empty and long texts, repeats, ties, clashing columns, no rows) and against brute force."""
 
 import hashlib
+import heapq
 import random
 import re
 import zlib
@@ -168,6 +169,21 @@ def test_strategy_takes_every_piece_once():
         assert used == histogram
 
 
+def test_strategy_takes_a_length_as_often_as_it_fits():
+    rng = random.Random(3)
+    for histogram in ({600: 1000, 100: 10_000}, {k: 32 for k in range(400, 1025)} | {40: 60_000}, {rng.randint(1, 1024): rng.randint(1, 300) for _ in range(80)}):
+        rooms = []  # most room first, one piece after the other
+        for length in sorted(histogram, reverse=True):
+            for _ in range(histogram[length]):
+                if rooms and -rooms[0] >= length:
+                    heapq.heapreplace(rooms, rooms[0] + length)
+                else:
+                    heapq.heappush(rooms, length - 1024)
+        patterns = packing.strategy(histogram)
+        assert sum(count for count, _ in patterns) == len(rooms)
+        assert sorted(1024 - sum(x) for count, x in patterns for _ in range(count)) == sorted(-r for r in rooms)
+
+
 def brute_secrets(text):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
