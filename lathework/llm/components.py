@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
+#: Neighbours from which a node is a hub, whose edges meet its least neighbour by broadcast, not in one task. There are at most
+#: edges / HUB of them.
+HUB = 100_000
 #: Steps after which something must be wrong; the method needs about the square of the logarithm.
 MOST_STEPS = 60
 
@@ -19,6 +22,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
 
 
+def _with_least(edges: DataFrame, source: DataFrame, count: int) -> DataFrame:
+    """edges (a, b) with m, the least b of each a in source, or a itself if that is less."""
+    least = source.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "n")
+    met = F.col("a") == F.col("k")
+    if count <= HUB:
+        return edges.join(least, met).select("a", "b", "m")
+    hubs = written(least.filter(F.col("n") > HUB).select("k", "m"), "hubs")
+    rest = edges.join(F.broadcast(hubs), met, "left_anti").join(least, met).select("a", "b", "m")
+    return rest.unionAll(edges.join(F.broadcast(hubs), met).select("a", "b", "m"))
+
+
 def labels(links: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of links (a, b) but the labels themselves."""
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -27,16 +41,19 @@ def labels(links: DataFrame) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        joined = large.join(least, F.col("a") == F.col("k"))
+        large = _with_least(both, both, 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        if before[0] > HUB:
+            large = written(large, "large")
+        joined = _with_least(large, large, before[0])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(joined.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = written(small, "edges")
+        last, edges = edges, written(small, "edges")
+        discard(last, large)
         after = _state(edges)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    out.__dict__.update(_written_to=edges.__dict__.get("_written_to"))
+    return out

@@ -14,19 +14,22 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes together; a longer text goes alone.
 BLOCK_BYTES = 700_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new one that is set here."""
+    """The folder in spark.checkpoint.dir; where that is unset and Spark is local (tests), a new one that is set here."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         sc = spark.sparkContext
         known = sc.getCheckpointDir()
         if not known:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             known = f"file://{tempfile.mkdtemp(prefix='lathework-')}"
             sc.setCheckpointDir(known)
     return known.rstrip("/")
@@ -37,7 +40,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more; a returned plan's tables stay with the shared folder."""
+    for df in tables:
+        if path := df.__dict__.pop("_written_to", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes for none to be a column of df."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}" in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
 
 
 def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
@@ -68,13 +95,38 @@ def tidy(work, after=None):
     return tidied
 
 
-#: Rows of a key table that may be broadcast: two keys of eight bytes each, some 100 MB as a hash table.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a key table that may be broadcast, and what a row takes beside its columns in a hash table.
+BROADCAST_BYTES, ROW_BYTES = 48 << 20, 32
+#: Least and most bits of a bitmap of keys (32 MB at most, whatever the corpus), and bits for each key between.
+LEAST_BITS, MOST_BITS, KEY_BITS = 1 << 15, 1 << 28, 16
+_BITMAP = 1 << 15  # bits of one value of bitmap_construct_agg
 
 
-def few_enough(keys: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table of keys is small enough to broadcast; counts it."""
-    return keys.count() <= most
+def few_enough(keys: DataFrame, width: int = 16, most: int | None = None) -> bool:
+    """Whether a written table is small enough to broadcast; counts it. width: bytes of a row's columns."""
+    return keys.count() * (width + ROW_BYTES) <= (BROADCAST_BYTES if most is None else most)
+
+
+def bitmap(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, bits) of the 64-bit hashes of a written table's one column, and the bits in all; of a proven size."""
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < KEY_BITS * hashes.count():
+        bits *= 2
+    place = F.pmod(F.col(quoted(hashes.columns[0])), F.lit(bits))
+    made = hashes.select((place / _BITMAP).cast("long").alias("bucket"), (place % _BITMAP).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return made, bits
+
+
+def in_bitmap(rows: DataFrame, hashed: Column, made: tuple[DataFrame, int], held: bool = True) -> DataFrame:
+    """The rows whose hash is in the bitmap (held=False: isn't), by a broadcast of its fixed size; no shuffle.
+
+    Every key's rows are held; of other rows some are too, the more the fuller the bitmap is.
+    """
+    table, bits = made
+    place = F.pmod(hashed, F.lit(bits))
+    bit = (place % _BITMAP).cast("int")
+    byte = F.conv(F.hex(F.substring(table["bits"], (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(table), ((place / _BITMAP).cast("long") == table["bucket"]) & (F.getbit(byte, bit % 8) == 1), "left_semi" if held else "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.llm import components, decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, simple8b, toxicity, url_filter
+from lathework.llm import components, decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, shared, simple8b, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start string, label string, a string, class string, text_sha256 string, score string, n string, size string"
 
@@ -75,6 +75,63 @@ def test_jaccard_join_against_brute_force(spark, k, percent):
     assert Counter(map(tuple, got.collect())) == brute_components(rows, k, percent)
 
 
+def near_groups(seed):
+    """Groups of near copies, chains and a hot shared passage; some ids have several texts, some rows none."""
+    rng, rows = random.Random(seed), []
+    for g in range(5):
+        base = words(1000 * seed + g, rng.randint(8, 80))
+        for c in range(rng.randint(2, 15)):
+            w = base.split()
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 9)}"
+            rows.append((rng.choice([None, *range(40)]), " ".join(w)))
+    return rows + [(rng.randint(0, 60), BASE + " " + words(500 + i, 3 + i)) for i in range(12)]
+
+
+A, B = words(71, 99), words(72, 99)
+
+
+def repeated_ids():
+    """Cases of their own, each with its ids and texts: a doc_id with several texts that are copies, near copies or neither."""
+    cases = [
+        lambda a, b: [(1, a), (5, a), (5, b), (9, b + " tail")],
+        lambda a, b: [(5, a), (5, b), (9, b + " tail")],
+        lambda a, b: [(1, a), (5, a + " tail"), (5, b)],
+        lambda a, b: [(1, a), (None, a + " t1"), (2, a + " t1 t2"), (3, a + " t1 t2 t3")],
+        lambda a, b: [(None, a), (None, a), (None, a + " tail"), (4, b), (4, b)],
+    ]
+    return [(None if d is None else 100 * k + d, t) for k, case in enumerate(cases) for d, t in case(words(170 + k, 99), words(270 + k, 99))]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_ids_lose_no_link(spark, parts):
+    rows = repeated_ids()
+    docs = frame(spark, rows).repartition(parts)
+    assert Counter(map(tuple, jaccard_join.join(docs, 3, 90).collect())) == brute_components(rows, 3, 90)
+
+
+def test_jaccard_join_alike_beyond_its_bounds(spark, monkeypatch):
+    """Signatures that collide, hot tokens, key tables too large to broadcast, hubs and a sketch without use."""
+    rows = near_groups(1) + repeated_ids()
+    want = brute_components(rows, 3, 80)
+    for name, value in (("CLASS_BITS", 3), ("HOT", 2), ("SKETCH_BITS", (4, 4)), ("PARTNERS", 2), ("FAN_IN", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(components, "HUB", 1)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    assert Counter(map(tuple, jaccard_join.join(frame(spark, rows), 3, 80).collect())) == want
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_one_document_of_each_component_stays(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    docs = frame(spark, [(1, A), (5, A + " tail"), (5, B), (None, B + " tail"), (7, None), (7, ""), (8, "one"), (9, "one"), (9, "two")]).withColumn("_gone_id", F.lit(1)).withColumn("_gone_key", F.lit(2))
+    got = jaccard_join.distinct(docs, 5, 80)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, A), (5, B), (7, None), (7, ""), (8, "one"), (9, "two")])
+    assert jaccard_join.distinct(docs.limit(0)).count() == 0
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join(frame(spark, ODD).limit(0)).count() == 0
 
