@@ -22,14 +22,16 @@ from .shared import small_batches, spread, string_bytes, tidy, written
 from .simple8b import encoder_of, forget
 
 SIZE = 1024
-#: Rows of a length that are ranked together; a longer list of equal lengths is dealt over several groups.
+#: Rows of a length that are ranked together, about; a longer list of equal lengths is dealt over several groups.
 RANK_ROWS = 20_000
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, mark: str = "<|endoftext|>") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece: whole pieces of `size` ids, then the rest.
 
-    Null text counts as empty: its piece is the end id alone. Repeated rows give pieces each.
+    Null text counts as empty: its piece is the end id alone. Repeated rows give pieces each; `again`
+    numbers equal pieces that a task sees together, so that these can be told apart.
     """
 
     small_batches(docs.sparkSession)
@@ -50,9 +52,23 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, m
                 length = np.minimum(size, tokens[doc] - start)
                 raw, begin = full.tobytes(), (first[doc] + start) * 4
                 crc = [zlib.crc32(raw[b:e]) for b, e in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(low, high - low).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(tokens[doc], pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(cut, forget), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+                names = doc_ids.slice(low, high - low).fill_null(-1).to_numpy()
+                again = _times_before(np.stack([names[doc], start, crc]))
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(low, high - low).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(tokens[doc], pa.int64()), pa.array(again, pa.int32())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "again"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(cut, forget), f"{PIECES}, again int")
+
+
+def _times_before(columns: np.ndarray) -> np.ndarray:
+    """For each place, how many places before it have the same values."""
+    order = np.lexsort(columns)
+    rows = columns[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.arange(len(order)) - first
+    return out
 
 
 def strategy(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
@@ -101,19 +117,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) ->
     """Every piece of docs with its sequence_id and offset; sequences hold at most `size` ids, gapless from 0.
 
     Pieces are written to the shared folder once (ids are not), as the histogram and the ranks
-    must see the same rows. Ranks of equal lengths count groups of a hash first, so no length,
-    however frequent, is ordered in one task. An empty table gives no piece.
+    must see the same rows. A length's pieces are dealt by a hash over as many groups as its count asks
+    for, and ranks count the groups first, so no length, however frequent, is ordered in one task. An empty
+    table gives no piece.
     """
     made = written(pieces(docs, tokenizer, end_id, size), "pieces")
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    total = sum(histogram.values())
-    groups = max(1, total // RANK_ROWS)
     table = pa.table([pa.array(x, pa.int64()) for x in zip(*places(strategy(histogram, size)), strict=True)] or [pa.array([], pa.int64())] * 5, names=["length", "low", "high", "sequence", "offset"])
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
-    dealt = made.withColumn("dealt", key)
+    # at most `size` values, by length
+    deals = F.split(F.lit(",".join(str(-(-histogram.get(k, 1) // RANK_ROWS)) for k in range(1, size + 1))), ",").cast("array<int>")
+    key = F.when(F.element_at(deals, F.col("length").cast("int")) > 1, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "again"), F.element_at(deals, F.col("length").cast("int")))).otherwise(0)
+    dealt = made.withColumn("dealt", key.cast("long"))
     sizes = dealt.groupBy("length", "dealt").agg(F.count("*").alias("n"))
     bases = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("dealt")) - F.col("n")).select("length", "dealt", "base")
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "dealt").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "dealt").orderBy("doc_id", "start", "ids_crc32", "again")) - 1)
     ranked = ranked.join(bases, ["length", "dealt"]).withColumn("rank", F.col("rank") + F.col("base"))
     # the table of places has at most a few rows for each length and place in a pack: bounded by `size`, never by the corpus
     lengths, low, _, sequence, offset = (table.column(i).to_numpy() for i in range(5))
@@ -127,4 +144,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) ->
             at = np.searchsorted(keys, length * (1 << 44) + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence[at] + rank - low[at], pa.int64()), pa.array(offset[at], pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(tidy(put), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(tidy(put), f"{PIECES}, sequence_id long, offset long")

@@ -142,26 +142,42 @@ def test_components_of_a_long_chain(spark):
     assert got.count() == 299 and {r.label for r in got.collect()} == {1}
 
 
-def test_exact_dedup(spark):
-    got = Counter(map(tuple, exact_dedup.decisions(frame(spark, ODD)).collect()))
+def decided(rows):
     by = {}
-    for d, t in ODD:
+    for d, t in rows:
         by.setdefault(t or "", []).append(d)
     want = Counter()
-    for d, t in ODD:
+    for d, t in rows:
         ids = [x for x in by[t or ""] if x is not None]
         keep = max(ids) if ids else None
         want[(d, keep, len(by[t or ""]), d == keep, hashlib.sha256((t or "").encode()).hexdigest())] += 1
-    assert got == want
+    return want
+
+
+def test_exact_dedup(spark):
+    assert Counter(map(tuple, exact_dedup.decisions(frame(spark, ODD)).collect())) == decided(ODD)
     assert exact_dedup.decisions(frame(spark, ODD).limit(0)).count() == 0
+    assert exact_dedup.deduplicated(frame(spark, ODD).limit(0)).count() == 0
 
 
-def test_deduplicated_keeps_one_row_of_each_text(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_deduplicated_keeps_one_row_of_each_text(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
     docs = frame(spark, ODD)
+    for c in ("_k", "_keep", "_r", "_digest", "_row", "_size", "head", "_head", "bits", "bucket", "x.y"):
+        docs = docs.withColumn(c, F.lit("c"))
     got = exact_dedup.deduplicated(docs)
-    assert got.columns == docs.columns
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
     assert Counter(r.text or "" for r in got.collect()) == Counter({t or "" for _, t in ODD})
     assert {r.doc_id for r in got.filter(F.col("text") == BASE).collect()} == {5}
+    assert Counter(map(tuple, exact_dedup.decisions(docs).collect())) == decided(ODD)
+
+
+def test_full_texts_are_hashed_for_survivors_alone(spark):
+    rows = [(i, "x" * i) for i in range(50)] + [(60, "y" * 70 + "a"), (61, "y" * 70 + "b"), (62, "z" * 71), (63, "z" * 71)]
+    assert {r.doc_id for r in exact_dedup._survivors(frame(spark, rows), 64)(True).collect()} == {60, 61, 62, 63}
+    assert [(r.keep_id, r.group_size) for r in exact_dedup.duplicate_groups(frame(spark, rows)).collect()] == [(63, 2)]
 
 
 def vocabulary(name):
