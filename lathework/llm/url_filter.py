@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import bitmap, in_bitmap, written
+
+#: Captures of one host and day from which these are judged by broadcast.
+HOT_ROWS = 100_000
+
 
 def host_of(url: Column) -> Column:
     """The lower-case host; '' where a URL is null or has none."""
@@ -40,16 +45,27 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (capture_id, url, fetched) with host, blocked, n_entries, categories; one row for each row.
 
     Null or odd URLs have host '' and aren't blocked; nor is a capture without a fetch day. Only the three
-    named columns are read.
+    named columns are read. Of the hosts' parent domains only those in the list are joined (a bitmap of bounded size
+    leaves the others, such as a domain that most hosts lie under). Days with HOT_ROWS captures or more
+    are judged by broadcast, and rows that need no look-up are spread, so no key is one task's.
     """
     rows = captures.select("capture_id", host_of(F.col("url")).alias("host"), F.col("fetched").cast("date").alias("fetched"))
-    days = rows.filter("host <> '' AND fetched IS NOT NULL").groupBy("host", "fetched").agg(F.lit(1).alias("_"))
+    valid = written(intervals(entries), "intervals")
+    days = written(rows.filter("host <> '' AND fetched IS NOT NULL").groupBy("host", "fetched").agg(F.count("*").alias("n")), "days")
     keyed = days.select("host", "fetched", F.explode(suffixes(F.col("host"))).alias("domain"))
-    valid = intervals(entries)
+    listed = written(valid.select(F.xxhash64("domain").alias("h")).distinct(), "listed")
+    keyed = in_bitmap(keyed, F.xxhash64("domain"), bitmap(listed))
     active = keyed.join(valid, (keyed["domain"] == valid["domain"]) & (keyed["fetched"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (keyed["fetched"] < valid["valid_to"])))
-    verdict = active.groupBy("host", "fetched").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    out = rows.join(verdict, ["host", "fetched"], "left")
-    return out.select("capture_id", "host", "fetched", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), F.coalesce("categories", F.lit("")).alias("categories"))
+    verdict = written(active.groupBy("host", "fetched").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")), "verdicts")
+    # there are no more hot days than captures / HOT_ROWS
+    hot = days.filter(F.col("n") >= HOT_ROWS).select("host", "fetched").join(verdict, ["host", "fetched"], "left").select(F.col("host").alias("hot_host"), F.col("fetched").alias("hot_day"), F.struct("n_entries", "categories").alias("hot"))
+    rows = rows.join(F.broadcast(hot), (F.col("host") == F.col("hot_host")) & (F.col("fetched") == F.col("hot_day")), "left")
+    alone = F.col("hot_host").isNotNull() | (F.col("host") == "") | F.col("fetched").isNull()
+    key = F.when(alone, F.concat(F.lit(" "), F.xxhash64("capture_id", "host").cast("string"))).otherwise(F.col("host"))
+    found = verdict.select(F.col("host").alias("key"), F.col("fetched").alias("day"), F.struct("n_entries", "categories").alias("cold"))
+    out = rows.withColumn("key", key).withColumn("day", F.coalesce("fetched", F.lit("1970-01-01").cast("date"))).join(found, ["key", "day"], "left")
+    said = F.coalesce("hot", "cold")
+    return out.select("capture_id", "host", "fetched", said["n_entries"].isNotNull().alias("blocked"), F.coalesce(said["n_entries"], F.lit(0)).alias("n_entries"), F.coalesce(said["categories"], F.lit("")).alias("categories"))
 
 
 def derived_entries(pages: DataFrame) -> DataFrame:

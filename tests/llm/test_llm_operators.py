@@ -285,7 +285,9 @@ def test_secrets(spark):
     assert secrets.digest(secrets.scan(docs.limit(0), [0.0] * len(table))).count() == 0
 
 
-def test_url_intervals(spark):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_url_intervals(spark, monkeypatch, hot):
+    monkeypatch.setattr(url_filter, "HOT_ROWS", hot)
     entries = spark.createDataFrame([("b.org", "x", "add", "2024-01-10"), ("b.org", "x", "remove", "2024-02-10"), ("b.org", "x", "remove", "2024-02-10"), ("a.b.org", "y", "add", "2024-02-01"), (None, "y", "add", "2024-01-01"), ("c.org", "x", "add", "2024-01-05"), ("c.org", "x", "remove", "2024-01-05")], "domain string, category string, action string, dated string").withColumn("dated", F.to_date("dated"))
     captures = spark.createDataFrame(
         [(1, "https://u@A.b.org:80/p", "2024-01-09"), (2, "http://a.b.org?x", "2024-01-10"), (3, "http://a.b.org", "2024-02-09"), (4, "http://a.b.org", "2024-02-10"), (4, "http://a.b.org", "2024-02-10"), (5, None, "2024-02-10"), (6, "ab.org", "2024-02-10"), (7, "http://b.org", None), (8, "http://xb.org", "2024-02-01"), (9, "http://c.org.", "2024-03-01")],
