@@ -11,8 +11,6 @@ Every window of every text is parsed; a phrase never crosses windows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +21,7 @@ from pyspark.sql.window import Window
 from .shared import row_blocks, small_batches, string_bytes, tidy
 
 #: Labelled text that an automaton is built from: characters of a language, documents taken for it,
-#: characters of one document. More labelled rows than these aren't fitted on.
+#: characters of one document, from a place in it by hash. More labelled rows than these aren't fitted on.
 TRAIN_CHARS, TRAIN_DOCS, DOC_CHARS = 16_000, 48, 1_500
 #: Bytes of a table with a place for each state and symbol; of a larger alphabet only the transitions are kept.
 TABLE_BYTES = 12 << 20
@@ -31,6 +29,9 @@ TABLE_BYTES = 12 << 20
 PASS_BYTES = 192 << 20
 WINDOW = 256
 UNKNOWN = "und"
+#: accepted() rejects a text of so many letters or more whose best language needs over so many times the phrases that the
+#: language's own text needs. Shorter texts can't be judged by their phrases.
+LEAST_LETTERS, MOST_RATE = 40, 3.5
 BLOCK = 500_000
 
 
@@ -174,21 +175,28 @@ class Model:
             out[i] = np.bincount(owner, weights=seen, minlength=rows).astype(np.int64)
         return out
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text (bytes)."""
+    def judged(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, rate and letters of each text (bytes). rate: phrases that the language needs for the text, over
+        those that it needs for its own; 0 without languages."""
         points, at = code_points(data, offsets)
-        letters = np.concatenate([[0], np.cumsum(LETTER[points])])
-        has = letters[at[1:]] > letters[at[:-1]]
+        count = np.concatenate([[0], np.cumsum(LETTER[points])])
+        letters = count[at[1:]] - count[at[:-1]]
+        none = np.zeros(len(letters))
         if not self.languages:
-            return [UNKNOWN] * len(has), np.zeros(len(has))
+            return [UNKNOWN] * len(letters), none, none, letters
         symbols = self.symbol[LOWER_POINT[points]]
         size = np.maximum(np.diff(at), 1)
-        # normalised phrases: phrases a character, over those of the language's own text; in bits a character
-        normal = self.phrases(symbols, at) / size * (math.log2(TRAIN_CHARS) / np.array(self.rates)[:, None])
+        # normalised phrases: phrases a character, over those of the language's own text
+        normal = self.phrases(symbols, at) / size / np.array(self.rates)[:, None]
         best = normal.argmin(0)
-        fit = (normal.min(0)[None, :] / np.maximum(normal, 1e-9)) ** 8
-        score = np.where(has, 1 / fit.sum(0), 0.0)
-        return [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.clip(score, 0, 1)
+        least = normal.min(0)
+        fit = (least[None, :] / np.maximum(normal, 1e-9)) ** 8
+        score = np.clip(np.where(letters > 0, 1 / fit.sum(0), 0.0), 0, 1)
+        return [self.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist(), strict=True)], score, least, letters
+
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text (bytes)."""
+        return self.judged(data, offsets)[:2]
 
 
 def _points() -> tuple[np.ndarray, np.ndarray]:
@@ -221,14 +229,18 @@ def train(labelled: DataFrame) -> Model:
     """A model from labelled (doc_id, text, lang); every language, bounded by TRAIN_DOCS and TRAIN_CHARS for each.
 
     Documents of a language are taken by a hash of doc_id, so that the order and number of the
-    partitions don't matter. Null texts and null languages are left out.
+    partitions don't matter. Null texts, null languages and null ids are left out; rows that repeat a doc_id
+    are rows each. No rows make a model without languages.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    order = lambda *more: F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", *more))
     keys = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    chosen = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= TRAIN_DOCS).select("doc_id")
-    taken = rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text"))
+    chosen = keys.withColumn("r", order()).filter(F.col("r") <= TRAIN_DOCS).select("doc_id").distinct()
+    begin = F.pmod(F.xxhash64("doc_id", F.length("text")), F.greatest(F.length("text") - DOC_CHARS, F.lit(0)) + 1).cast("int") + 1
+    taken = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substr("text", begin, F.lit(DOC_CHARS)).alias("text"))
+    taken = taken.withColumn("r", order("text")).filter(F.col("r") <= TRAIN_DOCS)
     texts: dict[str, str] = {}
-    for r in taken.orderBy("lang", "doc_id").collect():  # at most TRAIN_DOCS a language
+    for r in taken.select("lang", "doc_id", "text").orderBy("lang", "doc_id", "text").collect():  # at most TRAIN_DOCS a language
         if len(texts.get(r[0], "")) < TRAIN_CHARS * 5 // 4:
             texts[r[0]] = texts.get(r[0], "") + r[2] + "\n"
     return Model({k: v[: TRAIN_CHARS * 5 // 4] for k, v in texts.items()})
@@ -237,7 +249,8 @@ def train(labelled: DataFrame) -> Model:
 def predictions(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default doc_id), lang_pred and score, for each row.
 
-    Null text and text without a letter: `und`, score 0. Only the text is looked at.
+    Null text and text without a letter: `und`, score 0, as all texts where nothing was learned. Only the text is
+    looked at; rows that repeat are rows each.
     """
     keep = keep or ["doc_id"]
     small_batches(docs.sparkSession)
@@ -258,17 +271,27 @@ def predictions(docs: DataFrame, model: Model, keep: list[str] | None = None) ->
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(tidy(judge), schema)
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs in a language that the model can name, with all their columns; no shuffle."""
+def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None, least_score: float = 0.0, most_rate: float = MOST_RATE) -> DataFrame:
+    """The rows of docs in one of the languages (default: all that were learned), with all their columns; no shuffle.
+
+    A row goes if its text is null or has no letter, if its language isn't one of `languages`, if its score is under
+    least_score, or if no language fits it: a text of LEAST_LETTERS letters or more that takes over most_rate times the phrases of
+    its best language's own text, such as another script or strings of random letters. Where nothing was
+    learned nothing can be judged, and all rows stay. Rows that repeat are judged alike.
+    """
     small_batches(docs.sparkSession)
+    if not model.languages:
+        return docs
     sent, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    wanted = set(model.languages if languages is None else languages)
 
     def kept(batches):
         for batch in batches:
             data, offsets, _ = string_bytes(batch.column(column))
-            langs = []
+            mask = []
             for low, high in row_blocks(offsets, BLOCK):
-                langs += sent.value.predict(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])[0]
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+                said = sent.value.judged(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                mask += [lang in wanted and score >= least_score and (n < LEAST_LETTERS or rate <= most_rate) for lang, score, rate, n in zip(*said, strict=True)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(tidy(kept), docs.schema)

@@ -382,7 +382,24 @@ def test_language_of_odd_texts(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
     assert language_id.predictions(learned.limit(0), model).count() == 0
     assert {r.lang_pred for r in language_id.predictions(learned, language_id.train(learned.limit(0))).collect()} == {"und"}
-    assert language_id.accepted(frame(spark, ODD), model).columns == frame(spark, ODD).columns
+    docs = frame(spark, [*ODD, (30, "Это кот и собака на улице рядом с домом " * 2), (31, "xqzj vvkw " * 9), (32, "the cat went over there with them and the dog"), (33, "qq")])
+    kept = language_id.accepted(docs.drop("lang"), model)
+    assert kept.columns == docs.drop("lang").columns
+    texts = {r.text for r in kept.collect()}
+    assert docs.filter("doc_id = 32 OR doc_id = 33").count() == kept.filter("doc_id = 32 OR doc_id = 33").count() and not {30, 31} & {r.doc_id for r in kept.collect()}
+    assert None not in texts and "" not in texts and "   \n\t" not in texts
+    assert {r.doc_id for r in language_id.accepted(docs, model, languages=["xx"]).collect()}.isdisjoint({32})
+    assert language_id.accepted(docs, model, least_score=2.0).count() == 0
+    assert language_id.accepted(docs, language_id.train(learned.limit(0))).count() == docs.count()
+
+
+def test_training_rows_are_bounded_with_repeated_ids(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, f"text {i} " * 40, "en") for i in range(30)] + [(2, "mot " * 50, "fr")], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "Model", lambda texts: seen.append(texts))
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 3)
+    language_id.train(rows)
+    assert {k: v.count("\n") for k, v in seen[0].items()} == {"en": 3, "fr": 1}
 
 
 def test_decontamination_against_brute_force(spark):
