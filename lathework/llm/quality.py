@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, SPACE, row_blocks, running_hash, small_batches, span_hash, string_bytes, tidy, word_spans
 
-#: Labelled rows that the field is fitted on, at most, of texts of at most so many characters.
-FIT_ROWS, FIT_CHARS = 4000, 20_000
-BINS = 6
+#: Labelled rows that the field is fitted on, at most, and lines of one of them: a row of more lines gives as many runs of
+#: RUN_LINES lines, spread over all of it, each a chain of its own.
+FIT_ROWS, FIT_LINES, RUN_LINES = 4000, 400, 50
+BINS, FEATURES = 6, 12
 STEPS, RATE, DECAY = 120, 0.1, 1e-3
 
 _UPPER = np.zeros(256, bool)
@@ -53,7 +54,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray):
     starts, ends, rows = lines_of(data, offsets)
     n = len(starts)
     if not n:
-        return np.zeros((0, 12)), rows, np.zeros(0)
+        return np.zeros((0, FEATURES)), rows, np.zeros(0)
     size = (ends - starts).astype(float)
 
     def share(mask):
@@ -181,22 +182,43 @@ def _edges(values: np.ndarray) -> np.ndarray:
     return np.concatenate([at, np.full(BINS - 1 - len(at), np.inf)])
 
 
-def fit(texts: list[str], labels: list[int]) -> Field:
-    """A field from documents and their labels; without both kinds of label every score is a half."""
-    data, offsets, _ = string_bytes(pa.array(texts, pa.string()))
-    parts = []
-    for low, high in row_blocks(offsets):
-        part, of, _ = line_features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-        parts.append((part, of + low))
-    features, rows = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, 12)), np.zeros(0, np.int64))
+def runs_of(count: int) -> list[tuple[int, int]]:
+    """(first, end) of the runs of a row's lines that the field is fitted on."""
+    if count <= FIT_LINES:
+        return [(0, count)] if count else []
+    every, taken = -(-count // RUN_LINES), FIT_LINES // RUN_LINES
+    return [(k * RUN_LINES, min(count, (k + 1) * RUN_LINES)) for k in sorted({i * every // taken for i in range(taken)})]
+
+
+def chains(rows: DataFrame) -> DataFrame:
+    """label, lines: of rows (label, text), each run that the field is fitted on, as its lines' features in one array."""
+
+    def made(batches):
+        for batch in batches:
+            data, offsets, _ = string_bytes(batch.column(1))
+            label = batch.column(0).to_pylist()
+            for low, high in row_blocks(offsets):
+                features, of, _ = line_features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                for name, first, count in zip(*(x.tolist() for x in grid(of)), strict=True):
+                    parts = [features[first + a : first + b].ravel() for a, b in runs_of(count)]
+                    yield pa.RecordBatch.from_arrays([pa.array([label[low + name]] * len(parts), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], names=["label", "lines"])
+
+    return rows.mapInArrow(tidy(made), "label int, lines array<double>")
+
+
+def fit(parts: list[tuple[int, np.ndarray]]) -> Field:
+    """A field from chains (label, line x feature); without both kinds of label every score is a half."""
+    labels = np.array([label for label, _ in parts], float)
+    features = np.concatenate([x for _, x in parts]) if parts else np.zeros((0, FEATURES))
+    rows = np.repeat(np.arange(len(parts)), [len(x) for _, x in parts])
     width = features.shape[1]
     edges = np.stack([_edges(features[:, k]) for k in range(width)])
     field = Field(edges, np.zeros((3, width, BINS + 1)), np.zeros((2, 2)), np.zeros(1))
-    if not len(rows) or len(set(labels)) < 2:
+    if not len(rows) or len(set(labels.tolist())) < 2:
         return field
     names, first, count = grid(rows)
     bins = neighbours(field.bins(features), first, count)
-    truth = np.asarray(labels, float)[rows]
+    truth = labels[rows]
     known = np.zeros((2, 2))
     for k in (0, 1):
         known[k, k] = (count - 1)[truth[first] == k].sum()
@@ -220,20 +242,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Field:
     """A field from docs (doc_id, text) and labels (doc_id, quality), both without what is held out.
 
     Fitted on at most `most` labelled rows, half of either label where there are so many: those of the
-    least hash of doc_id. Rows with a null label, text or doc_id are left out.
+    least hash of doc_id. Rows with a null label, text or doc_id are left out; a doc_id's least label counts, and
+    each of its texts is a row. Their lines' features are made on the executors.
     """
-    texts = docs.filter(F.length("text").between(1, FIT_CHARS)).select("doc_id", "text")
+    texts = docs.filter("length(text) > 0").select("doc_id", "text")
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows: list = []
-    for value in (0, 1):
+
+    def least(value: int) -> DataFrame:
         have = texts.select("doc_id").join(known.filter(F.col("quality") == value), "doc_id", "left_semi")
-        ids = have.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most // 2)
-        rows += [(r[0], value) for r in texts.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").orderBy("doc_id", "text").select("text").limit(most // 2).collect()]
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+        ids = have.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most // 2).distinct()
+        rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("h"), "text")
+        return rows.orderBy("doc_id", "h").limit(most // 2).select(F.lit(value).alias("label"), "text")
+
+    small_batches(docs.sparkSession)
+    # at most `most` rows of at most FIT_LINES lines
+    made = chains(least(0).unionAll(least(1))).collect()
+    return fit(sorted(((r[0], np.array(r[1], float).reshape(-1, FEATURES)) for r in made), key=lambda x: (x[0], len(x[1]), x[1].tobytes())))
 
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id and score of each row: 0 to 1, higher for good. Null counts as empty: no line, the chain's own chance."""
+    """doc_id and score of each row: 0 to 1, higher for good. Null counts as empty: no line, the chain's own chance.
+
+    Rows that repeat are rows each; no rows give no rows.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 

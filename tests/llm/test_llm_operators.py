@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import math
 import random
 import re
 import zlib
@@ -489,6 +490,53 @@ def test_toxicity_learns_words(spark):
     assert all(r.score < 0.7 for r in toxicity.scored(frame(spark, ODD), toxicity.train(frame(spark, rows), labels.limit(0))).collect())
 
 
+def test_risk_and_its_gradient_against_plain_numpy():
+    rng = np.random.default_rng(5)
+    x_p, x_u = (np.hstack([rng.integers(0, 2, (n, 4)), np.ones((n, 1))]).astype(float) for n in (30, 200))
+    prior, w = 0.2, rng.normal(size=5)
+    log_loss = lambda x, y, v: np.mean([math.log(1 + math.exp(-y * float(r @ v))) for r in x])
+
+    def parts(v):
+        return prior * log_loss(x_p, 1, v), log_loss(x_u, -1, v) - prior * log_loss(x_p, -1, v)
+
+    positive, negative, d_positive, d_negative = toxicity.risk(w, x_p, x_u, prior)
+    assert np.allclose((positive, negative), parts(w))
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-5
+        a, b = parts(w + step), parts(w - step)
+        assert np.allclose([d_positive[k], d_negative[k]], [(a[0] - b[0]) / 2e-5, (a[1] - b[1]) / 2e-5], atol=1e-6)
+
+
+def test_descent_keeps_the_negatives_risk_from_falling_below_zero():
+    rng = np.random.default_rng(6)
+    sign = rng.random(400) < 0.25  # of the unlabelled rows; all positives have it
+    x_u = np.stack([sign, rng.random(400) < 0.5, rng.random(400) < 0.5], axis=1).astype(np.float32)
+    x_p = np.stack([np.ones(60), rng.random(60) < 0.5, rng.random(60) < 0.5], axis=1).astype(np.float32)
+    start = math.log(0.25 / 0.75)
+    w, bias = toxicity.descend(x_p, x_u, 0.25, start)
+    ones = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
+    before = toxicity.risk(np.array([0, 0, 0, start]), ones(x_p), ones(x_u), 0.25)
+    after = toxicity.risk(np.append(w, bias), ones(x_p), ones(x_u), 0.25)
+    assert max(after[1], 0) + after[0] < 0.5 * (before[1] + before[0]) and after[1] > -0.02
+    assert ((ones(x_u) @ np.append(w, bias) > 0) == sign).all()
+
+
+def test_long_rows_are_learned_from(spark):
+    long = lambda i, mark: " ".join(f"{words(10 * i + k, 500, 3000)} {mark}" for k in range(8))  # noqa: E731  over 20,000 characters
+    rows = [(i, long(i, "loweibad") if i % 4 == 0 else long(i, "fine")) for i in range(160)]
+    assert min(len(t) for _, t in rows) > 20_000
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), int(i % 4 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, rows).filter("doc_id < 150"), labels)
+    assert all((r.score >= 0.7) == (r.doc_id % 4 == 0) for r in toxicity.scored(frame(spark, rows).filter("doc_id >= 150"), model).collect())
+    lines = lambda i, bad: "\n".join(f"{words(i * 99 + k, 6).upper()}!! | x | x" if bad else f"The {words(i * 99 + k, 6)}." for k in range(900))
+    rows = [(i, lines(i, i % 4 == 0)) for i in range(16)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    assert len(quality.runs_of(900)) == quality.FIT_LINES // quality.RUN_LINES and quality.runs_of(900)[0][0] == 0 and quality.runs_of(400) == [(0, 400)]
+    field = quality.train(frame(spark, rows).filter("doc_id < 12"), labels)
+    assert all((r.score >= 0.5) == (r.doc_id % 4 != 0) for r in quality.scored(frame(spark, rows).filter("doc_id >= 12"), field).collect())
+    assert quality.scored(frame(spark, rows).limit(0), field).count() == 0
+
+
 def test_quality_learns_lines(spark):
     good = lambda i: "\n".join(f"The {words(i * 9 + k, 12)}." for k in range(4))
     bad = lambda i: "\n".join(f"{words(i * 9 + k, 6).upper()}!! | x | x | x" for k in range(3))
