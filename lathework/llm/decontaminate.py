@@ -1,26 +1,28 @@
-"""Benchmark decontamination: BM25 over test items with block-max pruning.
+"""Benchmark decontamination: a BM25 inverted index of test items with block maxima, searched as in WAND.
 
-Test items are the indexed side: an inverted index with, for each term, its
-largest weight overall and in each block of items. Every passage of every
-document is a query. As in block-max WAND a passage is left when the sum of its
+Test items are the indexed side: each term has a posting list of items in order
+of their blocks, with its largest weight overall and in each block of its list.
+Every passage of every document is a query. A passage is left when the sum of its
 terms' largest weights can't reach any threshold, a block of items when the sum
-of the terms' block maxima can't; what is left is scored in full, and every item
-at or above its threshold is verified by the five-word shingles of its question
-and of its answer. Passages overlap by half, and are as long as two longest
-items, so that an item's copy lies in one of them whole. A longer item than
-ITEM_WORDS is searched by pieces of about equal length, each a candidate only: where
-one is found, the whole item is verified in the words as far as it reaches on both sides.
+of the terms' block maxima can't; the postings of what is left are scored in
+full, and every item at or above its threshold is verified by the five-word
+shingles of its question and of its answer. Passages overlap by half, and are as
+long as two longest items, so that an item's copy lies in one of them whole. A
+longer item than ITEM_WORDS is searched by pieces of about equal length, each a
+candidate only: where one is found, the whole item is verified in the words as
+far as it reaches on both sides. Document frequencies, the mean length and the
+length of passages are those of all items, however many indexes hold them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, string_bytes, tidy, word_spans
+from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, spread, string_bytes, tidy, word_spans
 
 K1, B = 1.2, 0.75
 #: A passage must reach this share of an item's score for its own text.
@@ -30,12 +32,12 @@ SHARE = 0.6
 OVERLAP, PART_OVERLAP = 0.8, 0.4
 SHINGLE = 5
 BLOCK_ITEMS = 8
-#: Items of one index part, and words of an item; a longer item is searched by several pieces.
-PART_ITEMS, ITEM_WORDS = 256, 512
+#: Words of an item; a longer item is searched by several pieces.
+ITEM_WORDS = 512
 #: Bytes of text searched together.
 SEARCH_BYTES = 250_000
-#: Items that are sent to executors together; more items take more passes over the documents.
-PASS_ITEMS = 8192
+#: Words of the items that are sent to executors as one index (some 40 bytes a word); more take more passes over the documents.
+PASS_WORDS = 1_000_000
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,21 +58,71 @@ def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 
 
 @dataclass
-class Part:
-    """An index of at most PART_ITEMS items."""
+class Statistics:
+    """Of all items: pieces, hashes of their words in order, pieces that have each, mean words of a piece, most words of one."""
+
+    pieces: int
+    terms: np.ndarray
+    frequency: np.ndarray
+    mean: float
+    longest: int
+
+    def weights(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms of a text and their BM25 weights in it."""
+        terms, tf = np.unique(words, return_counts=True)
+        df = self.frequency[np.searchsorted(self.terms, terms)]
+        idf = np.log(1 + (self.pieces - df + 0.5) / (df + 0.5))
+        return terms, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / self.mean))
+
+
+def _cut(words: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(words, -(-len(words) // ITEM_WORDS))
+
+
+def statistics(items) -> Statistics:
+    """Of (item_id, text); null or wordless texts are no items. Holds a number for each distinct word."""
+    terms, frequency = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    new: list[np.ndarray] = []
+    pieces = total = longest = held = 0
+
+    def merge():
+        nonlocal terms, frequency, new, held
+        every, back = np.unique(np.concatenate([terms, *new]), return_inverse=True)
+        frequency = np.bincount(back, weights=np.concatenate([frequency, np.ones(len(back) - len(terms))]), minlength=len(every)).astype(np.int64)
+        terms, new, held = every, [], 0
+
+    for _, text in items:
+        words = _words(text or "")
+        for piece in _cut(words) if len(words) else []:
+            pieces, total, longest = pieces + 1, total + len(piece), max(longest, len(piece))
+            new.append(np.unique(piece))
+            held += len(new[-1])
+        if held > 1_000_000:
+            merge()
+    merge()
+    return Statistics(pieces, terms, frequency, total / max(pieces, 1), longest)
+
+
+@dataclass
+class Index:
+    """Posting lists of items, or of pieces of long ones; both by column, with blocks of BLOCK_ITEMS columns."""
 
     items: list
-    vocabulary: np.ndarray  # sorted hashes
-    weights: np.ndarray  # term x item
-    top: np.ndarray  # term: largest weight
-    block_top: np.ndarray  # term x block
-    least: np.ndarray  # item: threshold
-    block_least: np.ndarray
+    terms: np.ndarray  # sorted hashes
+    top: np.ndarray  # of each term: largest weight
+    lists: np.ndarray  # first posting of each term, and the end
+    columns: np.ndarray  # of each posting, ascending in a list
+    weights: np.ndarray
+    block_lists: np.ndarray  # first block of each term's list, and the end
+    blocks: np.ndarray  # of each block of a list, ascending
+    block_first: np.ndarray  # its first posting, and the end
+    block_top: np.ndarray  # its largest weight
+    least: np.ndarray  # of each column: threshold
+    block_least: np.ndarray  # of each block
     #: of the whole item, also where the column is a piece of it
-    questions: list = field(default_factory=list)
-    answers: list = field(default_factory=list)
-    lengths: list = field(default_factory=list)  # words of the item or piece
-    wholes: list = field(default_factory=list)  # of a piece: words, terms and weights of its item; else None
+    questions: list
+    answers: list
+    wholes: list  # of a piece: words, terms and weights of its item; else None
 
 
 def question_words(text: str) -> int:
@@ -88,8 +140,8 @@ def _words(text: str) -> np.ndarray:
     return words_of(data, np.array([0, len(data)]))[0]
 
 
-def build(items: list[tuple]) -> list[Part]:
-    """Index parts of (item_id, text); null or wordless texts are in none, and match nothing."""
+def build(items: list[tuple], known: Statistics) -> Index | None:
+    """The index of (item_id, text); null or wordless texts are left out, and match nothing."""
     cut, marks = [], []
     for item, text in items:
         words = _words(text or "")
@@ -98,80 +150,69 @@ def build(items: list[tuple]) -> list[Part]:
         q, n = question_words(text), min(SHINGLE, len(words))
         all_of = shingles(words, n)
         question, answer = all_of[: max(1, min(q, len(all_of)))], all_of[min(max(0, q - n + 1), len(all_of) - 1) :]
-        marks.append(((n, np.unique(question)), (n, np.unique(answer)), words))
-        cut += [(item, piece, len(marks) - 1) for piece in np.array_split(words, -(-len(words) // ITEM_WORDS))]
+        whole = (len(words), *known.weights(words)) if len(words) > ITEM_WORDS else None
+        marks.append(((n, np.unique(question)), (n, np.unique(answer)), whole))
+        cut += [(item, known.weights(piece), len(marks) - 1) for piece in _cut(words)]
     if not cut:
-        return []
-    distinct, df = np.unique(np.concatenate([np.unique(w) for _, w, _ in cut]), return_counts=True)
-    idf_all = np.log(1 + (len(cut) - df + 0.5) / (df + 0.5))
-    mean = float(np.mean([len(w) for _, w, _ in cut]))
-
-    def weights(words: np.ndarray):
-        terms, tf = np.unique(words, return_counts=True)
-        return terms, idf_all[np.searchsorted(distinct, terms)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
-
-    own = [weights(w) for _, w, _ in cut]
-    wholes = [(len(w), *weights(w)) if len(w) > ITEM_WORDS else None for *_, w in marks]
-    order = sorted(range(len(cut)), key=lambda i: own[i][1].sum())
-    parts = []
-    for low in range(0, len(order), PART_ITEMS):
-        chosen = order[low : low + PART_ITEMS]
-        vocabulary = np.unique(np.concatenate([own[i][0] for i in chosen]))
-        table = np.zeros((len(vocabulary), len(chosen)), np.float64)
-        for column, i in enumerate(chosen):
-            table[np.searchsorted(vocabulary, own[i][0]), column] = own[i][1]
-        begins = np.arange(0, len(chosen), BLOCK_ITEMS)
-        least = SHARE * table.sum(0)
-        part = Part([cut[i][0] for i in chosen], vocabulary, table, table.max(1), np.maximum.reduceat(table, begins, axis=1), least, np.minimum.reduceat(least, begins))
-        for i in chosen:
-            _, words, of = cut[i]
-            part.questions.append(marks[of][0])
-            part.answers.append(marks[of][1])
-            part.lengths.append(len(words))
-            part.wholes.append(wholes[of])
-        parts.append(part)
-    return parts
-
-
-def longest(parts: list[Part]) -> int:
-    return max((n for p in parts for n in p.lengths), default=0) + SHINGLE
-
-
-def search(part: Part, words: np.ndarray, passage: np.ndarray, step: int):
-    """(passage, item column, score) at or above thresholds.
-
-    words: hashes in order of documents; passage: the number of each word's segment of `step` words.
-    Passage k is the segments k and k + 1; numbers of segments of different documents aren't adjacent.
+        return None
+    cut.sort(key=lambda x: x[1][1].sum())  # blocks of like thresholds
+    hashes, weights = (np.concatenate([own[k] for _, own, _ in cut]) for k in (0, 1))
+    columns = np.repeat(np.arange(len(cut), dtype=np.int32), [len(own[0]) for _, own, _ in cut])
+    order = np.lexsort((columns, hashes))
+    hashes, weights, columns = hashes[order], weights[order], columns[order]
+    terms, lists = np.unique(hashes, return_index=True)
+    lists = np.append(lists, len(hashes))
+    block = columns // BLOCK_ITEMS
+    opens = np.ones(len(block), bool)
+    opens[1:] = (block[1:] != block[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(opens)
+    least = SHARE * np.array([own[1].sum() for _, own, _ in cut])
+    return Index(
+        [item for item, _, _ in cut], terms, np.maximum.reduceat(weights, lists[:-1]), lists, columns, weights,
+        np.searchsorted(first, lists), block[first], np.append(first, len(hashes)), np.maximum.reduceat(weights, first),
+        least, np.minimum.reduceat(least, np.arange(0, len(cut), BLOCK_ITEMS)),
+        [marks[of][0] for *_, of in cut], [marks[of][1] for *_, of in cut], [marks[of][2] for *_, of in cut],
+    )
+
+
+def search(index: Index, words: np.ndarray, passage: np.ndarray):
+    """(passage, column, score) at or above thresholds.
+
+    words: hashes in order of documents; passage: the number of each word's segment. Passage k is the segments
+    k and k + 1; numbers of segments of different documents aren't adjacent.
     """
-    at = np.minimum(np.searchsorted(part.vocabulary, words), len(part.vocabulary) - 1)
-    known = part.vocabulary[at] == words
-    n = len(part.vocabulary)
+    at = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
+    known = index.terms[at] == words
+    n = len(index.terms)
     pairs = np.unique(passage[known] * n + at[known])
     pairs = np.unique(np.concatenate([pairs, pairs[pairs >= n] - n]))
     query, term = pairs // n, pairs % n
     if not len(query):
         return []
-
-    def starts(q):
-        return np.flatnonzero(np.diff(q, prepend=q[0] - 1))
-
     slack = 1 - 1e-9  # sums of another order may differ in the last place
-    begins = starts(query)
-    bound = np.add.reduceat(part.top[term], begins)
-    alive = np.repeat(bound >= part.block_least.min() * slack, np.diff(np.append(begins, len(query))))
+    begins = np.flatnonzero(np.diff(query, prepend=query[0] - 1))
+    bound = np.add.reduceat(index.top[term], begins)
+    alive = np.repeat(bound >= index.block_least.min() * slack, np.diff(np.append(begins, len(query))))
     query, term = query[alive], term[alive]
     if not len(query):
         return []
-    begins = starts(query)
-    ends = np.append(begins[1:], len(query))
-    bounds = np.add.reduceat(part.block_top[term], begins, axis=0)
-    found = []
-    for q, block in zip(*np.nonzero(bounds >= part.block_least * slack), strict=True):
-        columns = slice(block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS)
-        scores = part.weights[term[begins[q] : ends[q]], columns].sum(0)
-        for k in np.flatnonzero(scores >= part.least[columns] * slack):
-            found.append((int(query[begins[q]]), int(block * BLOCK_ITEMS + k), float(scores[k])))
-    return found
+    # of each passage that is left, the blocks of its terms' lists, and the sums of their maxima
+    owner, place = spread(index.block_lists[term + 1] - index.block_lists[term])
+    entry = index.block_lists[term][owner] + place
+    queries, number = np.unique(query, return_inverse=True)
+    width = len(index.block_least)
+    cell, back = np.unique(number[owner] * width + index.blocks[entry], return_inverse=True)
+    good = np.bincount(back, weights=index.block_top[entry]) >= index.block_least[cell % width] * slack
+    kept = good[back]
+    entry, number = entry[kept], number[owner][kept]
+    if not len(entry):
+        return []
+    owner, place = spread(index.block_first[entry + 1] - index.block_first[entry])
+    posting = index.block_first[entry][owner] + place
+    cell, back = np.unique(number[owner] * len(index.items) + index.columns[posting], return_inverse=True)
+    score, column = np.bincount(back, weights=index.weights[posting]), cell % len(index.items)
+    found = np.flatnonzero(score >= index.least[column] * slack)
+    return list(zip(queries[cell[found] // len(index.items)].tolist(), column[found].tolist(), score[found].tolist(), strict=True))
 
 
 def _overlaps(question: tuple[int, np.ndarray], answer: tuple[int, np.ndarray], words: np.ndarray) -> tuple[float, float, float]:
@@ -181,8 +222,11 @@ def _overlaps(question: tuple[int, np.ndarray], answer: tuple[int, np.ndarray],
     return tuple(float(np.isin(x, have).mean()) for x in (np.union1d(q, a), q, a))
 
 
-def matches(parts: list[Part], step: int, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
-    """(row, item, score, question share, answer share) of verified items, the best passage of each."""
+def matches(index: Index, step: int, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+    """(row, item, score, question share, answer share) of verified items, the best passage of each.
+
+    step: words of a segment, as many as the longest item or piece has and a shingle more.
+    """
     words, rows = words_of(data, offsets)
     if not len(words):
         return []
@@ -193,48 +237,57 @@ def matches(parts: list[Part], step: int, data: np.ndarray, offsets: np.ndarray)
     passage = base[rows] + (np.arange(len(words)) - first[rows]) // step
     best: dict[tuple, tuple] = {}
     seen: set[tuple] = set()  # long items and the words that these were verified in
-    for part in parts:
-        for number, column, score in search(part, words, passage, step):
-            low, high = np.searchsorted(passage, [number, number + 2])
-            row = int(rows[low]) if low < len(rows) else -1
-            if of := part.wholes[column]:
-                reach, terms, weights = of
-                low, high = max(first[row], low - reach), min(first[row] + per_row[row], high + reach)
-                if (id(of), low, high) in seen:
-                    continue
-                seen.add((id(of), low, high))
-                score = float(weights[np.isin(terms, words[low:high])].sum())
-            share, q, a = _overlaps(part.questions[column], part.answers[column], words[low:high])
-            key = (row, part.items[column])
-            held = min(q, a) >= OVERLAP or share >= OVERLAP and min(q, a) >= PART_OVERLAP
-            if held and (key not in best or best[key][0] < score):
-                best[key] = (score, q, a)
+    for number, column, score in search(index, words, passage):
+        low, high = np.searchsorted(passage, [number, number + 2])
+        row = int(rows[low]) if low < len(rows) else -1
+        if of := index.wholes[column]:
+            reach, terms, weights = of
+            low, high = max(first[row], low - reach), min(first[row] + per_row[row], high + reach)
+            if (id(of), low, high) in seen:
+                continue
+            seen.add((id(of), low, high))
+            score = float(weights[np.isin(terms, words[low:high])].sum())
+        share, q, a = _overlaps(index.questions[column], index.answers[column], words[low:high])
+        key = (row, index.items[column])
+        held = min(q, a) >= OVERLAP or share >= OVERLAP and min(q, a) >= PART_OVERLAP
+        if held and (key not in best or best[key][0] < score):
+            best[key] = (score, q, a)
     return [(row, item, *x) for (row, item), x in sorted(best.items(), key=lambda y: (y[0][0], str(y[0][1])))]
 
 
-def _passes(benchmark: DataFrame):
-    part: list[tuple] = []
+def _items(benchmark: DataFrame):
     for r in benchmark.select("item_id", "text").filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        part.append((r[0], r[1]))
-        if len(part) == PASS_ITEMS:
-            yield part
-            part = []
-    if part:
-        yield part
+        yield r[0], r[1]
 
 
-def _rows_with(docs: DataFrame, parts: list[Part]):
+def _finders(docs: DataFrame, benchmark: DataFrame):
+    """For each index of items a function that gives the matches in a column of texts."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(parts)
-    step = longest(parts)
+    known = statistics(_items(benchmark))
+    step = known.longest + SHINGLE
+
+    def finder(part: list[tuple]):
+        sent = docs.sparkSession.sparkContext.broadcast(build(part, known))
 
-    def of(column):
-        data, offsets, _ = string_bytes(column)
-        for low, high in row_blocks(offsets, SEARCH_BYTES):
-            for row, *rest in matches(sent.value, step, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]):
-                yield low + row, *rest
+        def find(column):
+            data, offsets, _ = string_bytes(column)
+            for low, high in row_blocks(offsets, SEARCH_BYTES):
+                for row, *rest in matches(sent.value, step, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]):
+                    yield low + row, *rest
 
-    return of
+        return find
+
+    part, held = [], 0
+    for item, text in _items(benchmark) if known.pieces else []:
+        if not (size := len(_words(text))):
+            continue
+        if part and held + size > PASS_WORDS:
+            yield finder(part)
+            part, held = [], 0
+        part.append((item, text))
+        held += size
+    if part:
+        yield finder(part)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -245,8 +298,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
-    for items in _passes(benchmark):
-        find = _rows_with(docs, build(items))
+    for find in _finders(docs, benchmark):
 
         def hits(batches, find=find):
             for batch in batches:
@@ -261,11 +313,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns; no shuffle."""
+    """The rows of docs that hold no item, with all their columns; no shuffle.
+
+    Null and empty texts hold nothing and stay; rows that repeat are judged alike; without items all rows stay.
+    """
     column = docs.columns.index("text")
     out = docs
-    for items in _passes(benchmark):
-        find = _rows_with(docs, build(items))
+    for find in _finders(docs, benchmark):
 
         def kept(batches, find=find):
             for batch in batches:

@@ -462,20 +462,41 @@ def test_items_with_one_word_changed_are_found(spark):
 
 def test_pruned_scores_are_all_scores():
     items = [(i, words(40 + i, 12, 60)) for i in range(40)]
-    part = decontaminate.build(items)[0]
+    known = decontaminate.statistics(items)
+    index = decontaminate.build(items, known)
     rng = random.Random(9)
     text = [w for i in range(30) for w in (items[rng.randrange(40)][1] if i % 2 else words(i, 20, 60)).split()]
     hashes, step = decontaminate._words(" ".join(text)), 16
     passage = np.arange(len(hashes)) // step + 1
-    got = {(q, k): s for q, k, s in decontaminate.search(part, hashes, passage, step)}
+    got = {(q, index.items[k]): s for q, k, s in decontaminate.search(index, hashes, passage)}
+    # BM25 from its definition, with plain words
+    of = {i: x.split() for i, x in items}
+    mean, df = sum(map(len, of.values())) / 40, Counter(w for x in of.values() for w in set(x))
+
+    def weight(w, x):
+        tf = x.count(w)
+        return math.log(1 + (40 - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+
     want = {}
     for q in range(passage.max() + 1):
-        terms = np.unique(hashes[(passage == q) | (passage == q + 1)])
-        known = np.flatnonzero(np.isin(part.vocabulary, terms))
-        for k, s in enumerate(part.weights[known].sum(0)):
-            if s >= part.least[k]:
-                want[(q, k)] = s
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        held = {w for w, p in zip(text, passage, strict=True) if p in (q, q + 1)}
+        for i, x in of.items():
+            score = sum(weight(w, x) for w in set(x) & held)
+            if score >= 0.6 * sum(weight(w, x) for w in set(x)):
+                want[(q, i)] = score
+    assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_items_are_found_alike_in_one_index_or_many(spark, monkeypatch):
+    items = [(i, f"Is {words(700 + i, 14)} so? It {words(900 + i, 3 + i)}.") for i in range(7)] + [(8, words(52, 700, 5000)), (9, None)]
+    rows = [(i, f"{words(2000 + i, 50)} {items[i % 9][1]} {words(2100 + i, 60)}") for i in range(18)] + [(30, None), (31, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.contaminated(frame(spark, rows), benchmark).collect()))
+    left = sorted(r.doc_id for r in decontaminate.clean(frame(spark, rows), benchmark).collect())
+    assert {(d, i) for d, i, *_ in one} == {(d, items[d % 9][0]) for d in range(18) if d % 9 != 8} and left == [8, 17, 30, 31]
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 2)
+    assert sorted(map(tuple, decontaminate.contaminated(frame(spark, rows), benchmark).collect())) == one
+    assert sorted(r.doc_id for r in decontaminate.clean(frame(spark, rows), benchmark).collect()) == left
 
 
 def test_toxicity_learns_words(spark):
