@@ -11,37 +11,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
-from lathework.llm.shared import few_enough, table, written
+from lathework.llm.shared import discard, table, written
 
 
 def named_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without text or without a letter, which no language is named for, go."""
+    """Language ID: documents that it names no language for go.
+
+    These are null texts, texts without a letter, and texts of LEAST_LETTERS letters or more that take over MOST_RATE
+    times the phrases of their best language's own text (other scripts, strings of random letters). All learned languages
+    and all scores are kept. Without any labelled text nothing can be judged, and all documents stay.
+    """
     learned = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    return language_id.accepted(docs, language_id.train(learned))
+    return language_id.accepted(docs, language_id.train(learned), most_rate=language_id.MOST_RATE)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the row with the largest doc_id stays."""
+    """Exact dedup: of equal texts the row with the largest doc_id stays; null counts as empty. Of rows that repeat both one stays."""
     return exact_dedup.deduplicated(docs)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: five-word shingles, similarity 0.8 or more; of each group the least doc_id stays.
 
-    Rows without a doc_id can't be named as dropped, and stay.
+    What goes is a row by its doc_id and text: another text of the same doc_id stays. Rows without a word stay, and rows
+    without a doc_id go where their group has one with.
     """
-    groups = jaccard_join.join(docs, words=5, percent=80)
-    gone = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if few_enough(gone) else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return jaccard_join.distinct(docs, words=5, percent=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
+    """Benchmark decontamination: documents that hold a benchmark item go; null and empty texts hold none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: pieces of all documents in sequences of at most 1024 ids."""
+    """Packing: pieces of all documents in sequences of at most 1024 ids. A null text is the end id alone; rows that repeat
+    are documents each; no document gives no piece."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024)
@@ -60,8 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; a stage's table goes when the next one is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
