@@ -47,3 +47,20 @@ def test_native_plans_have_no_python(spark, small):
     for name in ("ocr_char_error_by_lang", "ocr_word_distance_by_lang", "structured_report", "upsert_corrections", "llm_reply_parse"):
         plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
+
+
+def test_rest_works_without_the_llm_folders(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    said = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sorted(k for k in e.queries() if k.startswith('op') and k[2].isdigit() or k == 'pipeline'))"
+    for gone in ((), ("corpus_pipeline.py",)):
+        for name in gone:
+            (copy / name).unlink()
+        got = subprocess.run([sys.executable, "-c", said], cwd=copy, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+        assert got.stdout.split() == [str(len(queries.QUERIES)), str(len(ORACLE_SQL)), "[]"], got.stderr
