@@ -191,7 +191,7 @@ class Model:
         best = normal.argmin(0)
         least = normal.min(0)
         fit = (least[None, :] / np.maximum(normal, 1e-9)) ** 8
-        score = np.clip(np.where(letters > 0, 1 / fit.sum(0), 0.0), 0, 1)
+        score = np.clip(np.where(letters > 0, 1 / np.maximum(fit.sum(0), 1e-9), 0.0), 0, 1)
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist(), strict=True)], score, least, letters
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:

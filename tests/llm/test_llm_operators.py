@@ -1,5 +1,6 @@
 """Each operator on odd rows (nulls, empty and long texts, repeats, ties, clashing columns, no rows) and against brute force."""
 
+import functools
 import hashlib
 import heapq
 import math
@@ -185,10 +186,15 @@ def vocabulary(name):
     return pytest.importorskip("public_tokenizers").path(name)
 
 
-def reference_ids(name, text, end):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
-    return np.array([*Tokenizer.from_file(vocabulary(name)).encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return Tokenizer.from_file(vocabulary(name))
+
+
+def reference_ids(name, text, end):
+    return np.array([*library(name).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_simple8b_round_trip():
