@@ -25,31 +25,56 @@ PATTERNS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]+", 0, 32),
 }
-#: To skip the many short runs of a-f without listing them: a run that can't be 32 long has no match of 32.
-_HEX_LONG = r"[0-9a-f]{32,}"
+#: Runs that the scans list: from where a run begins, as what is shorter has no match inside. The hex pattern's measured ones
+#: lie in runs that the Markov models judge, so these are looked for first.
+_HEX_LONG = r"(?<![0-9a-f])[0-9a-f]{32,}"
+#: What a text with an assignment holds in lower case.
+_KEYS = ("passw", "secret", "token", "api_key", "apikey")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Tokens that the Markov models judge.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: Least sum of log-likelihood ratios, in nats, of a token that is taken for random.
 LEAST_RATIO = 12.0
 #: Documents that labelled samples are taken from, and rule-made random strings beside them.
-SAMPLE_DOCS, SAMPLE_RANDOM = 1500, 3000
+SAMPLE_DOCS, SAMPLE_RANDOM = 300, 3000
+#: Lengths that are added up together, so that places in a text of many matches don't cost their square.
+RUN = 64
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, not wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(values: Column, first: Column, count: Column) -> Column:
+    """Of `count` values from place `first` (from 0)."""
+    return F.aggregate(F.slice(values, first + 1, count), F.lit(0), lambda acc, x: acc + x)
 
 
 def _spans(text: Column, pattern: str, found: Column, measured: Column, least: int) -> Column:
-    """array<struct<start,end,value>> of the matches whose measured group has the least length."""
-    between = F.split(text, pattern, -1)
+    """array<struct<start,end,value>> of the matches whose measured group has the least length; null where nothing is found.
+
+    Steps from one match's end to the next one's are added up by runs of RUN and then within a run.
+    """
+    size = F.size(found)
+    runs = F.sequence(F.lit(0), F.floor((size - 1) / RUN).cast("int"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(acc["between"], i))
-        match = F.get(acc["found"], i)
-        end = start + F.length(match)
-        one = F.when(F.length(F.get(acc["measured"], i)) >= least, F.array(F.struct(start.alias("start"), end.alias("end"), match.alias("value")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"), acc["between"].alias("between"), acc["found"].alias("found"), acc["measured"].alias("measured"))
+    def placed(gaps: Column, matches: Column, groups: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"), between.alias("between"), found.alias("found"), measured.alias("measured"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded)
+        def one(ends: Column, before: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                run = F.floor(i / RUN).cast("int")
+                end = F.get(before, run) + _sum(ends, run * RUN, i - run * RUN + 1)
+                return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"), F.length(F.get(groups, i)).alias("measure"))
+
+            return F.transform(matches, span)
+
+        return _let(steps, lambda s: _let(F.transform(runs, lambda k: _sum(s, k * RUN, F.lit(RUN))), lambda sums: _let(F.transform(runs, lambda k: _sum(sums, F.lit(0), k)), lambda before: one(s, before))))
+
+    all_of = _let(F.split(text, pattern, -1), lambda gaps: _let(found, lambda matches: _let(measured, lambda groups: placed(gaps, matches, groups))))
+    kept = F.transform(F.filter(all_of, lambda s: s["measure"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.when(size > 0, kept)
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -57,18 +82,27 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text ('' for null) and, for each pattern, its spans (null: none)."""
+    """doc_id, text ('' for null), for each pattern its spans, and `long`, those of CANDIDATE (null: none).
+
+    Plain words are looked for before a pattern is, and a pattern's matches are listed once.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    for kind, (pattern, group, least) in PATTERNS.items():
-        scan = _HEX_LONG if kind == "hex" else pattern
-        rows = rows.withColumn(f"{kind}_found", _all(F.col("text"), scan))
-        rows = rows.withColumn(f"{kind}_measured", F.when(F.size(f"{kind}_found") > 0, _all(F.col("text"), scan, group)) if group else F.col(f"{kind}_found"))
-        rows = rows.withColumn(kind, _spans(F.col("text"), scan, F.col(f"{kind}_found"), F.col(f"{kind}_measured"), least))
-    return rows.select("doc_id", "text", *PATTERNS)
+    text, none = F.col("text"), F.array().cast("array<string>")
+    low = F.lower(text)
+    keyed = low.contains(_KEYS[0])
+    for key in _KEYS[1:]:
+        keyed |= low.contains(key)
+    pattern, group, least = PATTERNS["assign"]
+    rows = rows.withColumns({"long_found": _all(text, CANDIDATE), "assign_found": F.when(keyed, _all(text, pattern)).otherwise(none), "access_found": F.when(text.contains("AKIA"), _all(text, PATTERNS["access"][0])).otherwise(none)})
+    rows = rows.withColumn("hex_found", F.when(F.size("long_found") > 0, _all(text, _HEX_LONG)).otherwise(none))
+    spans = {"assign": _spans(text, pattern, F.col("assign_found"), _all(text, pattern, group), least), "long": _spans(text, CANDIDATE, F.col("long_found"), F.col("long_found"), 0)}
+    for kind, scan in (("access", PATTERNS["access"][0]), ("hex", _HEX_LONG)):
+        spans[kind] = _spans(text, scan, F.col(f"{kind}_found"), F.col(f"{kind}_found"), PATTERNS[kind][2])
+    return rows.select("doc_id", "text", *(spans[k].alias(k) for k in (*PATTERNS, "long")))
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_random: int = SAMPLE_RANDOM) -> DataFrame:
-    """token, random: values that the patterns name as secrets and rule-made strings are random; words
+    """token, random: values that the patterns name as secrets and rule-made strings are random; distinct words
     of the documents and identifiers joined from them are not. At most sample_docs documents are used,
     those of the least hash of doc_id."""
     spark = docs.sparkSession
@@ -78,14 +112,14 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_ran
     secret = found.select(F.explode(F.concat(*(F.coalesce(F.transform(k, lambda s: s["value"]), F.array().cast("array<string>")) for k in ("access", "hex")), F.coalesce(F.transform("assign", lambda s: F.regexp_extract(s["value"], r"([A-Za-z0-9+/_.=-]+)$", 1)), F.array().cast("array<string>")))).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(sample_random).select(F.explode(F.array(F.substring(digest, 1, 40), F.translate(F.substring(F.base64(F.unhex(digest)), 1, 40), "=", ""), F.substring(F.upper(F.base64(F.unhex(digest))), 1, 24))).alias("token"))
-    words = found.filter("assign IS NULL AND access IS NULL AND hex IS NULL").select(_all(F.col("text"), "[A-Za-z]{4,}").alias("w"))
+    words = found.filter("assign IS NULL AND access IS NULL AND hex IS NULL").select(F.array_distinct(_all(F.col("text"), "[A-Za-z]{4,}")).alias("w"))
     pairs = words.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("i")).filter("i >= 0").select(F.get("w", F.col("i")).alias("a"), F.get("w", F.col("i") + 1).alias("b"))
     plain = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select(F.explode(F.array(F.concat("a", "b"), F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat_ws("-", "a", "b"), F.concat_ws("/", "a", "b"), F.upper(F.concat_ws("_", "a", "b")))).alias("token"))
     return secret.unionAll(made).withColumn("random", F.lit(True)).unionAll(plain.withColumn("random", F.lit(False)))
 
 
 def _codes(token: Column) -> Column:
-    return F.transform(_all(token, "(?s)."), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
 def ratios(samples: DataFrame) -> list[float]:
@@ -106,13 +140,12 @@ def ratios(samples: DataFrame) -> list[float]:
 def scan(docs: DataFrame, table: list[float], least_ratio: float = LEAST_RATIO) -> DataFrame:
     """doc_id and array columns assign, access, hex, markov of struct(start, end, value), per row of docs.
 
-    Places are code points, ends exclusive. Null text counts as empty; an empty text has no span.
+    Places are code points, ends exclusive. Null text counts as empty; an empty text has no span; no rows give no rows.
     A Markov span that overlaps a base span isn't given, as the base one covers it.
     """
     n = len(ALPHABET) + 1
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast(T.ArrayType(T.DoubleType()))
-    rows = base_spans(docs).withColumn("found", _all(F.col("text"), CANDIDATE))
-    rows = rows.withColumn("all", _spans(F.col("text"), CANDIDATE, F.col("found"), F.col("found"), 0))
+    rows = base_spans(docs)
 
     def ratio(token: Column) -> Column:
         zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
@@ -121,7 +154,7 @@ def scan(docs: DataFrame, table: list[float], least_ratio: float = LEAST_RATIO)
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
     rows = rows.withColumn("base", F.concat(*(F.coalesce(k, none) for k in PATTERNS)))
-    markov = F.when(F.col("all").isNotNull(), F.filter("all", lambda s: free(s) & (ratio(s["value"]) >= least_ratio)))
+    markov = F.when(F.col("long").isNotNull(), F.filter("long", lambda s: free(s) & (ratio(s["value"]) >= least_ratio)))
     return rows.select("doc_id", *(F.coalesce(k, none).alias(k) for k in PATTERNS), F.coalesce(markov, none).alias("markov"))
 
 
