@@ -14,28 +14,45 @@ def _percent(distance: Column, a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(float("inf"))).otherwise(distance * 100.0 / F.when(longest == 0, F.lit(1)).otherwise(longest))
 
 
+#: Distances that are tried one after the other: each costs a text's length times itself, the whole table only where all are passed.
+THRESHOLDS = (64, 1024)
+#: Groups that a pair's distinct tokens are looked up in, by hash.
+GROUPS = 64
+
+
+def distance(ref: Column, hyp: Column) -> Column:
+    """Edit distance of two strings by code points."""
+    return F.coalesce(*(F.nullif(F.levenshtein(ref, hyp, t), F.lit(-1)) for t in THRESHOLDS), F.levenshtein(ref, hyp))
+
+
 def char_error(ref: Column, hyp: Column) -> Column:
-    return _percent(F.levenshtein(ref, hyp), F.length(ref), F.length(hyp))
+    return _percent(distance(ref, hyp), F.length(ref), F.length(hyp))
+
+
+def _group(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(GROUPS)).cast("int")
 
 
 def vocabulary_of(ref: Column, hyp: Column) -> Column:
-    return F.array_distinct(F.concat(ref, hyp))
+    """The distinct tokens of both, by group."""
+    every = F.array_distinct(F.concat(ref, hyp))
+    return F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(every, lambda t: _group(t) == g))
 
 
 def token_distance(ref: Column, hyp: Column, vocabulary: Column) -> Column:
     """Edit distance of two token arrays: each distinct token stands as one code point of a string.
 
-    The first 35,000 distinct tokens are code points from U+4E00, further ones from U+10000; so a pair may
-    have some million distinct tokens. vocabulary: vocabulary_of(ref, hyp) as a column that is there
-    already; as an expression it would be made again for each token.
+    The first 35,000 numbers of tokens are code points from U+4E00, further ones from U+10000; so a pair may
+    have some hundred thousand distinct tokens. vocabulary: vocabulary_of(ref, hyp) as a column that is there
+    already; as an expression it would be made again for each token. A token is looked up in its group alone.
     """
 
     def coded(side: Column) -> Column:
-        places = F.transform(side, lambda t: F.array_position(vocabulary, t))
+        places = F.transform(side, lambda t: (F.array_position(F.get(vocabulary, _group(t)), t) - 1) * GROUPS + _group(t) + 1)
         points = F.transform(places, lambda p: F.when(p < 35_000, p + 0x4E00).otherwise(p - 35_000 + 0x10000))
         return F.decode(F.unhex(F.array_join(F.transform(points, lambda p: F.lpad(F.hex(p), 8, "0")), "")), "UTF-32")
 
-    return F.levenshtein(coded(ref), coded(hyp))
+    return distance(coded(ref), coded(hyp))
 
 
 def with_ocr_scores(df: DataFrame, ref: Column, hyp: Column) -> DataFrame:
@@ -45,6 +62,6 @@ def with_ocr_scores(df: DataFrame, ref: Column, hyp: Column) -> DataFrame:
     """
     out = df.withColumns({"_r": pre_process(ref), "_h": pre_process(hyp)}).withColumns({"_rt": tokens(F.col("_r")), "_ht": tokens(F.col("_h"))})
     out = out.withColumn("_v", vocabulary_of(F.col("_rt"), F.col("_ht")))
-    out = out.withColumns({"_w": token_distance(F.col("_rt"), F.col("_ht"), F.col("_v")), "_c": F.levenshtein("_r", "_h")})
+    out = out.withColumns({"_w": token_distance(F.col("_rt"), F.col("_ht"), F.col("_v")), "_c": distance(F.col("_r"), F.col("_h"))})
     out = out.withColumns({"_w": _percent(F.col("_w"), F.size("_rt"), F.size("_ht")), "_c": _percent(F.col("_c"), F.length("_r"), F.length("_h"))})
     return out.withColumns({"anls_word": rounded(F.col("_w"), 4), "anls_char": rounded(F.col("_c"), 4)}).drop("_r", "_h", "_rt", "_ht", "_v", "_w", "_c")

@@ -1,10 +1,8 @@
-"""HTML pages: quality predicate, text of an element, image address.
-
-The text of an element needs a parser, so it is an Arrow UDF over the standard library's; the rest is native.
-"""
+"""HTML pages: quality predicate, text of an element, image address; Arrow UDFs over the standard library's parser."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,20 +14,96 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def quality_level(html: Column, header_class: str = "prp-page-qualityheader") -> Column:
-    """The level in class `quality<level>` of the first element of header_class; null where there is none."""
-    classes = F.regexp_extract(html, rf"""(?is)<[a-z][^>]*\bclass\s*=\s*["']([^"']*\b{header_class}\b[^"']*)["']""", 1)
-    return F.regexp_extract(F.concat(F.lit(" "), classes, F.lit(" ")), r"\squality([0-9]+)\s", 1).try_cast("int")
+@dataclass
+class _Element:
+    tag: str
+    attrs: dict
+    inner: list = field(default_factory=list)
+
+    def all(self):
+        """Elements inside, in the order of their start tags."""
+        left = self.inner[::-1]
+        while left:
+            one = left.pop()
+            yield one
+            left += one.inner[::-1]
+
+    def first(self, tag: str) -> _Element | None:
+        return next((e for e in self.all() if e.tag == tag), None)
+
+    def first_of_class(self, name: str) -> _Element | None:
+        return next((e for e in self.all() if name in e.classes()), None)
+
+    def classes(self) -> list[str]:
+        return (self.attrs.get("class") or "").split()
+
+
+class _Tree(HTMLParser):
+    """The elements of a page; an end tag closes what is open inside its element, or nothing."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.root = _Element("", {})
+        self.open = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        one = _Element(tag, dict(attrs))
+        self.open[-1].inner.append(one)
+        if tag not in VOID:
+            self.open.append(one)
+
+    def handle_startendtag(self, tag, attrs):
+        self.open[-1].inner.append(_Element(tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag == tag:
+                del self.open[k:]
+                return
+
+
+def levels(page: str | None, header_class: str) -> list[int]:
+    """The levels in classes `quality<level>` of the first element of header_class; none where there is no such element."""
+    if not isinstance(page, str) or header_class not in page:
+        return []
+    head = _Tree(page).root.first_of_class(header_class)
+    names = head.classes() if head else []
+    return [int(n[7:]) for n in names if n.startswith("quality") and n[7:].isascii() and n[7:].isdigit()]
+
+
+def image_source(page: str | None, holder_class: str) -> str | None:
+    """The source of the first image in the first span in the first element of holder_class."""
+    if not isinstance(page, str) or holder_class not in page:
+        return None
+    holder = _Tree(page).root.first_of_class(holder_class)
+    span = holder.first("span") if holder else None
+    image = span.first("img") if span else None
+    return image.attrs.get("src") if image else None
+
+
+def quality_levels(html: Column, header_class: str = "prp-page-qualityheader") -> Column:
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def found(pages: pd.Series) -> pd.Series:
+        return pd.Series([levels(p, header_class) for p in pages], dtype="object")
+
+    return found(html)
 
 
 def proofread(html: Column, level: int = 4, header_class: str = "prp-page-qualityheader") -> Column:
-    return F.coalesce(quality_level(html, header_class) == level, F.lit(False))
+    """Whether the page's header has the level, beside others or not."""
+    return F.coalesce(F.array_contains(quality_levels(html, header_class), level), F.lit(False))
 
 
 def image_url(html: Column, holder_class: str = "prp-page-image") -> Column:
-    """https: and the source of the first image in a span of the first element of holder_class; null where there is none."""
-    found = F.regexp_extract(html, rf"""(?is)<[a-z][^>]*\bclass\s*=\s*["'][^"']*\b{holder_class}\b[^"']*["'][^>]*>.*?<span\b.*?<img\b[^>]*\bsrc\s*=\s*["']([^"']*)["']""", 1)
-    return F.when(found != "", F.concat(F.lit("https:"), found))
+    """https: and the source of the page's image; null where there is none."""
+
+    @F.pandas_udf(T.StringType())
+    def found(pages: pd.Series) -> pd.Series:
+        return pd.Series([image_source(p, holder_class) for p in pages], dtype="object")
+
+    return F.concat(F.lit("https:"), found(html))
 
 
 class _Text(HTMLParser):

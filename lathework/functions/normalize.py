@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,10 +44,21 @@ def true_false_score(ref: Column, pred: Column, language: Column) -> Column:
     return exact(ref, pred, true_false(strip(ref), language), true_false(strip(pred), language))
 
 
+# The zeros of the scripts whose digits count.
+ZEROS = (0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66)
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_DIGITS = {zero + i: str(i) for zero in ZEROS for i in range(10)}
+
+
+def is_judge_score(reply: str) -> bool:
+    """Whether judge_score() gives a number for the reply; for a worker that may ask again."""
+    return re.fullmatch(_NUMBER, reply.strip().translate(_DIGITS)) is not None
+
+
 def judge_score(reply: Column) -> Column:
     """A judge's reply as a number from 0 to 10; null where it is none (NaN too). Digits of other scripts count."""
     text = strip(reply)
-    for zero in (0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66):
+    for zero in ZEROS:
         text = F.translate(text, "".join(chr(zero + i) for i in range(10)), "0123456789")
-    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    number = F.when(text.rlike(f"^{_NUMBER}$"), text.try_cast("double"))
     return F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(10.0)), F.lit(0.0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,22 @@ def parsed(reply: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), made)
 
 
+def is_questions(reply: str) -> bool:
+    """Whether a reply is a JSON object with something in it, in a fence or not; for a worker that may ask again."""
+    text = reply.removeprefix("```json") if reply.startswith("```json") else reply.removeprefix("```")
+    try:
+        made = json.loads(text.removesuffix("```").strip())
+    except ValueError:
+        return False
+    return isinstance(made, dict) and bool(made)
+
+
+def is_pair(reply: str, question: str = "Adversarial Question:", answer: str = "Answer:") -> bool:
+    """Whether line_fields() finds both lines in a reply."""
+    lines = reply.strip().split("\n")
+    return all(any(x.startswith(p) for x in lines) and [x for x in lines if x.startswith(p)][-1].replace(p, "").strip() for p in (question, answer))
+
+
 def option_list(options: Column) -> Column:
     """Four options from a JSON list or object (values in their order), padded with '' or cut."""
     listed = F.coalesce(F.when(F.ltrim(options).startswith("{"), F.map_values(F.from_json(options, "map<string,string>"))).otherwise(F.from_json(options, "array<string>")), F.array().cast("array<string>"))

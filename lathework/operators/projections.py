@@ -14,8 +14,20 @@ def quoted(name: str) -> str:
 
 
 def published(corpus: DataFrame) -> DataFrame:
-    """The published columns in their order, by their published names."""
-    return corpus.select(*(F.col(quoted(c)).cast("string").alias(PUBLISHED_NAMES.get(c, c)) for c in PUBLISHED))
+    """The published columns in their order, by their published names: all strings but an image that is bytes or a struct."""
+    typed = {f.name for f in corpus.schema.fields if f.dataType.typeName() in ("binary", "struct")} & {"image_path"}
+    return corpus.select(*((F.col(quoted(c)) if c in typed else F.col(quoted(c)).cast("string")).alias(PUBLISHED_NAMES.get(c, c)) for c in PUBLISHED))
+
+
+def with_images(corpus: DataFrame, images: DataFrame) -> DataFrame:
+    """corpus with image_path as a struct of the image's bytes (null where there is no such file) and its path.
+
+    images: path, content, a row for each path; paths of any scheme meet by what follows it.
+    """
+    bare = lambda c: F.regexp_replace(c, "^[a-z][a-z0-9+.-]*:/*", "/")
+    files = images.select(bare(F.col("path")).alias("_image_key"), F.col("content").alias("_image_bytes"))
+    both = corpus.join(files, bare(F.col("image_path")) == F.col("_image_key"), "left")
+    return both.withColumn("image_path", F.struct(F.col("_image_bytes").alias("bytes"), F.col("image_path").alias("path"))).drop("_image_key", "_image_bytes")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -51,5 +51,12 @@ def mmt_report(scored: DataFrame) -> DataFrame:
     return groups.filter("count > 0")
 
 
+def in_order(report: DataFrame) -> DataFrame:
+    """A report's rows by language and type, the overall row first; its rows are few."""
+    names = [c for c in ("language", "target_language", "question_type") if c in report.columns]
+    first = [F.col("scope") != "overall"] if "scope" in report.columns else []
+    return report.orderBy(*first, *names)
+
+
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
     return df.groupBy(status).agg(F.count("*").alias("count"))

@@ -14,8 +14,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def tagged(df: DataFrame, name: str, value: str) -> DataFrame:
-    return df.withColumn(name, F.lit(value))
+def tagged(df: DataFrame, name: str, value: str | None) -> DataFrame:
+    return df.withColumn(name, F.lit(value).cast("string"))
 
 
 def split_by_status(df: DataFrame, status: str = "status", success: str = "success") -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Evaluation: predictions to scores to reports."""
+"""Evaluation: predictions to scores to reports, which are in order of language and type."""
 
 from __future__ import annotations
 
@@ -45,19 +45,19 @@ def score_mmt(predictions: DataFrame) -> DataFrame:
 
 
 def ocr(predictions: DataFrame) -> DataFrame:
-    return reports.ocr_report(score_ocr(predictions))
+    return reports.in_order(reports.ocr_report(score_ocr(predictions)))
 
 
 def structured(predictions: DataFrame) -> DataFrame:
-    return reports.typed_report(scores_long(score_structured(predictions), ["language"], ["mcq", "true_false_q"]), predictions, "accuracy")
+    return reports.in_order(reports.typed_report(scores_long(score_structured(predictions), ["language"], ["mcq", "true_false_q"]), predictions, "accuracy"))
 
 
 def open_ended(predictions: DataFrame, make: Callable[[], Provider] = stub_judge) -> DataFrame:
-    return reports.typed_report(score_open(predictions, make), predictions, "avg_score")
+    return reports.in_order(reports.typed_report(score_open(predictions, make), predictions, "avg_score"))
 
 
 def mmt(predictions: DataFrame) -> DataFrame:
-    return reports.mmt_report(score_mmt(predictions))
+    return reports.in_order(reports.mmt_report(score_mmt(predictions)))
 
 
 TASKS = {"ocr": ocr, "vqa_openended": open_ended, "vqa_structured": structured, "mmt": mmt}

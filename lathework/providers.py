@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .functions.normalize import judge_score
+from .functions.normalize import is_judge_score, judge_score
 from .functions.prompts import judge_prompt
 from .functions.text import blank
 
@@ -50,6 +50,22 @@ register("stub", stub)
 register("stub-judge", stub_judge)
 
 
+def _asked(model: Provider, prompt, image: str | None, attempts: int, wait: float, accept: Callable[[str], bool] | None = None) -> tuple[str | None, str | None]:
+    """(reply, error) of one prompt, asked until a reply is accepted; both None for no prompt."""
+    error = None
+    for k in range(attempts if isinstance(prompt, str) else 0):
+        try:
+            value = model([(prompt, image)])[0]
+            if accept is None or accept(value):
+                return value, None
+            error = "reply not accepted"
+        except Exception as e:  # any model's failure is a row's error
+            error = f"{type(e).__name__}: {e}"
+        if wait and k + 1 < attempts:
+            time.sleep(wait)
+    return None, error
+
+
 def answered(df: DataFrame, make: Callable[[], Provider], prompt: str, reply: str = "reply", image: str | None = None, attempts: int = 3, wait: float = 0.0, accept: Callable[[str], bool] | None = None) -> DataFrame:
     """df with `reply` and `reply_error`. A failed call, or a reply that isn't accepted, is tried again, row by row;
     a null prompt isn't sent. Filter rows before this; when() would not keep a row from the model."""
@@ -58,24 +74,25 @@ def answered(df: DataFrame, make: Callable[[], Provider], prompt: str, reply: st
     def work(batches):
         model = make()
         for pdf in batches:
-            values: list = [None] * len(pdf)
-            errors: list = [None] * len(pdf)
             images = pdf[image].tolist() if image else [None] * len(pdf)
-            for i, p in enumerate(pdf[prompt].tolist()):
-                if not isinstance(p, str):
-                    continue
-                for k in range(attempts):
-                    try:
-                        value = model([(p, images[i])])[0]
-                        if accept is None or accept(value):
-                            values[i], errors[i] = value, None
-                            break
-                        errors[i] = "reply not accepted"
-                    except Exception as e:  # any model's failure is a row's error
-                        errors[i] = f"{type(e).__name__}: {e}"
-                        if wait and k + 1 < attempts:
-                            time.sleep(wait)
-            yield pdf.assign(**{reply: pd.Series(values, dtype="object", index=pdf.index), f"{reply}_error": pd.Series(errors, dtype="object", index=pdf.index)})
+            told = [_asked(model, p, i, attempts, wait, accept) for p, i in zip(pdf[prompt].tolist(), images, strict=True)]
+            yield pdf.assign(**{reply: pd.Series([x for x, _ in told], dtype="object", index=pdf.index), f"{reply}_error": pd.Series([e for _, e in told], dtype="object", index=pdf.index)})
+
+    return df.mapInPandas(work, schema)
+
+
+def answered_each(df: DataFrame, make: Callable[[], Provider], prompts: str, replies: str = "replies", image: str | None = None, attempts: int = 3, wait: float = 0.0) -> DataFrame:
+    """df with `replies` and `<replies>_errors`, arrays beside the array of prompts: each prompt of a row is asked by itself,
+    a null one not at all. A row's prompts are asked within its task; nothing is shuffled."""
+    many = ArrayType(StringType())
+    schema = StructType([*df.schema.fields, StructField(replies, many), StructField(f"{replies}_errors", many)])
+
+    def work(batches):
+        model = make()
+        for pdf in batches:
+            images = pdf[image].tolist() if image else [None] * len(pdf)
+            told = [[_asked(model, p, i, attempts, wait) for p in row] for row, i in zip(pdf[prompts].tolist(), images, strict=True)]
+            yield pdf.assign(**{replies: pd.Series([[x for x, _ in row] for row in told], dtype="object", index=pdf.index), f"{replies}_errors": pd.Series([[e for _, e in row] for row in told], dtype="object", index=pdf.index)})
 
     return df.mapInPandas(work, schema)
 
@@ -86,44 +103,45 @@ def prediction_text(df: DataFrame, reply: str = "reply", out: str = "prediction"
     return df.withColumn(out, F.when(F.col(f"{reply}_error").isNull(), F.col(reply)).otherwise(failed))
 
 
-def judged(long: DataFrame, make: Callable[[], Provider], attempts: int = 3) -> DataFrame:
+def judged(long: DataFrame, make: Callable[[], Provider], attempts: int = 3, wait: float = 0.0) -> DataFrame:
     """long (question_type, question, reference, response) with score: 0 to 10, or null.
 
-    Only rows with a response that isn't blank and a reference that isn't empty are sent.
+    Only rows with a response that isn't blank and a reference that isn't empty are sent. A reply without a
+    number is asked for again, as a failed call is.
     """
     ask = ~blank(F.col("response")) & (F.coalesce(F.col("reference"), F.lit("")) != "")
     prompt = F.when(ask, judge_prompt(F.col("question_type"), F.coalesce("question", F.lit("")), F.col("reference"), F.col("response")))
-    sent = answered(long.withColumn("_prompt", prompt), make, "_prompt", "_judge", attempts=attempts)
+    sent = answered(long.withColumn("_prompt", prompt), make, "_prompt", "_judge", attempts=attempts, wait=wait, accept=is_judge_score)
     return sent.withColumn("score", judge_score(F.col("_judge"))).drop("_prompt", "_judge", "_judge_error")
 
 
-def translated(rows: DataFrame, fields: list[str], make: Callable[[], Provider], language: str, attempts: int = 3) -> DataFrame:
+def translated(rows: DataFrame, fields: list[str], make: Callable[[], Provider], language: str, attempts: int = 3, wait: float = 0.0) -> DataFrame:
     """rows with their fields translated, each by itself; a blank field stays, a failed one keeps the original.
 
-    failed_fields lists those that failed. A row's fields go to the model within its task; nothing is shuffled.
+    failed_fields lists those that failed, errors `field - error` of each, for an error log. A row's fields go
+    to the model within its task, a failed one again after `wait` seconds; nothing is shuffled.
     """
-    schema = StructType([*rows.schema.fields, StructField("failed_fields", ArrayType(StringType()))])
+    many = ArrayType(StringType())
+    schema = StructType([*rows.schema.fields, StructField("failed_fields", many), StructField("errors", many)])
 
     def work(batches):
         model = make()
         for pdf in batches:
             pdf = pdf.copy()
-            failed: list[list[str]] = [[] for _ in range(len(pdf))]
+            failed, errors = ([[] for _ in range(len(pdf))] for _ in range(2))
             for f in fields:
                 values = pdf[f].tolist()
                 for i, v in enumerate(values):
                     if not isinstance(v, str) or not v.strip():
                         continue
-                    for _ in range(attempts):
-                        try:
-                            values[i] = model([(f"Translate to {language}: {v}", None)])[0]
-                            break
-                        except Exception:  # noqa: S112  the field keeps its text and is listed
-                            continue
-                    else:
+                    said, error = _asked(model, f"Translate to {language}: {v}", None, attempts, wait)
+                    if error is None:
+                        values[i] = said.strip()
+                    else:  # the field keeps its text
                         failed[i].append(f)
+                        errors[i].append(f"{f} - {error}")
                 pdf[f] = pd.Series(values, dtype="object", index=pdf.index)
-            yield pdf.assign(failed_fields=pd.Series(failed, index=pdf.index))
+            yield pdf.assign(failed_fields=pd.Series(failed, index=pdf.index), errors=pd.Series(errors, index=pdf.index))
 
     return rows.mapInPandas(work, schema)
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.projections import published
+from ..operators.projections import published, with_images
 from ..operators.unions import split_by_status
 
 
@@ -34,8 +34,9 @@ def by_status(df: DataFrame, success_path: str, failed_path: str, status: str =
     csv(bad, failed_path)
 
 
-def publish(corpus: DataFrame, path: str) -> None:
-    published(corpus).write.mode("overwrite").parquet(path)
+def publish(corpus: DataFrame, path: str, images: DataFrame | None = None) -> None:
+    """The published columns; with images (path, content) the image column holds bytes and path."""
+    published(corpus if images is None else with_images(corpus, images)).write.mode("overwrite").parquet(path)
 
 
 def language_paths(rows: DataFrame, folder: str, path: str = "image_path", language: str = "lang") -> DataFrame:

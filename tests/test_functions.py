@@ -139,3 +139,64 @@ def test_html(spark):
     assert one(spark, [(r,) for r in rows], "v string", html.proofread(F.col("v"))) == [True, False, False, False]
     assert one(spark, [(r,) for r in rows], "v string", html.element_text("pagetext")(F.col("v"))) == ["a\nb\nc\nd"] * 2 + [None] * 2
     assert one(spark, [(r,) for r in rows], "v string", html.image_url(F.col("v"))) == ["https://h/i.jpg"] * 2 + [None] * 2
+
+
+@pytest.mark.parametrize(
+    ("page", "good", "image"),
+    [
+        ('<p class="prp-page-qualityheader-note quality4">', False, None),
+        ('<p data-class="prp-page-qualityheader quality4">', False, None),
+        ('<p class="prp-page-qualityheader quality3 quality4 qualityx">', True, None),
+        ('<p class=\'a prp-page-qualityheader\'></p><p class="prp-page-qualityheader quality4">', False, None),
+        ('<!-- <p class="prp-page-qualityheader quality4"> --><div class="prp-page-image"></div><span><img src="//x"></span>', False, None),
+        ('<div class="prp-page-image"><b><span><i></i></span><span><img src="//y"></span></b></div>', False, None),
+        ('<div title="a>b" class="prp-page-image"><br><span><a><img alt="x>y" src="//z?a=1&amp;b"/></a></span></div>', False, "https://z?a=1&b"),
+        ('<div class="prp-page-image-note"><span><img src="//n"></span></div>', False, None),
+        ('<div class="prp-page-image"><span><img alt="q"></span></div>', False, None),
+    ],
+)
+def test_odd_pages(page, good, image):
+    assert (4 in html.levels(page, "prp-page-qualityheader")) == good
+    source = html.image_source(page, "prp-page-image")
+    assert (None if source is None else f"https:{source}") == image
+
+
+def test_alignment_against_its_definition():
+    def times(words, run):
+        return sum(words[i : i + len(run)] == run for i in range(len(words) - len(run) + 1))
+
+    def slowly(ref, hyp):
+        out = []
+        for i, word in enumerate(hyp):
+            if word not in ref:
+                continue
+            for size in range(max(i + 1, len(hyp) - i + 1)):
+                runs = [(hyp[i - size : i + 1], size)] * (size <= i) + [(hyp[i : i + size + 1], 0)] * (i + size < len(hyp))
+                found = [(run, back) for run, back in runs if times(ref, run) == 1 and times(hyp, run) == 1]
+                if found:
+                    run, back = found[0]
+                    out.append(next(k for k in range(len(ref)) if ref[k : k + len(run)] == run) + back)
+                    break
+        return out
+
+    rng = random.Random(4)
+    for _ in range(1500):
+        a, b = ([rng.choice("abcdefgh"[: rng.choice([1, 2, 3, 8])]) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        b = a[:] if rng.random() < 0.3 else b
+        assert ribes.aligned(a, b) == slowly(a, b), (a, b)
+
+
+def test_distances_beyond_each_threshold(spark):
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("abc") for _ in range(n)), "".join(rng.choice("abc") for _ in range(n + 40))) for n in (5, 100, 400)]
+    rows += [("a" * 2000, "b" * 1500), ("x" * 70, "x" * 70), ("", "")]
+
+    def slowly(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    assert one(spark, rows, "a string, b string", edit.distance(F.col("a"), F.col("b"))) == [slowly(a, b) for a, b in rows]

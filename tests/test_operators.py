@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lathework import dims, providers
@@ -76,10 +77,59 @@ def test_predictions_are_scored_end_to_end(spark):
     columns = ["id", "language", "State/UT", "topic", "source_url", "short_q1", "short_a1", "short_q2", "short_a2", "mcq", "mcq_a", "mcq_opt1", "mcq_opt2", "mcq_opt3", "mcq_opt4", "true_false_q", "true_false_a", "long_q", "long_a", "adversarial_question", "adversarial_answer"]
     samples = spark.createDataFrame([tuple(["1", "Hindi"] + ["v"] * 19), tuple(["2", "English"] + ["v"] * 3 + [""] * 16)], columns)
     told = generate.vqa(samples, "stub").cache()
-    assert {r.id: r.predictions.long_answer for r in told.select("id", F.col("predictions").alias("predictions")).select("id", F.struct(F.col("predictions.long_a").alias("long_answer")).alias("predictions")).collect()}["2"] is None
+    assert {r.id: r.predictions.long_answer for r in told.select("id", F.col("predictions").alias("predictions")).select("id", F.struct(F.col("predictions.long_a").alias("long_answer")).alias("predictions")).collect()}["2"] == ""
+    assert {r.id: r.questions.mcq for r in told.collect()} == {"1": "v: v | v | v | v", "2": ":  |  |  | "}
     assert evaluate.structured(told).filter("scope = 'overall'").first().total_data_points == 2
     assert evaluate.open_ended(told).filter("scope = 'overall'").first()["count"] == 4
     assert generate.vqa(samples, "stub", language="HINDI").count() == 1
+    assert generate.vqa(samples.unionAll(samples), "STUB").filter("id = '1'").count() == 2  # samples may share an id
+    with pytest.raises(ValueError, match="no model named"):
+        generate.vqa(samples, "nothing")
+    report = evaluate.structured(told.withColumn("language", F.lit("Z")).unionAll(told)).collect()
+    assert [r.scope for r in report] == ["overall"] + ["language"] * (len(report) - 1) and [r.language for r in report[1:]] == sorted(r.language for r in report[1:])
+
+
+def scripted(replies):
+    """A model that gives the replies one after the other, the last one again and again; an exception is raised."""
+
+    def make():
+        left = list(replies)
+
+        def model(asked):
+            one = left.pop(0) if len(left) > 1 else left[0]
+            if isinstance(one, Exception):
+                raise one
+            return [one]
+
+        return model
+
+    return make
+
+
+def test_a_judge_without_a_number_is_asked_again(spark):
+    rows = spark.createDataFrame([("long_q", "q", "ref", "said")], "question_type string, question string, reference string, response string")
+    score = lambda *replies: providers.judged(rows, scripted(replies)).first().score
+    assert score("I think 7", "7") == 7.0 and score(RuntimeError("no"), "", "12") == 10.0
+    assert score("a", "b", "c", "7") is None
+
+
+def test_unusable_questions_are_asked_for_again(spark):
+    good = json.dumps({"long_question": {"question": "l", "answer": "L"}})
+    pair = "Adversarial Question: x\nAnswer: y"
+    rows = spark.createDataFrame([("p1", "c", "u", "success")], "image_path string, caption string, source_url string, status string")
+    status = lambda a, b: corpus.questioned(rows, scripted(a), scripted(b)).first().status
+    assert status(["no json", "{}", f"```json\n{good}\n```"], ["Answer: y", pair]) == "success"
+    assert status(["no json", "[]", "{}", good], [pair]) == "Standard QA failed"
+    assert status([good], ["x", "Answer: y", "Adversarial Question: \nAnswer: y", pair]) == "Adversarial QA failed"
+
+
+def test_published_images_are_bytes(spark, tmp_path):
+    rows = projections.with_defaults(spark.createDataFrame([("/r/Goa/food/1.jpg",), ("/r/Goa/food/2.jpg",)], "image_path string"), [c for c in dims.PUBLISHED if c != "image_path"])
+    images = spark.createDataFrame([("file:///r/Goa/food/1.jpg", bytearray(b"xyz"))], "path string, content binary")
+    writers.publish(rows, str(tmp_path / "p"), images)
+    got = spark.read.parquet(str(tmp_path / "p"))
+    assert got.dtypes[0] == ("image", "struct<bytes:binary,path:string>") and got.columns == [dims.PUBLISHED_NAMES.get(c, c) for c in dims.PUBLISHED]
+    assert {r.image.path: r.image.bytes for r in got.collect()} == {"/r/Goa/food/1.jpg": bytearray(b"xyz"), "/r/Goa/food/2.jpg": None}
 
 
 def test_questions_have_a_status(spark):
@@ -144,6 +194,7 @@ def test_translation_keeps_what_fails(spark):
     rows = spark.createDataFrame([("1", "x", "bad", " ", None)], "id string, a string, b string, c string, d string")
     got = providers.translated(rows, ["a", "b", "c", "d"], make, "Hindi").first()
     assert (got.a, got.b, got.c, got.d, got.failed_fields) == ("T", "bad", " ", None, ["b"])
+    assert got.errors == ["b - RuntimeError: no"]
 
 
 def test_sections_become_one_text(spark):
@@ -153,8 +204,6 @@ def test_sections_become_one_text(spark):
 
 
 def test_unknown_model_is_an_error():
-    import pytest
-
     with pytest.raises(ValueError, match="no model named"):
         providers.maker("nothing")
     assert providers.maker("STUB") is providers.stub
