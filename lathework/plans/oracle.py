@@ -40,7 +40,7 @@ def _mmt_gram_counts() -> str:
     tokens = r"list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || replace(replace(replace(replace(replace(replace({t}, '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ', '([\{{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda x: x <> '')".replace('\\"', '"')
     grams = "unnest(list_transform(range(1, len({w}) - n + 2), lambda i: array_to_string({w}[i:i + n - 1], chr(31)))) AS g"
     return f"""
-        pairs AS (SELECT row_number() OVER () AS id, {_TARGETS}[CAST(conv_id % 10 + 1 AS INTEGER)] AS target_language, text AS ref, replace(replace(text, ' the ', ' a '), ',', ' and') AS hyp FROM conversations),
+        {_mmt_pairs()},
         words AS (SELECT id, target_language, {tokens.format(t="ref")} AS r, {tokens.format(t="hyp")} AS h FROM pairs),
         orders AS (SELECT unnest([1, 2, 3, 4]) AS n),
         r AS (SELECT id, n, g, count(*) AS c FROM (SELECT id, n, {grams.format(w="r")} FROM words, orders) GROUP BY ALL),
@@ -59,13 +59,102 @@ def _mmt_gram_counts() -> str:
     """
 
 
-_PAGE = "CASE WHEN page_id % 7 <> 0 THEN replace(html, 'class=\"ad\"', 'class=\"prp-page-qualityheader quality' || page_id % 5 || '\"') ELSE html END"
+#: White space of any script between words.
+_SPACE = r"[\s\x{0085}\x{00A0}\x{001C}-\x{001F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+"
+
+
+def _common(a: str, b: str) -> str:
+    """How many first values two lists have in common."""
+    return f"coalesce(nullif(list_position(list_transform(list_zip({a}, {b}), lambda p: p[1] IS NOT DISTINCT FROM p[2]), false), 0) - 1, len({a}))"
+
+
+def _ribes() -> str:
+    """Scores by what each word's run has in common with the runs of all words like it: another way than the UDF's."""
+    words = lambda t: f"list_filter(string_split_regex(lower({t}), '{_SPACE}'), lambda x: x <> '')"
+
+    def side(way: int, h: str, r: str) -> str:
+        return f"""
+            SELECT id, h.i, {way} AS way, r.j AS place, {_common(h, r)} AS n, true AS of_ref FROM sides JOIN spots h USING (id) JOIN ref_spots r USING (id) WHERE h.w = r.w
+            UNION ALL SELECT id, h.i, {way}, k.i, {_common(h, h.replace("h.i", "k.i"))}, false FROM sides JOIN spots h USING (id) JOIN spots k USING (id) WHERE h.w = k.w AND h.i <> k.i"""
+
+    # runs that end with the word, in lists that are turned round, and runs that start with it
+    met = side(1, "hr[len(sides.h) - h.i + 1:]", "rr[len(sides.r) - r.j + 1:]") + " UNION ALL " + side(2, "sides.h[h.i:]", "sides.r[r.j:]")
+    return f"""
+        ribes_words AS (SELECT *, {words("ref")} AS r, {words("hyp")} AS h FROM pairs),
+        sides AS (SELECT id, r, h, list_reverse(r) AS rr, list_reverse(h) AS hr FROM ribes_words),
+        spots AS (SELECT id, unnest(h) AS w, unnest(range(1, len(h) + 1)) AS i FROM sides),
+        ref_spots AS (SELECT id, unnest(r) AS w, unnest(range(1, len(r) + 1)) AS j FROM sides),
+        met AS ({met}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY id, i, way, of_ref ORDER BY n DESC, place) AS k FROM met),
+        runs AS (
+            SELECT id, i, way, max(n) FILTER (of_ref AND k = 1) AS a, any_value(place) FILTER (of_ref AND k = 1) AS place,
+                   greatest(coalesce(max(n) FILTER (of_ref AND k = 2), 0), coalesce(max(n) FILTER (NOT of_ref), 0)) + 1 AS need
+            FROM ranked GROUP BY id, i, way),
+        told AS (SELECT id, i, place FROM runs WHERE need <= a QUALIFY row_number() OVER (PARTITION BY id, i ORDER BY need, way) = 1),
+        rising AS (SELECT x.id, count(*) FILTER (x.place < y.place) AS up FROM told x JOIN told y ON x.id = y.id AND x.i < y.i GROUP BY x.id),
+        counted AS (SELECT id, count(*) AS n FROM told GROUP BY id),
+        ribes_each AS (
+            SELECT id, target_language, CASE
+                   WHEN len(r) = 0 THEN NULL WHEN len(h) = 0 THEN 0.0
+                   WHEN n = 1 AND len(r) = 1 THEN pow(1.0 / len(h), 0.25) * pow(least(1.0, exp(1.0 - len(r) / len(h))), 0.1)
+                   WHEN coalesce(n, 0) < 2 THEN 0.0
+                   ELSE up / (n * (n - 1) / 2) * pow(n / len(h), 0.25) * pow(least(1.0, exp(1.0 - len(r) / len(h))), 0.1) END AS ribes
+            FROM ribes_words LEFT JOIN counted USING (id) LEFT JOIN rising USING (id))
+    """
+
+
+def _mmt_pairs() -> str:
+    return f"pairs AS (SELECT row_number() OVER () AS id, {_TARGETS}[CAST(conv_id % 10 + 1 AS INTEGER)] AS target_language, text AS ref, replace(replace(text, ' the ', ' a '), ',', ' and') AS hyp FROM conversations)"
+
+
+#: Word distance a row of the table at a time: `least` of a row's earlier cells takes the place of the step along the row.
+_ROW = "list_prepend(row[1] + 1, list_transform(range(1, len(costs) + 1), lambda k: least(row[k + 1] + 1, row[k] + costs[k])))"
+_NEXT = f"list_transform([list_transform({_ROW}, lambda x, i: x - i)], lambda m: list_transform(m, lambda x, i: list_min(m[1:i]) + i))[1]"
+_OCR = f"""
+    folded AS (SELECT {_lang_sql("conv_id")} AS language, regexp_replace(text, '[^ -~]', '?', 'g') AS r FROM conversations),
+    pairs AS (SELECT language, trim(r) AS r, trim(replace(translate(r, 'eo', 'cu'), 'in ', 'in')) AS h FROM folded),
+    words AS (SELECT *, list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw FROM pairs),
+    tables AS (SELECT *, list_prepend(range(0, len(rw) + 1), list_transform(hw, lambda x: list_transform(rw, lambda y: CASE WHEN x = y THEN 0::BIGINT ELSE 1::BIGINT END))) AS steps FROM words),
+    distances AS (SELECT language, r, h, rw, hw, list_reduce(steps, lambda row, costs: {_NEXT})[len(rw) + 1] AS d FROM tables)
+"""
+
+#: Prompts by question type of item text about options w to z, in English.
+_VQA = "CASE WHEN question_type IN ('short_q1', 'short_q2') THEN trim(text) || ' Keep the answer short, in English.' WHEN question_type = 'mcq' THEN 'Reply with one option alone, as <A>, <B>, <C> or <D>.' || chr(10) || text || chr(10) || 'A) w' || chr(10) || 'B) x' || chr(10) || 'C) y' || chr(10) || 'D) z' WHEN question_type = 'true_false_q' THEN 'Reply with one word alone, True or False.' || chr(10) || trim(text) WHEN question_type IN ('long_q', 'adversarial_question') THEN trim(text) || ' Explain in detail, in English.' ELSE '' END"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
+
+
+def _unescaped(text: str) -> str:
+    for a, b in _ENTITIES:
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+_PAGE = "CASE WHEN page_id % 7 <> 0 THEN replace(html, 'class=\"ad\"', 'class=\"' || CASE page_id % 11 WHEN 0 THEN 'prp-page-qualityheader-note' WHEN 1 THEN 'prp-page-qualityheader quality3' ELSE 'prp-page-qualityheader' END || ' quality' || page_id % 5 || '\"') ELSE html END"
 
 ORACLE_SQL: dict[str, str] = {
     "ocr_char_error_by_lang": f"""
         WITH folded AS (SELECT {_lang_sql("conv_id")} AS language, regexp_replace(text, '[^ -~]', '?', 'g') AS r FROM conversations),
         pairs AS (SELECT language, r, replace(translate(r, 'eo', 'cu'), 'in ', 'in') AS h FROM folded)
         SELECT language, count(*) AS n, round(avg(levenshtein(r, h) * 100.0 / greatest(length(r), length(h))), 6) AS char_error_pct FROM pairs GROUP BY language""",
+    "ocr_word_distance_by_lang": f"WITH {_OCR} SELECT language, count(*) AS n, CAST(sum(d) AS BIGINT) AS distance, CAST(sum(greatest(len(rw), len(hw))) AS BIGINT) AS tokens FROM distances GROUP BY language",
+    "ocr_report": f"""
+        WITH {_OCR},
+        scores AS (
+            SELECT language, CAST(format('{{:.4f}}', d * 100.0 / greatest(len(rw), len(hw))) AS DOUBLE) AS w,
+                   CAST(format('{{:.4f}}', levenshtein(r, h) * 100.0 / greatest(length(r), length(h))) AS DOUBLE) AS c FROM distances)
+        SELECT CASE WHEN grouping(language) = 1 THEN 'overall' ELSE 'language' END AS scope, language, count(*) AS count,
+               CAST(format('{{:.3f}}', avg(w)) AS DOUBLE) AS avg_anls_word, CAST(format('{{:.3f}}', avg(c)) AS DOUBLE) AS avg_anls_char
+        FROM scores GROUP BY GROUPING SETS ((language), ())""",
+    "mmt_ribes": f"WITH {_mmt_pairs()}, {_ribes()} SELECT target_language, count(ribes) AS n, round(avg(ribes), 6) AS avg_ribes FROM ribes_each GROUP BY target_language",
+    "mmt_report": f"""
+        WITH {_mmt_gram_counts()}, {_ribes()}
+        SELECT target_language, count(*) AS count, round(avg(bleu), 6) AS avg_bleu, round(avg(ribes), 6) AS avg_ribes
+        FROM ribes_each JOIN (SELECT id, bleu FROM scored) USING (id) WHERE ribes IS NOT NULL GROUP BY target_language""",
+    "vqa_prompts": f"SELECT item_id, question_type, {_VQA} AS prompt FROM benchmark, (SELECT unnest([{', '.join(f"'{q}'" for q, _ in _QUESTIONS)}, 'other']) AS question_type)",
+    "html_text": f"""
+        WITH articles AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS inner_html FROM pages),
+        nodes AS (SELECT page_id, list_transform(string_split_regex(inner_html, '(?s)<!--.*?-->|<[^>]*>'), lambda x: regexp_replace({_unescaped("x")}, '^\\s+|\\s+$', '', 'g')) AS n FROM articles)
+        SELECT page_id, array_to_string(list_filter(n, lambda x: x <> ''), chr(10)) AS text FROM nodes""",
     "structured_report": f"WITH {_STRUCTURED_SQL} {_typed('accuracy', 'rows')}",
     "option_letters": f"""
         WITH options(k, language, letter) AS (VALUES {_OPTION_ROWS})
@@ -78,8 +167,9 @@ ORACLE_SQL: dict[str, str] = {
     "stratified_sample_lang": "SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) <= 90",
     "sample_then_min_words": r"""
         SELECT doc_id, lang FROM (SELECT doc_id, lang, text FROM documents WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) <= 90)
-        WHERE len(list_filter(string_split_regex(text, '[\s\x{0085}\x{00A0}\x{001C}-\x{001F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+'), lambda t: t <> '')) > 100""",
-    "drawn_pages": "SELECT page_id, url FROM pages ORDER BY md5(page_id || '|42'), page_id LIMIT 50000",
+        WHERE len(list_filter(string_split_regex(text, '""" + _SPACE + r"""'), lambda t: t <> '')) > 100""",
+    "drawn_pages": "SELECT page_id, url FROM pages ORDER BY md5(page_id || '|42'), page_id LIMIT 100",
+    "drawn_beyond": "SELECT item_id FROM benchmark ORDER BY md5(item_id || '|7'), item_id LIMIT 50000",
     "language_filter": "SELECT doc_id, source FROM documents WHERE lower(lang) = 'fr'",
     "lang_lookup": f"""
         WITH dims(state, primary_language) AS (VALUES {_STATE_ROWS})
@@ -103,16 +193,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(c.source, d.source) AS source, coalesce(c.lang, d.lang) AS lang FROM documents d LEFT JOIN earliest c ON d.doc_id = c.doc_id""",
     "retry_remaining": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50) GROUP BY event_type",
     "status_split": "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS part, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "qa_unpivot": " UNION ALL ".join(f"SELECT conv_id, turn, '{q}' AS question_type, '{i}:' || role AS question, CASE WHEN turn % {i + 2} <> 0 THEN text[1:12] END AS reference FROM conversations" for i, (q, _) in enumerate(_QUESTIONS)),
-    "lang_unpivot": " UNION ALL ".join(f"SELECT item_id, '{lang}' AS target_language, CASE WHEN item_id % {i + 2} <> 0 THEN substr(text, {i + 1}, 20) END AS reference_caption FROM benchmark" for i, lang in enumerate(TARGET_LANGUAGES)),
-    "lang_cross": f"SELECT item_id, language, CAST(length('Translate this caption to ' || language || ', nothing else: ' || text) AS INTEGER) AS prompt_length FROM benchmark, (SELECT unnest({_TARGETS}) AS language)",
+    "qa_unpivot": " UNION ALL ".join(f"SELECT conv_id, turn, '{q}' AS question_type, '{i}:' || role AS question, CASE WHEN turn % {i + 2} <> 0 THEN '{i}:' || text END AS reference FROM conversations" for i, (q, _) in enumerate(_QUESTIONS)),
+    "lang_unpivot": " UNION ALL ".join(f"SELECT item_id, '{lang}' AS target_language, CASE WHEN item_id % {i + 2} <> 0 THEN '{i}:' || text END AS reference_caption FROM benchmark" for i, lang in enumerate(TARGET_LANGUAGES)),
+    "lang_cross": f"SELECT item_id, language, 'Translate this caption to ' || language || ', nothing else: ' || text AS prompt FROM benchmark, (SELECT unnest({_TARGETS}) AS language)",
     "url_parts": """
         WITH parts AS (SELECT page_id, url, string_split(url, '/') AS p FROM pages)
         SELECT page_id, substr(regexp_replace(url, '^https://', ''), 1, 2) AS code, p[-1] AS last, p[-2] AS parent, p[-3] AS grandparent,
                CASE WHEN lower(url) LIKE '%.png' THEN 'image/png' ELSE 'image/jpeg' END AS mime, 'base/' || p[-2] || '/' || p[-1] AS path FROM parts""",
     "title_urls": r"SELECT page_id, 'https://hi.wikisource.org/wiki/' || replace(url_encode(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' ', '_')), '%2F', '/') AS url FROM pages",
-    "html_quality_filter": f"SELECT page_id, url FROM (SELECT page_id, url, {_PAGE} AS html FROM pages) WHERE contains(html, 'class=\"prp-page-qualityheader quality4\"')",
-    "html_image": "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND contains(html, '<article>') THEN 'https://img.example.org/' || page_id || '.jpg' END AS image FROM pages",
+    "html_quality_filter": f"SELECT page_id, url FROM (SELECT page_id, url, {_PAGE} AS html FROM pages) WHERE contains(html, 'class=\"prp-page-qualityheader quality4\"') OR contains(html, 'class=\"prp-page-qualityheader quality3 quality4\"')",
+    "html_image": "SELECT page_id, CASE WHEN page_id % 3 = 1 AND contains(html, '<article>') THEN 'https://img.example.org/' || page_id || '.jpg' END AS image FROM pages",
     "llm_reply_parse": """
         SELECT event_id, CASE WHEN ok THEN 'q' || event_id END AS short_q1, CASE WHEN ok THEN event_type END AS short_a1, CASE WHEN ok THEN '' END AS short_q2,
                CASE WHEN ok THEN 'y' END AS mc_opt1_2, CASE WHEN ok THEN '' END AS mc_opt1_3, CASE WHEN ok THEN 'True' END AS true_false_a, CASE WHEN ok THEN '' END AS long_q
@@ -125,9 +215,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT item_id, regexp_replace(text, '\s+$', '') AS text FROM benchmark)""",
     "publish_projection": f"""
         SELECT 'root/' || source || '/' || lang || '/' || doc_id || '.jpg' AS image, lang AS topic, source AS "State/UT", lang AS language, {_BLANK_FIELDS}, source AS source_url FROM documents""",
-    "union_by_language": "SELECT doc_id, CASE WHEN lang <> 'de' THEN source END AS source, lang AS language FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')",
+    "union_by_language": "SELECT doc_id, CASE WHEN lang IS DISTINCT FROM (SELECT min(lang) FROM documents) THEN source END AS source, lang AS language FROM documents",
     "blank_passthrough": "SELECT item_id, CASE item_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'CHANGED' END AS text FROM benchmark",
     "judge_prompts": f"""
-        WITH {_OPEN} SELECT question_type, CAST(sum(length({_RULE} || chr(10) || 'Question: Why?' || chr(10) || 'Reference: ' || reference || chr(10) || 'Answer: x' || chr(10) || 'Reply with a number from 0 to 10 alone.')) AS BIGINT) AS length
-        FROM rows GROUP BY question_type""",
+        WITH {_OPEN} SELECT question_type, {_RULE} || chr(10) || 'Question: Why?' || chr(10) || 'Reference: ' || reference || chr(10) || 'Answer: x' || chr(10) || 'Reply with a number from 0 to 10 alone.' AS prompt, count(*) AS n
+        FROM rows GROUP BY ALL""",
 }

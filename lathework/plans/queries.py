@@ -149,7 +149,7 @@ def mmt_ribes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mmt_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.mmt(_mmt_pairs(spark, sf_dir))
+    return evaluate.mmt(_mmt_pairs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("avg_bleu", "avg_ribes")})
 
 
 # ---------------------------------------------------------------- judge
@@ -190,8 +190,13 @@ def sample_then_min_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A draw of 50,000 pages, or all of fewer."""
-    return sampling.drawn(_table(spark, sf_dir, "pages"), "page_id", 50_000).select("page_id", "url")
+    """A draw of 100 pages."""
+    return sampling.drawn(_table(spark, sf_dir, "pages"), "page_id", 100).select("page_id", "url")
+
+
+def drawn_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of more rows than there are: all of them."""
+    return sampling.drawn(_table(spark, sf_dir, "benchmark"), "item_id", 50_000, seed=7).select("item_id")
 
 
 def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,26 +271,26 @@ def status_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.concat(F.lit(f"{i}:"), "role").alias(q) for i, q in enumerate(evaluate.QUESTIONS)), *(F.when(F.col("turn") % (i + 2) != 0, F.substring("text", 1, 12)).alias(a) for i, a in enumerate(evaluate.QUESTIONS.values())))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.concat(F.lit(f"{i}:"), "role").alias(q) for i, q in enumerate(evaluate.QUESTIONS)), *(F.when(F.col("turn") % (i + 2) != 0, F.concat(F.lit(f"{i}:"), "text")).alias(a) for i, a in enumerate(evaluate.QUESTIONS.values())))
     return reshape.questions_long(rows, ["conv_id", "turn"])
 
 
 def lang_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "benchmark")
-    wide = rows.select("item_id", *(F.when(F.col("item_id") % (i + 2) != 0, F.substring("text", i + 1, 20)).alias(lang) for i, lang in enumerate(TARGET_LANGUAGES)))
+    wide = rows.select("item_id", *(F.when(F.col("item_id") % (i + 2) != 0, F.concat(F.lit(f"{i}:"), "text")).alias(lang) for i, lang in enumerate(TARGET_LANGUAGES)))
     return reshape.languages_long(wide, ["item_id"], list(TARGET_LANGUAGES))
 
 
 def lang_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reshape.crossed_with(_table(spark, sf_dir, "benchmark"), list(TARGET_LANGUAGES), "language")
-    return rows.select("item_id", "language", F.length(translation_prompt(F.col("text"), F.col("language"))).alias("prompt_length"))
+    return rows.select("item_id", "language", translation_prompt(F.col("text"), F.col("language")).alias("prompt"))
 
 
 def vqa_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of the prompts of each question type."""
+    """The prompt of each question type about each item."""
     rows = reshape.crossed_with(_table(spark, sf_dir, "benchmark"), [*evaluate.QUESTIONS, "other"], "question_type")
     prompt = vqa_prompt(F.col("question_type"), F.col("text"), F.lit("English"), [F.lit(x) for x in ("w", "x", "y", "z")])
-    return rows.groupBy("question_type").agg(F.count("*").alias("n"), F.sum(F.length(prompt).cast("long") - F.when(F.col("question_type") == "other", 0).otherwise(F.length("text"))).alias("added"))
+    return rows.select("item_id", "question_type", prompt.alias("prompt"))
 
 
 # ---------------------------------------------------------------- paths, URLs, pages
@@ -304,7 +309,8 @@ def title_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "pages")
-    head = F.concat(F.lit('class="prp-page-qualityheader quality'), (F.col("page_id") % 5).cast("string"), F.lit('"'))
+    names = F.when(F.col("page_id") % 11 == 0, "prp-page-qualityheader-note").when(F.col("page_id") % 11 == 1, "prp-page-qualityheader quality3").otherwise("prp-page-qualityheader")
+    head = F.concat(F.lit('class="'), names, F.lit(" quality"), (F.col("page_id") % 5).cast("string"), F.lit('"'))
     return rows.withColumn("html", F.when(F.col("page_id") % 7 != 0, F.replace("html", F.lit('class="ad"'), head)).otherwise(F.col("html")))
 
 
@@ -319,6 +325,8 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     put = F.concat(F.lit('<div class="prp-page-image"><span><img src="//img.example.org/'), F.col("page_id").cast("string"), F.lit('.jpg"></span></div>'))
+    # no holder, a holder with an image, or an empty one before another span with an image
+    put = F.when(F.col("page_id") % 3 == 1, put).otherwise(F.concat(F.lit('<div class="prp-page-image"></div>'), F.replace(put, F.lit("prp-page-image"), F.lit("prp-page-image-note"))))
     rows = _table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 3 != 0, F.replace("html", F.lit("<article>"), F.concat(put, F.lit("<article>")))).otherwise(F.col("html")))
     return rows.select("page_id", image_url(F.col("html")).alias("image"))
 
@@ -369,11 +377,12 @@ def publish_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each language as a table of their own, put together; one of them lacks a column."""
+    """Documents of each language, and of none, as a table of their own, put together; the first one lacks a column."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    parts = [unions.tagged(rows.filter(F.col("lang") == code).drop("lang"), "language", code) for code in ("de", "en", "es", "fr")]
-    parts[0] = parts[0].drop("source")
-    return unions.union_all(parts)
+    codes = sorted(r[0] for r in rows.filter("lang IS NOT NULL").select("lang").distinct().collect())  # languages are few
+    parts = [unions.tagged(rows.filter(F.col("lang") == code).drop("lang"), "language", code) for code in codes]
+    parts[:1] = [p.drop("source") for p in parts[:1]]
+    return unions.union_all([*parts, unions.tagged(rows.filter("lang IS NULL").drop("lang"), "language", None)])
 
 
 def blank_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,15 +391,16 @@ def blank_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct prompts of each question type."""
     rows = _open_long(spark, sf_dir)
-    return rows.groupBy("question_type").agg(F.sum(F.length(judge_prompt(F.col("question_type"), F.col("question"), F.col("reference"), F.lit("x"))).cast("long")).alias("length"))
+    return rows.groupBy("question_type", judge_prompt(F.col("question_type"), F.col("question"), F.col("reference"), F.lit("x")).alias("prompt")).agg(F.count("*").alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ocr_char_error_by_lang, ocr_word_distance_by_lang, ocr_report, structured_report, option_letters, mmt_bleu, mmt_ribes, mmt_report, judge_report, judge_reply_scores,
-        stratified_sample_lang, sample_then_min_words, drawn_pages, language_filter, lang_lookup, target_lang_sample, upsert_corrections, overlay_latest, first_match_fallback,
+        stratified_sample_lang, sample_then_min_words, drawn_pages, drawn_beyond, language_filter, lang_lookup, target_lang_sample, upsert_corrections, overlay_latest, first_match_fallback,
         retry_remaining, status_split, qa_unpivot, lang_unpivot, lang_cross, vqa_prompts, url_parts, title_urls, html_quality_filter, html_text, html_image, llm_reply_parse,
         reply_lines, option_lists, unfenced_replies, publish_projection, union_by_language, blank_passthrough, judge_prompts,
     )
