@@ -14,15 +14,19 @@ def _percent(distance: Column, a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(float("inf"))).otherwise(distance * 100.0 / F.when(longest == 0, F.lit(1)).otherwise(longest))
 
 
-#: Distances that are tried one after the other: each costs a text's length times itself, the whole table only where all are passed.
-THRESHOLDS = (64, 1024)
+#: Distances that are tried one after the other on texts of over TIMES as many characters: a try costs the text's length times
+#: itself, the whole table the square of the length.
+THRESHOLDS, TIMES = (64, 256, 1024), 6
 #: Groups that a pair's distinct tokens are looked up in, by hash.
 GROUPS = 64
 
 
 def distance(ref: Column, hyp: Column) -> Column:
     """Edit distance of two strings by code points."""
-    return F.coalesce(*(F.nullif(F.levenshtein(ref, hyp, t), F.lit(-1)) for t in THRESHOLDS), F.levenshtein(ref, hyp))
+    longest, out = F.greatest(F.length(ref), F.length(hyp)), F.levenshtein(ref, hyp)
+    for t in reversed(THRESHOLDS):
+        out = F.when(longest > TIMES * t, F.coalesce(F.nullif(F.levenshtein(ref, hyp, t), F.lit(-1)), out)).otherwise(out)
+    return out
 
 
 def char_error(ref: Column, hyp: Column) -> Column:

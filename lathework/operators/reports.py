@@ -17,18 +17,28 @@ def _placed(mean: Column, places: int | None) -> Column:
 
 
 def _both(groups: DataFrame, keys: list[str], sums: dict[str, str], places: int | None) -> DataFrame:
-    """scope, keys, count and a mean for each sum, by group and overall."""
-    means = lambda n: [_placed(F.when(n > 0, F.col(s) / n), places).alias(name) for s, name in sums.items()]
+    """scope, keys, count and a mean for each sum, by group and overall. A sum may have a count of infinite scores beside it."""
+
+    def mean(s: str, n: Column) -> Column:
+        value = F.col(s).cast("double") / n
+        return F.when(F.col(f"inf_{s}") > 0, F.lit(float("inf"))).otherwise(value) if f"inf_{s}" in groups.columns else value
+
+    means = lambda n: [_placed(F.when(n > 0, mean(s, n)), places).alias(name) for s, name in sums.items()]
     each = groups.filter("count > 0").select(F.lit("language").alias("scope"), *keys, "count", *means(F.col("count")))
-    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), *(F.sum(s).alias(s) for s in sums))
+    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), *(F.sum(c).alias(c) for c in groups.columns if c.removeprefix("inf_") in sums))
     return each.unionAll(total.select(F.lit("overall").alias("scope"), *(F.lit(None).cast("string").alias(k) for k in keys), "count", *means(F.col("count"))))
 
 
 def ocr_report(scored: DataFrame, places: int | None = 3) -> DataFrame:
-    """scope (overall, language), language, count, avg_anls_word, avg_anls_char; rows without a score aren't counted."""
+    """scope (overall, language), language, count, avg_anls_word, avg_anls_char; rows without a score aren't counted.
+
+    Scores have four places, so they are added up as decimals: the sum doesn't depend on the order of rows.
+    """
     # rows without a score drop out of the sums; a filter here would be pushed below and compute scores twice
     both = F.col("anls_word").isNotNull() & F.col("anls_char").isNotNull()
-    groups = scored.groupBy("language").agg(F.count(F.when(both, 1)).alias("count"), *(F.sum(F.when(both, F.col(c))).alias(f"sum_{c}") for c in ("anls_word", "anls_char")))
+    infinite = lambda c: F.col(c) == float("inf")
+    sums = [x for c in ("anls_word", "anls_char") for x in (F.sum(F.when(both & ~infinite(c), F.col(c)).cast("decimal(28,4)")).alias(f"sum_{c}"), F.count(F.when(both & infinite(c), 1)).alias(f"inf_sum_{c}"))]
+    groups = scored.groupBy("language").agg(F.count(F.when(both, 1)).alias("count"), *sums)
     return _both(groups, ["language"], {"sum_anls_word": "avg_anls_word", "sum_anls_char": "avg_anls_char"}, places)
 
 

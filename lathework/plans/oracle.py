@@ -143,7 +143,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT language, CAST(format('{{:.4f}}', d * 100.0 / greatest(len(rw), len(hw))) AS DOUBLE) AS w,
                    CAST(format('{{:.4f}}', levenshtein(r, h) * 100.0 / greatest(length(r), length(h))) AS DOUBLE) AS c FROM distances)
         SELECT CASE WHEN grouping(language) = 1 THEN 'overall' ELSE 'language' END AS scope, language, count(*) AS count,
-               CAST(format('{{:.3f}}', avg(w)) AS DOUBLE) AS avg_anls_word, CAST(format('{{:.3f}}', avg(c)) AS DOUBLE) AS avg_anls_char
+               CAST(format('{{:.3f}}', CAST(sum(CAST(w AS DECIMAL(28, 4))) AS DOUBLE) / count(*)) AS DOUBLE) AS avg_anls_word, CAST(format('{{:.3f}}', CAST(sum(CAST(c AS DECIMAL(28, 4))) AS DOUBLE) / count(*)) AS DOUBLE) AS avg_anls_char
         FROM scores GROUP BY GROUPING SETS ((language), ())""",
     "mmt_ribes": f"WITH {_mmt_pairs()}, {_ribes()} SELECT target_language, count(ribes) AS n, round(avg(ribes), 6) AS avg_ribes FROM ribes_each GROUP BY target_language",
     "mmt_report": f"""

@@ -22,6 +22,7 @@ from ..functions.ribes import ribes_score
 from ..functions.text import join_path, mime_type, path_part, title_url, tokens, unfenced, untouched_if_blank, url_language
 from ..operators import lookups, reports, reshape, sampling, unions
 from ..operators.projections import option_line, published, with_defaults, with_path_parts
+from ..operators.spread import spread
 from . import evaluate
 
 LANGUAGES = sorted(TRUE_FALSE_WORDS)
@@ -61,7 +62,7 @@ def _folded(text: Column) -> Column:
 
 def _ocr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prediction for each turn: its text with letters misread and words joined."""
-    rows = _table(spark, sf_dir, "conversations")
+    rows = spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     text = _folded(F.col("text"))
     misread = F.replace(F.translate(text, "eo", "cu"), F.lit("in "), F.lit("in"))
     return rows.select(F.concat_ws("-", "conv_id", "turn").alias("id"), _language(F.col("conv_id")).alias("language"), text.alias("reference_text"), misread.alias("predicted_text"))
@@ -132,7 +133,7 @@ def option_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mmt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations")
+    rows = spread(_table(spark, sf_dir, "conversations").select("conv_id", "text"))
     target = F.element_at(F.array(*map(F.lit, TARGET_LANGUAGES)), (F.col("conv_id") % 10 + 1).cast("int"))
     changed = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" a ")), F.lit(","), F.lit(" and"))
     return rows.select(target.alias("target_language"), F.col("text").alias("reference_caption"), changed.alias("predicted_caption"))

@@ -41,6 +41,12 @@ def test_reports_leave_out_null_scores(spark):
     assert [tuple(r) for r in reports.mmt_report(mmt).collect()] == [("hi", 1, 2.0, 0.5)]
 
 
+def test_ocr_report_of_infinite_and_missing_scores(spark):
+    rows = [("x", 33.3333, 0.0625), ("x", 66.6667, 0.0), ("y", float("inf"), 1.0), ("y", 5.0, 2.0), ("z", None, 1.0)]
+    got = {r.language: (r["count"], r.avg_anls_word, r.avg_anls_char) for r in reports.ocr_report(spark.createDataFrame(rows, "language string, anls_word double, anls_char double")).collect()}
+    assert got == {"x": (2, 50.0, 0.031), "y": (2, float("inf"), 1.5), None: (4, float("inf"), 0.766)}
+
+
 def test_unpivot_and_back(spark):
     rows = spark.createDataFrame([(1, "a", None)], "id int, hi string, bn string")
     assert sorted((r.target_language, r.reference_caption) for r in reshape.languages_long(rows, ["id"], ["hi", "bn"]).collect()) == [("bn", None), ("hi", "a")]
