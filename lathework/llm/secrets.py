@@ -107,7 +107,8 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_ran
     those of the least hash of doc_id."""
     spark = docs.sparkSession
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    # written, as filters on spans would else be made of all documents, before the join
+    rows = written(docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text"), "secret-documents")
     found = base_spans(rows)
     secret = found.select(F.explode(F.concat(*(F.coalesce(F.transform(k, lambda s: s["value"]), F.array().cast("array<string>")) for k in ("access", "hex")), F.coalesce(F.transform("assign", lambda s: F.regexp_extract(s["value"], r"([A-Za-z0-9+/_.=-]+)$", 1)), F.array().cast("array<string>")))).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)

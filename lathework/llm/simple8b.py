@@ -37,6 +37,8 @@ from .shared import BLOCK_BYTES, small_batches, spread, string_bytes, tidy, writ
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK_IDS = 4096
+#: Characters of a text that ranges of rows are told apart by.
+RANGE_CHARS = 32
 MAGIC = b"S8B1"
 
 
@@ -154,7 +156,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<
     the document that brings it to record_ids ids, so that no document spans two records.
     An empty table gives no record. Documents are dealt out by ranges of doc_id: one shuffle of the texts.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # ranges of doc_id, and of beginnings of texts where a doc_id has many rows
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
 
     small_batches(docs.sparkSession)
 
@@ -192,9 +196,12 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files; no record is shuffled.
+
+    Places of shards are broadcast: one row for each task that wrote, however long its records are.
+    """
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    based = files.join(shards.select("shard", F.coalesce("base", F.lit(0)).alias("base")), "shard").select("doc_ids", "lengths", "payload", (F.col("base") + F.col("first_id")).alias("at"))
+    based = files.join(F.broadcast(shards.select("shard", F.coalesce("base", F.lit(0)).alias("base"))), "shard").select("doc_ids", "lengths", "payload", (F.col("base") + F.col("first_id")).alias("at"))
 
     def documents(batches):
         for batch in batches:
