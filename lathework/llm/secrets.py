@@ -102,8 +102,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_random: int = SAMPLE_RANDOM) -> DataFrame:
-    """token, random: values that the patterns name as secrets and rule-made strings are random; distinct words
-    of the documents and identifiers joined from them are not. At most sample_docs documents are used,
+    """token, random: values that the patterns name as secrets and rule-made strings are random; identifiers joined
+    from a document's distinct pairs of neighbouring words are not. At most sample_docs documents are used,
     those of the least hash of doc_id."""
     spark = docs.sparkSession
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -113,8 +113,9 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_ran
     secret = found.select(F.explode(F.concat(*(F.coalesce(F.transform(k, lambda s: s["value"]), F.array().cast("array<string>")) for k in ("access", "hex")), F.coalesce(F.transform("assign", lambda s: F.regexp_extract(s["value"], r"([A-Za-z0-9+/_.=-]+)$", 1)), F.array().cast("array<string>")))).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(sample_random).select(F.explode(F.array(F.substring(digest, 1, 40), F.translate(F.substring(F.base64(F.unhex(digest)), 1, 40), "=", ""), F.substring(F.upper(F.base64(F.unhex(digest))), 1, 24))).alias("token"))
-    words = found.filter("assign IS NULL AND access IS NULL AND hex IS NULL").select(F.array_distinct(_all(F.col("text"), "[A-Za-z]{4,}")).alias("w"))
-    pairs = words.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("i")).filter("i >= 0").select(F.get("w", F.col("i")).alias("a"), F.get("w", F.col("i") + 1).alias("b"))
+    words = found.filter("assign IS NULL AND access IS NULL AND hex IS NULL").select(_all(F.col("text"), "[A-Za-z]{4,}").alias("w"))
+    beside = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, size(w))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = words.select(F.explode(F.array_distinct(beside)).alias("pair")).select("pair.a", "pair.b")
     plain = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select(F.explode(F.array(F.concat("a", "b"), F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat_ws("-", "a", "b"), F.concat_ws("/", "a", "b"), F.upper(F.concat_ws("_", "a", "b")))).alias("token"))
     return secret.unionAll(made).withColumn("random", F.lit(True)).unionAll(plain.withColumn("random", F.lit(False)))
 
