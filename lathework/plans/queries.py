@@ -23,7 +23,7 @@ from ..functions.text import join_path, mime_type, path_part, title_url, tokens,
 from ..operators import lookups, reports, reshape, sampling, unions
 from ..operators.projections import option_line, published, with_defaults, with_path_parts
 from ..operators.spread import spread
-from . import evaluate
+from . import evaluate, model_queries
 
 LANGUAGES = sorted(TRUE_FALSE_WORDS)
 
@@ -405,5 +405,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retry_remaining, status_split, qa_unpivot, lang_unpivot, lang_cross, vqa_prompts, url_parts, title_urls, html_quality_filter, html_text, html_image, llm_reply_parse,
         reply_lines, option_lists, unfenced_replies, publish_projection, union_by_language, blank_passthrough, judge_prompts,
     )
-}
-
+} | model_queries.QUERIES

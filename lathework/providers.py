@@ -46,7 +46,20 @@ def stub_judge() -> Provider:
     return lambda asked: [str(int(hashlib.md5(p.encode()).hexdigest()[:6], 16) % 11) for p, _ in asked]
 
 
+def stub_refusing() -> Provider:
+    """The stub's replies, but a failure for each prompt whose MD5 starts with 0 to 3."""
+
+    def reply(asked: list[tuple[str, str | None]]) -> list[str]:
+        out = stub()(asked)
+        if any(x < "4" for x in out):
+            raise ValueError("refused")
+        return out
+
+    return reply
+
+
 register("stub", stub)
+register("stub-refusing", stub_refusing)
 register("stub-judge", stub_judge)
 
 

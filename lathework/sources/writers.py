@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,15 @@ def json_text(rows: DataFrame, most: int = 100_000) -> str:
 
 
 def by_status(df: DataFrame, success_path: str, failed_path: str, status: str = "status") -> None:
-    """Both files of a result; df should be a table or a checkpoint, as it is read for each."""
-    good, bad = split_by_status(df, status)
-    csv(good, success_path)
-    csv(bad, failed_path)
+    """Both files of a result. df is kept on the executors' disks between the two, so that a model behind it runs once;
+    what a lost executor held is made again."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        good, bad = split_by_status(df, status)
+        csv(good, success_path)
+        csv(bad, failed_path)
+    finally:
+        df.unpersist()
 
 
 def publish(corpus: DataFrame, path: str, images: DataFrame | None = None) -> None:
