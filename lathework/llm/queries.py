@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, simple8b, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, projection_passes, quality, secrets, simple8b, toxicity, url_filter, whitening
 from .shared import table
 
 
@@ -85,6 +85,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, field).select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the first 16 components of their covariance; see whitening.whiten for odd rows.
+
+    A deviation beyond a long is null.
+    """
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all embeddings whose cosine reaches 0.95; see projection_passes.near_duplicates for odd rows."""
+    return projection_passes.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simple8b": op2_simple8b,
@@ -96,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
