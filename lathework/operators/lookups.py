@@ -54,21 +54,29 @@ def overlaid(base: DataFrame, corrections: DataFrame, key: str, fields: list[str
     return out.drop("_key", "_fix")
 
 
+def last_of_each(changes: DataFrame, columns: list[str], key: str, order: str) -> DataFrame:
+    """Of changes the last row of each key by `order`: key and those of `columns` that changes have, but `order`."""
+    fields = [c for c in columns if c not in (key, order) and c in changes.columns]
+    return one_for_each(changes.select(key, order, *map(quoted, fields)), [key], order, first=False).select(quoted(key), *map(quoted, fields))
+
+
 def upserted(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """base with changes merged by key: every row of a matched key takes the change's columns, blank ones
     keep the base's value; unmatched changes are new rows. The last change of a key by `order` counts.
+
+    A left join of base, whose hot keys Spark can split, and the changes that no row of base has.
     """
-    fields = [c for c in base.columns if c != key]
-    last = one_for_each(changes.select(key, order, *map(quoted, (f for f in fields if f != order and f in changes.columns))), [key], order, first=False)
-    last = last.withColumnsRenamed({c: f"_new_{c}" for c in last.columns})
-    had = F.col("_had").isNotNull()
+    last = last_of_each(changes, base.columns, key, order)
+    new = last.withColumnsRenamed({c: f"_new_{c}" for c in last.columns})
+    had = F.col(quoted(f"_new_{key}")).isNotNull()
 
     def field(f: str) -> Column:
-        if f"_new_{f}" not in last.columns:
-            return F.col(quoted(f)).alias(f)
-        new = F.col(quoted(f"_new_{f}"))
-        keep = blank(new.cast("string"))
-        return F.when(had & keep, F.col(quoted(f))).otherwise(F.when(F.col(quoted(f"_new_{key}")).isNull(), F.col(quoted(f))).otherwise(new)).alias(f)
-
-    both = base.withColumn("_had", F.lit(1)).join(last, F.col(quoted(key)) == F.col(quoted(f"_new_{key}")), "full_outer")
-    return both.select(*(F.coalesce(F.col(quoted(key)), F.col(quoted(f"_new_{key}"))).alias(key) if c == key else field(c) for c in base.columns))
+        if f == key or f not in last.columns:
+            return F.col(quoted(f))
+        change = F.col(quoted(f"_new_{f}"))
+        return F.when(had & ~blank(change.cast("string")), change).otherwise(F.col(quoted(f))).alias(f)
+
+    merged = base.join(new, F.col(quoted(key)) == F.col(quoted(f"_new_{key}")), "left").select(*map(field, base.columns))
+    added = last.join(base.select(quoted(key)).distinct(), key, "left_anti")
+    lacking = {c: F.lit(None).cast(base.schema[c].dataType) for c in base.columns if c not in last.columns}
+    return merged.unionByName(added.withColumns(lacking).select(*(F.col(quoted(c)).cast(base.schema[c].dataType).alias(c) for c in base.columns)))

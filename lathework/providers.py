@@ -46,41 +46,88 @@ def stub_judge() -> Provider:
     return lambda asked: [str(int(hashlib.md5(p.encode()).hexdigest()[:6], 16) % 11) for p, _ in asked]
 
 
+def _refusing(replies: list[str]) -> list[str]:
+    if any(x < "4" for x in replies):
+        raise ValueError("refused")
+    return replies
+
+
 def stub_refusing() -> Provider:
     """The stub's replies, but a failure for each prompt whose MD5 starts with 0 to 3."""
+    return lambda asked: _refusing(stub()(asked))
+
+
+def stub_seeing() -> Provider:
+    """Replies that depend on prompt and image: the MD5 of both."""
+    return lambda asked: [hashlib.md5(f"{p}|{image or ''}".encode()).hexdigest() for p, image in asked]
 
-    def reply(asked: list[tuple[str, str | None]]) -> list[str]:
-        out = stub()(asked)
-        if any(x < "4" for x in out):
-            raise ValueError("refused")
-        return out
 
-    return reply
+def stub_seeing_refusing() -> Provider:
+    """Those replies, but a failure for each whose MD5 starts with 0 to 3."""
+    return lambda asked: _refusing(stub_seeing()(asked))
 
 
 register("stub", stub)
+register("stub-seeing", stub_seeing)
+register("stub-seeing-refusing", stub_seeing_refusing)
 register("stub-refusing", stub_refusing)
 register("stub-judge", stub_judge)
 
 
-def _asked(model: Provider, prompt, image: str | None, attempts: int, wait: float, accept: Callable[[str], bool] | None = None) -> tuple[str | None, str | None]:
-    """(reply, error) of one prompt, asked until a reply is accepted; both None for no prompt."""
-    error = None
-    for k in range(attempts if isinstance(prompt, str) else 0):
-        try:
-            value = model([(prompt, image)])[0]
-            if accept is None or accept(value):
-                return value, None
-            error = "reply not accepted"
-        except Exception as e:  # any model's failure is a row's error
-            error = f"{type(e).__name__}: {e}"
-        if wait and k + 1 < attempts:
+#: Prompts that go to a provider in one call.
+BATCH = 16
+
+
+def _in_halves(model: Provider, asked: list[tuple[str, str | None]]) -> list[tuple[str | None, Exception | None]]:
+    """A reply or a failure for each; a call that fails is made again for each half, so one bad prompt of n costs about
+    2 log n calls and the others keep their replies."""
+    try:
+        replies = list(model(asked))
+        if len(replies) == len(asked):
+            return [(r, None) for r in replies]
+        failure: Exception = ValueError(f"{len(replies)} replies to {len(asked)} prompts")
+    except Exception as e:  # any model's failure is a row's error
+        failure = e
+    if len(asked) == 1:
+        return [(None, failure)]
+    half = len(asked) // 2
+    return _in_halves(model, asked[:half]) + _in_halves(model, asked[half:])
+
+
+def asked_all(model: Provider, asked: list[tuple[str | None, str | None]], attempts: int = 3, wait: float = 0.0, accept: Callable[[str], bool] | None = None, batch: int = BATCH) -> list[tuple[str | None, str | None]]:
+    """(reply, error) of each (prompt, image), asked until a reply is accepted; both None for no prompt.
+
+    Prompts of like lengths go together in calls of `batch`. Between attempts it waits only where a call failed, not where a
+    reply couldn't be used.
+    """
+    out: list[tuple[str | None, str | None]] = [(None, None)] * len(asked)
+    left = [i for i, (p, _) in enumerate(asked) if isinstance(p, str)]
+    for k in range(attempts):
+        left.sort(key=lambda i: len(asked[i][0]))
+        again, broke = [], False
+        for low in range(0, len(left), batch):
+            part = left[low : low + batch]
+            for i, (value, failure) in zip(part, _in_halves(model, [asked[i] for i in part]), strict=True):
+                try:
+                    good = failure is None and (accept is None or accept(value))
+                except Exception as e:
+                    good, failure = False, e
+                if good:
+                    out[i] = (value, None)
+                    continue
+                broke |= failure is not None
+                out[i] = (None, "reply not accepted" if failure is None else f"{type(failure).__name__}: {failure}")
+                again.append(i)
+        left = again
+        if not left:
+            break
+        if wait and broke and k + 1 < attempts:
             time.sleep(wait)
-    return None, error
+    return out
 
 
 def answered(df: DataFrame, make: Callable[[], Provider], prompt: str, reply: str = "reply", image: str | None = None, attempts: int = 3, wait: float = 0.0, accept: Callable[[str], bool] | None = None) -> DataFrame:
-    """df with `reply` and `reply_error`. A failed call, or a reply that isn't accepted, is tried again, row by row;
+    """df with `reply` and `reply_error`. A failed call, or a reply that isn't accepted, is tried again, alone where need be;
     a null prompt isn't sent. Filter rows before this; when() would not keep a row from the model."""
     schema = StructType([*df.schema.fields, StructField(reply, StringType()), StructField(f"{reply}_error", StringType())])
 
@@ -88,7 +135,7 @@ def answered(df: DataFrame, make: Callable[[], Provider], prompt: str, reply: st
         model = make()
         for pdf in batches:
             images = pdf[image].tolist() if image else [None] * len(pdf)
-            told = [_asked(model, p, i, attempts, wait, accept) for p, i in zip(pdf[prompt].tolist(), images, strict=True)]
+            told = asked_all(model, list(zip(pdf[prompt].tolist(), images, strict=True)), attempts, wait, accept)
             yield pdf.assign(**{reply: pd.Series([x for x, _ in told], dtype="object", index=pdf.index), f"{reply}_error": pd.Series([e for _, e in told], dtype="object", index=pdf.index)})
 
     return df.mapInPandas(work, schema)
@@ -104,7 +151,9 @@ def answered_each(df: DataFrame, make: Callable[[], Provider], prompts: str, rep
         model = make()
         for pdf in batches:
             images = pdf[image].tolist() if image else [None] * len(pdf)
-            told = [[_asked(model, p, i, attempts, wait) for p in row] for row, i in zip(pdf[prompts].tolist(), images, strict=True)]
+            rows = pdf[prompts].tolist()
+            each = iter(asked_all(model, [(p, i) for row, i in zip(rows, images, strict=True) for p in row], attempts, wait))
+            told = [[next(each) for _ in row] for row in rows]
             yield pdf.assign(**{replies: pd.Series([[x for x, _ in row] for row in told], dtype="object", index=pdf.index), f"{replies}_errors": pd.Series([[e for _, e in row] for row in told], dtype="object", index=pdf.index)})
 
     return df.mapInPandas(work, schema)
@@ -140,20 +189,17 @@ def translated(rows: DataFrame, fields: list[str], make: Callable[[], Provider],
     def work(batches):
         model = make()
         for pdf in batches:
-            pdf = pdf.copy()
             failed, errors = ([[] for _ in range(len(pdf))] for _ in range(2))
-            for f in fields:
-                values = pdf[f].tolist()
-                for i, v in enumerate(values):
-                    if not isinstance(v, str) or not v.strip():
-                        continue
-                    said, error = _asked(model, f"Translate to {language}: {v}", None, attempts, wait)
-                    if error is None:
-                        values[i] = said.strip()
-                    else:  # the field keeps its text
-                        failed[i].append(f)
-                        errors[i].append(f"{f} - {error}")
-                pdf[f] = pd.Series(values, dtype="object", index=pdf.index)
+            values = {f: pdf[f].tolist() for f in fields}
+            places = [(f, i) for f in fields for i, v in enumerate(values[f]) if isinstance(v, str) and v.strip()]
+            told = asked_all(model, [(f"Translate to {language}: {values[f][i]}", None) for f, i in places], attempts, wait)
+            for (f, i), (said, error) in zip(places, told, strict=True):
+                if error is None:
+                    values[f][i] = said.strip()
+                else:  # the field keeps its text
+                    failed[i].append(f)
+                    errors[i].append(f"{f} - {error}")
+            pdf = pdf.assign(**{f: pd.Series(v, dtype="object", index=pdf.index) for f, v in values.items()})
             yield pdf.assign(failed_fields=pd.Series(failed, index=pdf.index), errors=pd.Series(errors, index=pdf.index))
 
     return rows.mapInPandas(work, schema)
