@@ -6,7 +6,9 @@ Every passage of every document is a query. A passage is left when the sum of it
 terms' largest weights can't reach any threshold, a block of items when the sum
 of the terms' block maxima can't; the postings of what is left are scored in
 full, and every item at or above its threshold is verified by the five-word
-shingles of its question and of its answer. Passages overlap by half, and are as
+shingles of its question and of its answer. An item's threshold is the least score
+that a passage which holds enough of its shingles can have, so retrieval loses
+none of these. Passages overlap by half, and are as
 long as two longest items, so that an item's copy lies in one of them whole. A
 longer item than ITEM_WORDS is searched by pieces of about equal length, each a
 candidate only: where one is found, the whole item is verified in the words as
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from .shared import LOWER, NOT_ALNUM, mixed, row_blocks, running_hash, small_batches, span_hash, spread, string_bytes, tidy, word_spans
 
 K1, B = 1.2, 0.75
-#: A passage must reach this share of an item's score for its own text.
-SHARE = 0.6
+#: Least words of an item; shorter ones stand in too many texts to tell a copy, and are no items.
+LEAST_WORDS = 5
 #: Least share of the question's and of the answer's shingles that the passage holds. Where it is that of the whole item,
 #: each part needs the lower share only: one changed word is in five shingles, which of a short part are many.
 OVERLAP, PART_OVERLAP = 0.8, 0.4
@@ -80,7 +82,7 @@ def _cut(words: np.ndarray) -> list[np.ndarray]:
 
 
 def statistics(items) -> Statistics:
-    """Of (item_id, text); null or wordless texts are no items. Holds a number for each distinct word."""
+    """Of (item_id, text); null texts and those of under LEAST_WORDS words are no items. Holds a number for each distinct word."""
     terms, frequency = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     new: list[np.ndarray] = []
     pieces = total = longest = held = 0
@@ -93,7 +95,7 @@ def statistics(items) -> Statistics:
 
     for _, text in items:
         words = _words(text or "")
-        for piece in _cut(words) if len(words) else []:
+        for piece in _cut(words) if len(words) >= LEAST_WORDS else []:
             pieces, total, longest = pieces + 1, total + len(piece), max(longest, len(piece))
             new.append(np.unique(piece))
             held += len(new[-1])
@@ -119,6 +121,7 @@ class Index:
     block_top: np.ndarray  # its largest weight
     least: np.ndarray  # of each column: threshold
     block_least: np.ndarray  # of each block
+    marks: np.ndarray  # of each column: the number of its item here
     #: of the whole item, also where the column is a piece of it
     questions: list
     answers: list
@@ -140,24 +143,58 @@ def _words(text: str) -> np.ndarray:
     return words_of(data, np.array([0, len(data)]))[0]
 
 
+def _lost(shares: list[int]) -> int:
+    """Most shingles that a passage may lack: of sets of so many that must each be held to OVERLAP."""
+    return sum(int((1 - OVERLAP) * n + 1e-9) for n in shares)
+
+
+def least_score(words: np.ndarray, terms: np.ndarray, weights: np.ndarray, lost: int) -> float:
+    """The least weight of the terms that a text has which lacks at most `lost` of the shingles of words.
+
+    A term is lacking only where all shingles with it are, and each lacking shingle has SHINGLE terms: so the terms that
+    lack have no more places in shingles than SHINGLE * lost. The most weight for so many places bounds what lacks.
+    """
+    count = max(1, len(words) - SHINGLE + 1)
+    at = np.searchsorted(terms, words)
+    spots = np.stack([at[k : k + count] for k in range(min(SHINGLE, len(words)))], axis=1)
+    hashes = shingles(words)
+    _, first = np.unique(hashes, return_index=True)  # a shingle that repeats is one
+    cells = np.unique(np.repeat(np.arange(len(first)), spots.shape[1]) * len(terms) + spots[first].reshape(-1))
+    places = np.bincount(cells % len(terms), minlength=len(terms))
+    order = np.argsort(-weights / np.maximum(places, 1), kind="stable")
+    used = np.cumsum(places[order])
+    whole = int(np.searchsorted(used, SHINGLE * lost, "right"))
+    gone = float(weights[order[:whole]].sum())
+    if whole < len(order):
+        room = SHINGLE * lost - (int(used[whole - 1]) if whole else 0)
+        gone += float(weights[order[whole]]) * room / int(places[order[whole]])
+    return float(weights.sum()) - gone
+
+
 def build(items: list[tuple], known: Statistics) -> Index | None:
-    """The index of (item_id, text); null or wordless texts are left out, and match nothing."""
+    """The index of (item_id, text); null texts and those of under LEAST_WORDS words are left out, and match nothing."""
     cut, marks = [], []
     for item, text in items:
         words = _words(text or "")
-        if not len(words):
+        if len(words) < LEAST_WORDS:
             continue
-        q, n = question_words(text), min(SHINGLE, len(words))
-        all_of = shingles(words, n)
-        question, answer = all_of[: max(1, min(q, len(all_of)))], all_of[min(max(0, q - n + 1), len(all_of) - 1) :]
+        q, all_of = question_words(text), shingles(words)
+        question, answer = np.unique(all_of[: max(1, min(q, len(all_of)))]), np.unique(all_of[min(max(0, q - SHINGLE + 1), len(all_of) - 1) :])
         whole = (len(words), *known.weights(words)) if len(words) > ITEM_WORDS else None
-        marks.append(((n, np.unique(question)), (n, np.unique(answer)), whole))
-        cut += [(item, known.weights(piece), len(marks) - 1) for piece in _cut(words)]
+        marks.append((question, answer, whole))
+        pieces = _cut(words)
+        for piece in pieces:
+            own = known.weights(piece)
+            if whole is None:
+                lost = max(_lost([len(question), len(answer)]), _lost([len(np.union1d(question, answer))]))
+            else:  # of the pieces one lacks no more than its share, and that of the shingles between pieces
+                lost = int((1 - OVERLAP) * (len(piece) + SHINGLE) + 1)
+            cut.append((item, own, len(marks) - 1, least_score(piece, *own, lost)))
     if not cut:
         return None
-    cut.sort(key=lambda x: x[1][1].sum())  # blocks of like thresholds
-    hashes, weights = (np.concatenate([own[k] for _, own, _ in cut]) for k in (0, 1))
-    columns = np.repeat(np.arange(len(cut), dtype=np.int32), [len(own[0]) for _, own, _ in cut])
+    cut.sort(key=lambda x: x[3])  # blocks of like thresholds
+    hashes, weights = (np.concatenate([x[1][k] for x in cut]) for k in (0, 1))
+    columns = np.repeat(np.arange(len(cut), dtype=np.int32), [len(x[1][0]) for x in cut])
     order = np.lexsort((columns, hashes))
     hashes, weights, columns = hashes[order], weights[order], columns[order]
     terms, lists = np.unique(hashes, return_index=True)
@@ -166,12 +203,12 @@ def build(items: list[tuple], known: Statistics) -> Index | None:
     opens = np.ones(len(block), bool)
     opens[1:] = (block[1:] != block[:-1]) | (hashes[1:] != hashes[:-1])
     first = np.flatnonzero(opens)
-    least = SHARE * np.array([own[1].sum() for _, own, _ in cut])
+    least, of = np.array([x[3] for x in cut]), np.array([x[2] for x in cut])
     return Index(
-        [item for item, _, _ in cut], terms, np.maximum.reduceat(weights, lists[:-1]), lists, columns, weights,
+        [x[0] for x in cut], terms, np.maximum.reduceat(weights, lists[:-1]), lists, columns, weights,
         np.searchsorted(first, lists), block[first], np.append(first, len(hashes)), np.maximum.reduceat(weights, first),
-        least, np.minimum.reduceat(least, np.arange(0, len(cut), BLOCK_ITEMS)),
-        [marks[of][0] for *_, of in cut], [marks[of][1] for *_, of in cut], [marks[of][2] for *_, of in cut],
+        least, np.minimum.reduceat(least, np.arange(0, len(cut), BLOCK_ITEMS)), of,
+        *([marks[i][k] for i in of.tolist()] for k in range(3)),
     )
 
 
@@ -215,15 +252,15 @@ def search(index: Index, words: np.ndarray, passage: np.ndarray):
     return list(zip(queries[cell[found] // len(index.items)].tolist(), column[found].tolist(), score[found].tolist(), strict=True))
 
 
-def _overlaps(question: tuple[int, np.ndarray], answer: tuple[int, np.ndarray], words: np.ndarray) -> tuple[float, float, float]:
+def _overlaps(question: np.ndarray, answer: np.ndarray, words: np.ndarray) -> tuple[float, float, float]:
     """Shares of the shingles of the item, its question and its answer that are among the words."""
-    n, q = question
-    a, have = answer[1], shingles(words, n)
-    return tuple(float(np.isin(x, have).mean()) for x in (np.union1d(q, a), q, a))
+    have = shingles(words)
+    return tuple(float(np.isin(x, have).mean()) for x in (np.union1d(question, answer), question, answer))
 
 
 def matches(index: Index, step: int, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
-    """(row, item, score, question share, answer share) of verified items, the best passage of each.
+    """(row, item, score, question share, answer share) of verified items, the best passage of each; items of one id
+    with different texts are items each.
 
     step: words of a segment, as many as the longest item or piece has and a shingle more.
     """
@@ -240,24 +277,28 @@ def matches(index: Index, step: int, data: np.ndarray, offsets: np.ndarray) -> l
     for number, column, score in search(index, words, passage):
         low, high = np.searchsorted(passage, [number, number + 2])
         row = int(rows[low]) if low < len(rows) else -1
-        if of := index.wholes[column]:
-            reach, terms, weights = of
+        if whole := index.wholes[column]:
+            reach, terms, weights = whole
             low, high = max(first[row], low - reach), min(first[row] + per_row[row], high + reach)
-            if (id(of), low, high) in seen:
+            if (int(index.marks[column]), low, high) in seen:
                 continue
-            seen.add((id(of), low, high))
+            seen.add((int(index.marks[column]), low, high))
             score = float(weights[np.isin(terms, words[low:high])].sum())
         share, q, a = _overlaps(index.questions[column], index.answers[column], words[low:high])
-        key = (row, index.items[column])
+        key = (row, int(index.marks[column]))
         held = min(q, a) >= OVERLAP or share >= OVERLAP and min(q, a) >= PART_OVERLAP
-        if held and (key not in best or best[key][0] < score):
-            best[key] = (score, q, a)
-    return [(row, item, *x) for (row, item), x in sorted(best.items(), key=lambda y: (y[0][0], str(y[0][1])))]
+        if held and (key not in best or best[key][1] < score):
+            best[key] = (index.items[column], score, q, a)
+    return [(row, *x) for (row, _), x in sorted(best.items())]
 
 
 def _items(benchmark: DataFrame):
+    """Distinct (item_id, text) in order."""
+    last = None
     for r in benchmark.select("item_id", "text").filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        yield r[0], r[1]
+        if tuple(r) != last:
+            last = tuple(r)
+            yield last
 
 
 def _finders(docs: DataFrame, benchmark: DataFrame):
@@ -279,7 +320,7 @@ def _finders(docs: DataFrame, benchmark: DataFrame):
 
     part, held = [], 0
     for item, text in _items(benchmark) if known.pieces else []:
-        if not (size := len(_words(text))):
+        if (size := len(_words(text))) < LEAST_WORDS:
             continue
         if part and held + size > PASS_WORDS:
             yield finder(part)
@@ -293,8 +334,11 @@ def _finders(docs: DataFrame, benchmark: DataFrame):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each document and item that it holds.
 
-    Rows of docs that repeat give rows each. Null and empty texts hold nothing; null items are skipped,
-    and without items the result is empty. Only doc_id and text are read.
+    A passage holds an item with OVERLAP of the shingles of question and answer each, or OVERLAP of the item's and PART_OVERLAP
+    of each part's. Rows of docs that repeat give rows each. Null and empty texts hold nothing. Items that are null or have
+    under LEAST_WORDS words match nothing; items that repeat count once, and several texts of one item_id are items
+    each, with a row each. Without items the result is empty. Only doc_id and text are read. The result doesn't depend on how
+    many indexes (PASS_WORDS) hold the items. Items pass through the driver one by one, where an index of at most PASS_WORDS is built.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
@@ -315,7 +359,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; no shuffle.
 
-    Null and empty texts hold nothing and stay; rows that repeat are judged alike; without items all rows stay.
+    Null and empty texts hold nothing and stay; rows that repeat are judged alike; without items (of LEAST_WORDS words or more)
+    all rows stay.
     """
     column = docs.columns.index("text")
     out = docs
