@@ -153,13 +153,40 @@ def scan(docs: DataFrame, table: list[float], least_ratio: float = LEAST_RATIO)
         zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
         return F.aggregate(_codes(token), zero, lambda acc, c: F.struct(c.alias("last"), F.when(acc["last"] < 0, acc["sum"]).otherwise(acc["sum"] + F.get(weights, acc["last"] * n + c)).alias("sum")), lambda acc: acc["sum"])
 
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
     rows = rows.withColumn("base", F.concat(*(F.coalesce(k, none) for k in PATTERNS)))
-    markov = F.when(F.col("long").isNotNull(), F.filter("long", lambda s: free(s) & (ratio(s["value"]) >= least_ratio)))
+    markov = F.when(F.col("long").isNotNull(), F.filter(_free(F.col("base"), F.col("long")), lambda s: ratio(s["value"]) >= least_ratio))
     return rows.select("doc_id", *(F.coalesce(k, none).alias(k) for k in PATTERNS), F.coalesce(markov, none).alias("markov"))
 
 
+def _free(base: Column, tokens: Column) -> Column:
+    """The tokens (struct of start, end, value, in order, apart from each other) that no base span overlaps.
+
+    Both stand in one list by start, base spans first. A token is overlapped by a span before it if the largest end so far
+    lies beyond its start, and by one after it only if its next neighbour is one. Largest ends are taken by runs of
+    RUN and within a run, so the cost isn't the square of the matches.
+    """
+    marked = lambda spans, late: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(late).alias("late"), s["end"].alias("end"), s["value"].alias("value")))
+    largest = lambda values, first, count, of: F.aggregate(F.slice(values, first + 1, count), F.lit(0), lambda acc, x: F.greatest(acc, of(x)))
+    end = lambda x: F.when(x["late"] == 0, x["end"]).otherwise(0)
+
+    def kept(events: Column, before: Column) -> Column:
+        def free(x: Column, i: Column) -> Column:
+            run, after = F.floor(i / RUN).cast("int"), F.get(events, i + 1)
+            earlier = F.greatest(F.get(before, run), largest(events, run * RUN, i - run * RUN, end))
+            return (x["late"] == 1) & (earlier <= x["start"]) & ~F.coalesce((after["late"] == 0) & (after["start"] < x["end"]), F.lit(False))
+
+        return F.transform(F.filter(events, free), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+
+    def by_runs(events: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.floor((F.size(events) - 1) / RUN).cast("int"))
+        tops = F.transform(runs, lambda k: largest(events, k * RUN, F.lit(RUN), end))
+        return _let(tops, lambda t: _let(F.transform(runs, lambda k: largest(t, F.lit(0), k, lambda x: x)), lambda before: kept(events, before)))
+
+    both = _let(F.array_sort(F.concat(marked(base, 0), marked(tokens, 1))), by_runs)
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(both)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, counts, SHA-256 of the base spans and all spans as kind:start:end, by start and then kind."""
 
