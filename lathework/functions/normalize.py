@@ -46,19 +46,23 @@ def true_false_score(ref: Column, pred: Column, language: Column) -> Column:
 
 # The zeros of the scripts whose digits count.
 ZEROS = (0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66)
-_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_RUN = "[0-9](?:_?[0-9])*"  # digits, single underscores between them
+_NUMBER = rf"[+-]?(?:{_RUN}\.?(?:{_RUN})?|\.{_RUN})(?:[eE][+-]?{_RUN})?"
+_INFINITE = "[+-]?[iI][nN][fF](?:[iI][nN][iI][tT][yY])?"
 _DIGITS = {zero + i: str(i) for zero in ZEROS for i in range(10)}
 
 
 def is_judge_score(reply: str) -> bool:
     """Whether judge_score() gives a number for the reply; for a worker that may ask again."""
-    return re.fullmatch(_NUMBER, reply.strip().translate(_DIGITS)) is not None
+    return re.fullmatch(f"{_NUMBER}|{_INFINITE}", reply.strip().translate(_DIGITS)) is not None
 
 
 def judge_score(reply: Column) -> Column:
-    """A judge's reply as a number from 0 to 10; null where it is none (NaN too). Digits of other scripts count."""
+    """A judge's reply as a number from 0 to 10; null where it is none (NaN too). Digits of other scripts count,
+    single underscores between digits too; an infinity is 10, a negative one 0."""
     text = strip(reply)
     for zero in ZEROS:
         text = F.translate(text, "".join(chr(zero + i) for i in range(10)), "0123456789")
-    number = F.when(text.rlike(f"^{_NUMBER}$"), text.try_cast("double"))
+    infinity = F.when(text.startswith("-"), 0.0).otherwise(10.0)
+    number = F.when(text.rlike(f"^(?:{_NUMBER})$"), F.replace(text, F.lit("_"), F.lit("")).try_cast("double")).when(text.rlike(f"^(?:{_INFINITE})$"), infinity)
     return F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(10.0)), F.lit(0.0)))

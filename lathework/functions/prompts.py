@@ -46,6 +46,9 @@ def caption_prompt(state: Column, category: Column, given: Column) -> Column:
     return F.concat_ws(" ", F.lit("Describe the picture in some sentences."), F.concat(F.lit("Place:"), state), F.concat(F.lit("Topic:"), category), F.when(F.coalesce(given, F.lit("")) != "", F.concat(F.lit("Known:"), given)))
 
 
-def question_prompt(caption: Column, adversarial: bool = False) -> Column:
+def question_prompt(caption: Column, adversarial: bool = False, file: Column | None = None, category: Column | None = None) -> Column:
+    """About an image of that category and caption; the file's name stands in the prompt for all question types alone."""
     asked = "Write one question with a false premise and its answer, as lines 'Adversarial Question:' and 'Answer:'." if adversarial else "Write JSON with short_questions, multiple_choice_questions with options, true_false_question and long_question."
-    return F.concat_ws("\n", F.lit(asked), caption)
+    named = [] if file is None or adversarial else [F.concat(F.lit("File: "), file)]
+    topic = [] if category is None else [F.concat(F.lit("Category: "), category)]
+    return F.concat_ws("\n", F.lit(asked), *named, *topic, caption)

@@ -1,7 +1,7 @@
 """Reports: grouped means of scores. Keys are languages and types, so partial sums do the work.
 
 The overall row comes from the groups' sums, so it is there without any score too, and the scores are
-computed once: both parts of a report share the groups' shuffle.
+computed once.
 """
 
 from __future__ import annotations
@@ -16,17 +16,24 @@ def _placed(mean: Column, places: int | None) -> Column:
     return mean if places is None else rounded(mean, places)
 
 
-def _both(groups: DataFrame, keys: list[str], sums: dict[str, str], places: int | None) -> DataFrame:
-    """scope, keys, count and a mean for each sum, by group and overall. A sum may have a count of infinite scores beside it."""
+def _both(groups: DataFrame, keys: list[str], sums: dict[str, str], places: int | None, totals: dict[str, str] | None = None) -> DataFrame:
+    """scope, keys, count, a mean for each sum and the totals, by group and overall. A sum may have a count of infinite scores beside it.
 
-    def mean(s: str, n: Column) -> Column:
-        value = F.col(s).cast("double") / n
-        return F.when(F.col(f"inf_{s}") > 0, F.lit(float("inf"))).otherwise(value) if f"inf_{s}" in groups.columns else value
+    Each group counts for itself and for the overall row, in one more sum of the groups; a row of zeros stands for no groups.
+    """
+    totals = totals or {}
+    counted = [c for c in groups.columns if c not in keys]
+
+    def mean(s: str) -> Column:
+        value = F.col(s).cast("double") / F.col("count")
+        return F.when(F.col(f"inf_{s}") > 0, F.lit(float("inf"))).otherwise(value) if f"inf_{s}" in counted else value
 
-    means = lambda n: [_placed(F.when(n > 0, mean(s, n)), places).alias(name) for s, name in sums.items()]
-    each = groups.filter("count > 0").select(F.lit("language").alias("scope"), *keys, "count", *means(F.col("count")))
-    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), *(F.sum(c).alias(c) for c in groups.columns if c.removeprefix("inf_") in sums))
-    return each.unionAll(total.select(F.lit("overall").alias("scope"), *(F.lit(None).cast("string").alias(k) for k in keys), "count", *means(F.col("count"))))
+    twice = groups.withColumn("scope", F.explode(F.array(F.lit("language"), F.lit("overall"))))
+    twice = twice.select("scope", *(F.when(F.col("scope") == "language", F.col(k)).alias(k) for k in keys), *counted)
+    zero = groups.sparkSession.range(1).select(F.lit("overall").alias("scope"), *(F.lit(None).cast("string").alias(k) for k in keys), *(F.lit(0).cast(groups.schema[c].dataType).alias(c) for c in counted))
+    both = twice.unionAll(zero).groupBy("scope", *keys).agg(*(F.sum(c).alias(c) for c in counted)).filter("count > 0 OR scope = 'overall'")
+    means = [_placed(F.when(F.col("count") > 0, mean(s)), places).alias(name) for s, name in sums.items()]
+    return both.select("scope", *keys, "count", *means, *(F.col(c).alias(t) for c, t in totals.items()))
 
 
 def ocr_report(scored: DataFrame, places: int | None = 3) -> DataFrame:
@@ -42,15 +49,16 @@ def ocr_report(scored: DataFrame, places: int | None = 3) -> DataFrame:
     return _both(groups, ["language"], {"sum_anls_word": "avg_anls_word", "sum_anls_char": "avg_anls_char"}, places)
 
 
-def typed_report(scores: DataFrame, total: DataFrame | int, value: str = "score", places: int | None = 3) -> DataFrame:
+def typed_report(scores: DataFrame, total: int | None = None, value: str = "score", places: int | None = 3) -> DataFrame:
     """scope, language, question_type, count, value: means of long scores by language and type, and over all.
 
-    Null scores are in no group. total: rows of the input, scored or not, that the overall row carries.
+    Null scores are in no group. The overall row carries the rows of the input, scored or not: `total`, or the sum of the
+    column sample (1 in one of each input row's scores), which is counted with the scores, so nothing is computed twice.
     """
-    groups = scores.groupBy("language", "question_type").agg(F.count("score").alias("count"), F.sum("score").alias("sum_score"))
-    out = _both(groups, ["language", "question_type"], {"sum_score": value}, places)
-    n = F.lit(total).cast("long") if isinstance(total, int) else F.col("total_data_points")
-    out = out if isinstance(total, int) else out.join(F.broadcast(total.agg(F.count("*").alias("total_data_points"))))  # one row
+    rows = F.lit(0) if total is not None else F.sum("sample")
+    groups = scores.groupBy("language", "question_type").agg(F.count("score").alias("count"), F.sum("score").alias("sum_score"), rows.cast("long").alias("rows"))
+    out = _both(groups, ["language", "question_type"], {"sum_score": value}, places, {"rows": "total_data_points"})
+    n = F.col("total_data_points") if total is None else F.lit(total).cast("long")
     return out.select("scope", "language", "question_type", "count", value, F.when(F.col("scope") == "overall", n).alias("total_data_points"))
 
 

@@ -27,9 +27,10 @@ def crossed_with(samples: DataFrame, values: list[str], name: str) -> DataFrame:
 
 
 def scores_long(scored: DataFrame, kept: list[str], scores: list[str]) -> DataFrame:
-    """A row for each score of a row: question_type, score; nulls are left out."""
-    each = F.array(*(F.struct(F.lit(s).alias("question_type"), F.col(quoted(s)).cast("double").alias("score")) for s in scores))
-    return scored.select(*map(quoted, kept), F.explode(each).alias("_x")).select(*map(quoted, kept), "_x.*").filter("score IS NOT NULL")
+    """A row for each score of a row: question_type, score (null ones too), and sample: 1 in the first of a row's, else 0, so that
+    the rows can be counted in the pass that adds up the scores."""
+    each = F.array(*(F.struct(F.lit(s).alias("question_type"), F.col(quoted(s)).cast("double").alias("score"), F.lit(int(i == 0)).alias("sample")) for i, s in enumerate(scores)))
+    return scored.select(*map(quoted, kept), F.explode(each).alias("_x")).select(*map(quoted, kept), "_x.*")
 
 
 def nested_by(report: DataFrame, outer: str, inner: str, value: Column) -> DataFrame:

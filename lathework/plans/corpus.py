@@ -32,13 +32,15 @@ def captioned(metadata: DataFrame, base: str, state: str, keep: Callable[[DataFr
 def questioned(captions: DataFrame, standard: Callable[[], Provider] = stub, adversarial: Callable[[], Provider] = stub, attempts: int = 3) -> DataFrame:
     """captions with their question and answer fields and a status: success, Standard QA failed or Adversarial QA failed.
 
-    A reply that can't be used is asked for again, as a failed call is.
+    Both prompts go out with the image, and name its category (its folder), the first one its file too. A reply that
+    can't be used is asked for again, as a failed call is.
     """
-    first = answered(captions.drop("status").withColumn("_p", question_prompt(F.col("caption"))), standard, "_p", "_standard", attempts=attempts, accept=is_questions).drop("_p")
+    file, category = path_part(F.col("image_path"), 1), path_part(F.col("image_path"), 2)
+    first = answered(captions.drop("status").withColumn("_p", question_prompt(F.col("caption"), file=file, category=category)), standard, "_p", "_standard", image="image_path", attempts=attempts, accept=is_questions).drop("_p")
     fields = qa_fields(F.col("_standard"))
     ok = F.col("_standard").isNotNull() & fields["long_q"].isNotNull()
     # the second prompt is only sent where the first reply was good
-    second = answered(first.withColumn("_p", F.when(ok, question_prompt(F.col("caption"), True))), adversarial, "_p", "_adversarial", attempts=attempts, accept=is_pair).drop("_p")
+    second = answered(first.withColumn("_p", F.when(ok, question_prompt(F.col("caption"), True, file, category))), adversarial, "_p", "_adversarial", image="image_path", attempts=attempts, accept=is_pair).drop("_p")
     pair = line_fields(F.coalesce("_adversarial", F.lit("")))
     status = F.when(~ok, "Standard QA failed").when(pair["question"].isNull(), "Adversarial QA failed").otherwise("success")
     return second.withColumns({**{k: F.coalesce(v, F.lit("")) for k, v in fields.items()}, "adversarial_question": F.coalesce(pair["question"], F.lit("")), "adversarial_answer": F.coalesce(pair["answer"], F.lit("")), "status": status}).drop("_standard", "_standard_error", "_adversarial", "_adversarial_error")

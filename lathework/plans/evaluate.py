@@ -1,4 +1,7 @@
-"""Evaluation: predictions to scores to reports, which are in order of language and type."""
+"""Evaluation: predictions to scores to reports, which are in order of language and type.
+
+A report reads its predictions once, so a model behind them is asked once.
+"""
 
 from __future__ import annotations
 
@@ -30,11 +33,16 @@ def score_structured(predictions: DataFrame) -> DataFrame:
     return predictions.withColumns({"mcq": option_score(ref["mcq_a"], pred["mcq_a"], lang), "true_false_q": true_false_score(ref["true_false_a"], pred["true_false_a"], lang)})
 
 
+def _judged(predictions: DataFrame, make: Callable[[], Provider]) -> DataFrame:
+    """score_open()'s rows with sample: 1 in the first of a row's questions, else 0."""
+    each = F.array(*(F.struct(F.lit(q).alias("question_type"), F.col("questions")[q].alias("question"), F.col("references")[QUESTIONS[q]].alias("reference"), F.col("predictions")[QUESTIONS[q]].alias("response"), F.lit(int(i == 0)).alias("sample")) for i, q in enumerate(OPEN_TYPES)))
+    long = predictions.select("id", "language", F.explode(each).alias("x")).select("id", "language", "x.*")
+    return judged(long, make)
+
+
 def score_open(predictions: DataFrame, make: Callable[[], Provider] = stub_judge) -> DataFrame:
     """id, language, question_type, score: a judge's score for each open question."""
-    each = F.array(*(F.struct(F.lit(q).alias("question_type"), F.col("questions")[q].alias("question"), F.col("references")[QUESTIONS[q]].alias("reference"), F.col("predictions")[QUESTIONS[q]].alias("response")) for q in OPEN_TYPES))
-    long = predictions.select("id", "language", F.explode(each).alias("x")).select("id", "language", "x.*")
-    return judged(long, make).select("id", "language", "question_type", "score")
+    return _judged(predictions, make).select("id", "language", "question_type", "score")
 
 
 def score_mmt(predictions: DataFrame) -> DataFrame:
@@ -49,11 +57,11 @@ def ocr(predictions: DataFrame) -> DataFrame:
 
 
 def structured(predictions: DataFrame) -> DataFrame:
-    return reports.in_order(reports.typed_report(scores_long(score_structured(predictions), ["language"], ["mcq", "true_false_q"]), predictions, "accuracy"))
+    return reports.in_order(reports.typed_report(scores_long(score_structured(predictions), ["language"], ["mcq", "true_false_q"]), value="accuracy"))
 
 
 def open_ended(predictions: DataFrame, make: Callable[[], Provider] = stub_judge) -> DataFrame:
-    return reports.in_order(reports.typed_report(score_open(predictions, make), predictions, "avg_score"))
+    return reports.in_order(reports.typed_report(_judged(predictions, make), value="avg_score"))
 
 
 def mmt(predictions: DataFrame) -> DataFrame:

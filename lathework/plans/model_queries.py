@@ -16,7 +16,7 @@ from ..dims import QUESTIONS, TARGET_LANGUAGES, TRUE_FALSE_WORDS
 from ..functions.prompts import JUDGE_KINDS, caption_prompt, question_prompt
 from ..functions.text import SPACE, pre_process, rounded
 from ..operators import reports
-from ..providers import Provider, stub_refusing, translated
+from ..providers import Provider, stub_refusing, stub_seeing_refusing, translated
 from ..sources import readers, writers
 from ..sources.scratch import scratch_path, stored
 from . import corpus, evaluate, generate
@@ -29,9 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return readers.parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
-def _said(prompt: str, failed: str) -> str:
-    """SQL of stub_refusing's reply to a prompt, with what stands for a failure."""
-    return f"CASE WHEN md5({prompt})[1:1] < '4' THEN {failed} ELSE md5({prompt}) END"
+def _said(prompt: str, failed: str, image: str = "") -> str:
+    """SQL of the refusing stub's reply to a prompt, with what stands for a failure; with an image that of the one that sees it."""
+    seen = f"md5({prompt} || '|' || {image})" if image else f"md5({prompt})"
+    return f"CASE WHEN {seen}[1:1] < '4' THEN {failed} ELSE {seen} END"
 
 
 # ---------------------------------------------------------------- rounding and text
@@ -52,6 +53,13 @@ def processed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- generation
 
 
+def _image(item: Column) -> Column:
+    return F.concat(F.lit("img/"), (item % 5).cast("string"), F.lit("/"), item.cast("string"), F.lit(".jpg"))
+
+
+_IMAGE = "('img/' || item_id % 5 || '/' || item_id || '.jpg')"
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of each item, without a second short question or a long one."""
     item = F.col("item_id")
@@ -59,28 +67,28 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = {"short_q1": F.col("text"), "short_q2": F.lit(""), "mcq": told("which"), "true_false_q": F.col("text"), "long_q": F.lit(None).cast("string"), "adversarial_question": F.col("text")}
     language = F.element_at(F.array(*map(F.lit, LANGUAGES)), (item % len(LANGUAGES) + 1).cast("int"))
     return _table(spark, sf_dir, "benchmark").select(
-        (item % 17).cast("string").alias("id"), "item_id", language.alias("language"), F.lit("a state").alias("State/UT"), F.lit("a topic").alias("topic"), item.cast("string").alias("source_url"),
+        (item % 17).cast("string").alias("id"), "item_id", language.alias("language"), F.lit("a state").alias("State/UT"), F.lit("a topic").alias("topic"), item.cast("string").alias("source_url"), _image(item).alias("image"),
         *(c.alias(q) for q, c in questions.items()), *(told(o).alias(o) for o in generate.OPTIONS), *(told(a).alias(a) for a in QUESTIONS.values()),
     )
 
 
 def vqa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a model by its name, failures as text; several samples share an id."""
-    told = generate.vqa(_samples(spark, sf_dir), "stub-refusing", error_as_text=True)
+    """Answers of a model by its name, which sees each sample's image; failures as text. Several samples share an id."""
+    told = generate.vqa(_samples(spark, sf_dir), "stub-seeing-refusing", error_as_text=True)
     return told.select("model", "id", "language", "source_url", F.col("questions.mcq").alias("mcq"), *(F.col(f"predictions.{a}").alias(f"said_{a}") for a in QUESTIONS.values()), F.col("references.mcq_a").alias("mcq_a"))
 
 
 def mmt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A translation of each item to each target language, null where the model failed."""
+    """A translation of each item to each target language beside its image, null where the model failed."""
     captions = [F.concat(F.lit(f"{i}:"), "text").alias(x) for i, x in enumerate(TARGET_LANGUAGES)]
-    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("here").alias("source_url"), F.col("text").alias("English"), *captions)
-    return generate.mmt(rows, "stub-refusing")
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("here").alias("source_url"), F.col("text").alias("English"), _image(F.col("item_id")).alias("image"), *captions)
+    return generate.mmt(rows, "stub-seeing-refusing")
 
 
 def ocr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prompt for all pages: the stub's one reply."""
-    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("Hindi").alias("language"), F.col("url").alias("page_url"), F.col("html").alias("text"))
-    return generate.ocr(rows, "stub").groupBy("model", "language", "predicted_text").agg(F.count("*").alias("n"), F.sum(F.length("reference_text")).alias("chars"))
+    """One prompt for all pages, each with its own image: a reply for each page."""
+    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("Hindi").alias("language"), F.col("url").alias("page_url"), F.col("url").alias("image"), F.col("html").alias("text"))
+    return generate.ocr(rows, "stub-seeing").select("model", "id", "language", "page_url", F.length("reference_text").alias("chars"), "predicted_text")
 
 
 def translated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,23 +99,23 @@ def translated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompts for captions, with and without a known one, and for questions about them."""
+    """The prompts for captions, with and without a known one, and for questions about them by file and category."""
     given = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, "")
-    return _table(spark, sf_dir, "benchmark").select("item_id", caption_prompt(F.lit("Goa"), F.lit("art"), given).alias("caption"), question_prompt(F.col("text")).alias("standard"), question_prompt(F.col("text"), adversarial=True).alias("adversarial"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", caption_prompt(F.lit("Goa"), F.lit("art"), given).alias("caption"), question_prompt(F.col("text"), file=F.format_string("%d.jpg", "item_id"), category=F.lit("art")).alias("standard"), question_prompt(F.col("text"), True, F.lit("x.jpg"), F.lit("art")).alias("adversarial"), question_prompt(F.col("text")).alias("plain"))
 
 
 def caption_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions in two rounds, each stored; what fails in both stays as failed."""
     rows = _table(spark, sf_dir, "benchmark").select(F.format_string("%d.jpg", "item_id").alias("image_filename"), F.lit("here").alias("source_url"), F.lit("art").alias("category"), F.col("text").alias("caption"))
-    return corpus.captioned(rows, "root", "Goa", stored, stub_refusing, most_rounds=2)
+    return corpus.captioned(rows, "root", "Goa", stored, stub_seeing_refusing, most_rounds=2)
 
 
 def _standard() -> Provider:
     """JSON, in a fence for some prompts, and no JSON for others."""
 
     def reply(asked):
-        for p, _ in asked:
-            h = hashlib.md5(p.encode()).hexdigest()
+        for p, image in asked:
+            h = hashlib.md5(f"{p}|{image}".encode()).hexdigest()
             body = f'{{"short_questions":[{{"question":"{h}","answer":"a"}}],"multiple_choice_questions":[{{"question":"m","answer":"B","options":["x","y"]}}],"long_question":{{"question":"l","answer":"{h[:4]}"}}}}'
             yield "no idea" if h[0] < "4" else f"```json\n{body}\n```" if h[0] < "8" else body
 
@@ -116,12 +124,12 @@ def _standard() -> Provider:
 
 def _adversarial() -> Provider:
     """Both lines, or the question's alone."""
-    return lambda asked: [f"Sure.\nAdversarial Question: {h}" + ("" if h[0] < "4" else f"\nAnswer: no {h[:2]}") for h in (hashlib.md5(p.encode()).hexdigest() for p, _ in asked)]
+    return lambda asked: [f"Sure.\nAdversarial Question: {h}" + ("" if h[0] < "4" else f"\nAnswer: no {h[:2]}") for h in (hashlib.md5(f"{p}|{image}".encode()).hexdigest() for p, image in asked)]
 
 
 def qa_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions and answers about each item's text, with the status that the replies give."""
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("caption"), F.lit("success").alias("status"))
+    """Questions and answers about each item's image and text, with the status that the replies give."""
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", _image(F.col("item_id")).alias("image_path"), F.col("text").alias("caption"), F.lit("success").alias("status"))
     return corpus.questioned(rows, _standard, _adversarial).select("item_id", "status", "short_q1", "short_a2", "mc_opt1_2", "mc_opt1_3", "long_a", "adversarial_question", "adversarial_answer")
 
 
@@ -143,7 +151,7 @@ def open_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mmt_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of captions against themselves, some missing: none of these has a score."""
-    text = F.substring_index("text", " ", 12)
+    text = F.col("text")
     rows = _table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 3 != 0, text).alias("reference_caption"), F.when(F.col("turn") % 2 == 0, text).alias("predicted_caption"))
     return evaluate.score_mmt(rows).groupBy(F.col("reference_caption").isNull().alias("no_reference"), F.col("predicted_caption").isNull().alias("no_prediction")).agg(F.count("*").alias("n"), F.count("bleu").alias("n_bleu"), F.count("ribes").alias("n_ribes"))
 
@@ -220,12 +228,12 @@ ORACLE_SQL: dict[str, str] = {
             SELECT item_id, language, 'Reply with one option alone, as <A>, <B>, <C> or <D>.' || chr(10) || 'which ' || item_id || {_LISTED} AS m,
                    trim(text) || ' Keep the answer short, in ' || language || '.' AS s, 'Reply with one word alone, ' || yes || ' or ' || no || '.' || chr(10) || trim(text) AS t, trim(text) || ' Explain in detail, in ' || language || '.' AS l
             FROM (SELECT *, {_LANGUAGE_SQL} AS language FROM benchmark) JOIN words USING (language))
-        SELECT 'stub-refusing' AS model, CAST(item_id % 17 AS VARCHAR) AS id, language, CAST(item_id AS VARCHAR) AS source_url,
+        SELECT 'stub-seeing-refusing' AS model, CAST(item_id % 17 AS VARCHAR) AS id, language, CAST(item_id AS VARCHAR) AS source_url,
                'which ' || item_id || ': ' || {" || ' | ' || ".join(f"'{o} ' || item_id" for o in generate.OPTIONS)} AS mcq,
-               {_said("s", _REFUSED)} AS said_short_a1, '' AS said_short_a2, {_said("m", _REFUSED)} AS said_mcq_a, {_said("t", _REFUSED)} AS said_true_false_a, '' AS said_long_a, {_said("l", _REFUSED)} AS said_adversarial_answer, 'mcq_a ' || item_id AS mcq_a
+               {_said("s", _REFUSED, _IMAGE)} AS said_short_a1, '' AS said_short_a2, {_said("m", _REFUSED, _IMAGE)} AS said_mcq_a, {_said("t", _REFUSED, _IMAGE)} AS said_true_false_a, '' AS said_long_a, {_said("l", _REFUSED, _IMAGE)} AS said_adversarial_answer, 'mcq_a ' || item_id AS mcq_a
         FROM asked""",
-    "mmt_predictions": " UNION ALL ".join(f"SELECT 'stub-refusing' AS model, CAST(item_id AS VARCHAR) AS id, '{x}' AS target_language, 'here' AS source_url, text AS english_caption, '{i}:' || text AS reference_caption, {_said(f"('Translate this caption to {x}, nothing else: ' || text)", 'NULL')} AS predicted_caption FROM benchmark" for i, x in enumerate(TARGET_LANGUAGES)),
-    "ocr_predictions": "SELECT 'stub' AS model, 'Hindi' AS language, md5('Write down the text of this page.') AS predicted_text, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages",
+    "mmt_predictions": " UNION ALL ".join(f"SELECT 'stub-seeing-refusing' AS model, CAST(item_id AS VARCHAR) AS id, '{x}' AS target_language, 'here' AS source_url, text AS english_caption, '{i}:' || text AS reference_caption, {_said(f"('Translate this caption to {x}, nothing else: ' || text)", 'NULL', _IMAGE)} AS predicted_caption FROM benchmark" for i, x in enumerate(TARGET_LANGUAGES)),
+    "ocr_predictions": "SELECT 'stub-seeing' AS model, CAST(page_id AS VARCHAR) AS id, 'Hindi' AS language, url AS page_url, length(html) AS chars, md5('Write down the text of this page.|' || coalesce(url, '')) AS predicted_text FROM pages",
     "translated_items": """
         WITH rows AS (SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN ' ' ELSE 'note ' || item_id END AS note FROM benchmark),
         told AS (SELECT *, md5('Translate to Hindi: ' || text) AS t, md5('Translate to Hindi: ' || note) AS n, trim(note) <> '' AS asked FROM rows),
@@ -235,16 +243,17 @@ ORACLE_SQL: dict[str, str] = {
         FROM seen""",
     "generation_prompts": """
         SELECT item_id, 'Describe the picture in some sentences. Place:Goa Topic:art' || CASE WHEN item_id % 3 = 0 AND text <> '' THEN ' Known:' || text ELSE '' END AS caption,
-               'Write JSON with short_questions, multiple_choice_questions with options, true_false_question and long_question.' || chr(10) || text AS standard,
-               'Write one question with a false premise and its answer, as lines ''Adversarial Question:'' and ''Answer:''.' || chr(10) || text AS adversarial
+               'Write JSON with short_questions, multiple_choice_questions with options, true_false_question and long_question.' || chr(10) || 'File: ' || item_id || '.jpg' || chr(10) || 'Category: art' || chr(10) || text AS standard,
+               'Write one question with a false premise and its answer, as lines ''Adversarial Question:'' and ''Answer:''.' || chr(10) || 'Category: art' || chr(10) || text AS adversarial,
+               'Write JSON with short_questions, multiple_choice_questions with options, true_false_question and long_question.' || chr(10) || text AS plain
         FROM benchmark""",
     "caption_rounds": f"""
         WITH asked AS (SELECT item_id, 'Describe the picture in some sentences. Place:Goa Topic:art Known:' || text AS p FROM benchmark)
-        SELECT 'root/Goa/art/' || item_id || '.jpg' AS image_path, {_said("p", "NULL")} AS caption, 'here' AS source_url, CASE WHEN md5(p)[1:1] < '4' THEN 'failed' ELSE 'success' END AS status FROM asked""",
-    "qa_enrichment": """
+        SELECT 'root/Goa/art/' || item_id || '.jpg' AS image_path, {_said("p", "NULL", "'root/Goa/art/' || item_id || '.jpg'")} AS caption, 'here' AS source_url, {_said("p", "'failed'", "'root/Goa/art/' || item_id || '.jpg'").split(" ELSE ")[0]} ELSE 'success' END AS status FROM asked""",
+    "qa_enrichment": f"""
         WITH asked AS (
-            SELECT item_id, md5('Write JSON with short_questions, multiple_choice_questions with options, true_false_question and long_question.' || chr(10) || text) AS h,
-                   md5('Write one question with a false premise and its answer, as lines ''Adversarial Question:'' and ''Answer:''.' || chr(10) || text) AS g FROM benchmark),
+            SELECT item_id, md5('Write JSON with short_questions, multiple_choice_questions with options, true_false_question and long_question.' || chr(10) || 'File: ' || item_id || '.jpg' || chr(10) || 'Category: ' || item_id % 5 || chr(10) || text || '|' || {_IMAGE}) AS h,
+                   md5('Write one question with a false premise and its answer, as lines ''Adversarial Question:'' and ''Answer:''.' || chr(10) || 'Category: ' || item_id % 5 || chr(10) || text || '|' || {_IMAGE}) AS g FROM benchmark),
         judged AS (SELECT *, h[1:1] >= '4' AS ok, h[1:1] >= '4' AND g[1:1] >= '4' AS good FROM asked)
         SELECT item_id, CASE WHEN NOT ok THEN 'Standard QA failed' WHEN NOT good THEN 'Adversarial QA failed' ELSE 'success' END AS status,
                CASE WHEN ok THEN h ELSE '' END AS short_q1, '' AS short_a2, CASE WHEN ok THEN 'y' ELSE '' END AS mc_opt1_2, '' AS mc_opt1_3, CASE WHEN ok THEN h[1:4] ELSE '' END AS long_a,

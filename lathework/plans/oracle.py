@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..dims import OPTION_LETTERS, STATE_LANGUAGE, TARGET_LANGUAGES
 from ..functions.prompts import JUDGE_KINDS
-from . import model_queries
+from . import model_queries, report_queries
 from .queries import _CORRECTIONS_SQL, _STRUCTURED_SQL, _lang_sql
 
 _TARGETS = "[" + ", ".join(f"'{x}'" for x in TARGET_LANGUAGES) + "]"
@@ -221,4 +221,4 @@ ORACLE_SQL: dict[str, str] = {
     "judge_prompts": f"""
         WITH {_OPEN} SELECT question_type, {_RULE} || chr(10) || 'Question: Why?' || chr(10) || 'Reference: ' || reference || chr(10) || 'Answer: x' || chr(10) || 'Reply with a number from 0 to 10 alone.' AS prompt, count(*) AS n
         FROM rows GROUP BY ALL""",
-} | model_queries.ORACLE_SQL
+} | model_queries.ORACLE_SQL | report_queries.ORACLE_SQL

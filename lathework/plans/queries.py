@@ -23,7 +23,7 @@ from ..functions.text import join_path, mime_type, path_part, title_url, tokens,
 from ..operators import lookups, reports, reshape, sampling, unions
 from ..operators.projections import option_line, published, with_defaults, with_path_parts
 from ..operators.spread import spread
-from . import evaluate, model_queries
+from . import evaluate, model_queries, report_queries
 
 LANGUAGES = sorted(TRUE_FALSE_WORDS)
 
@@ -103,7 +103,7 @@ def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structured_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _structured(spark, sf_dir)
-    return reports.typed_report(reshape.scores_long(evaluate.score_structured(rows), ["language"], ["mcq", "true_false_q"]), rows, "accuracy", places=None).withColumn("accuracy", F.round("accuracy", 6))
+    return reports.typed_report(reshape.scores_long(evaluate.score_structured(rows), ["language"], ["mcq", "true_false_q"]), value="accuracy", places=None).withColumn("accuracy", F.round("accuracy", 6))
 
 
 _STRUCTURED_SQL = f"""
@@ -167,7 +167,7 @@ def judge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..providers import judged, stub_judge
 
     rows = _open_long(spark, sf_dir)
-    return reports.typed_report(judged(rows, stub_judge), rows, "avg_score", places=None).withColumn("avg_score", F.round("avg_score", 6))
+    return reports.typed_report(judged(rows.withColumn("sample", F.lit(1)), stub_judge), value="avg_score", places=None).withColumn("avg_score", F.round("avg_score", 6))
 
 
 def judge_reply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,4 +405,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retry_remaining, status_split, qa_unpivot, lang_unpivot, lang_cross, vqa_prompts, url_parts, title_urls, html_quality_filter, html_text, html_image, llm_reply_parse,
         reply_lines, option_lists, unfenced_replies, publish_projection, union_by_language, blank_passthrough, judge_prompts,
     )
-} | model_queries.QUERIES
+} | model_queries.QUERIES | report_queries.QUERIES

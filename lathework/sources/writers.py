@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.projections import published, with_images
+from ..operators.reshape import nested_by
 from ..operators.unions import split_by_status
 
 
@@ -55,6 +56,16 @@ def errors(df: DataFrame, key: str, path: str, error: str = "error") -> None:
     df.filter(F.col(error).isNotNull()).select(F.current_timestamp().alias("at"), F.col(key).cast("string").alias("key"), error).write.mode("append").json(path)
 
 
+def report(rows: DataFrame, path: str) -> None:
+    """A long report by language and type as one JSON document {overall, per_language: {language: {type: values}}} in a file;
+    its groups are few. Written by Spark, so the path may be remote."""
+    fields = [c for c in rows.columns if c not in ("scope", "language", "question_type")]
+    overall = rows.filter("scope = 'overall'").agg(F.first(F.struct(*fields)).alias("overall"))
+    each = nested_by(rows.filter("scope = 'language'"), "language", "question_type", F.struct(*(f for f in fields if f != "total_data_points")))
+    nested = each.agg(F.map_from_entries(F.collect_list(F.struct("language", "by"))).alias("per_language"))
+    overall.join(F.broadcast(nested)).select("overall", "per_language").coalesce(1).write.mode("overwrite").json(path)  # one row each
+
+
 def report_json(report: DataFrame) -> dict:
     """A long report as {overall, per_language}; its rows are languages and types, which are few."""
     out: dict = {"overall": {}, "per_language": {}}

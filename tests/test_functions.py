@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,56 @@ def test_distances_beyond_each_threshold(spark):
         return row[-1]
 
     assert one(spark, rows, "a string, b string", edit.distance(F.col("a"), F.col("b"))) == [slowly(a, b) for a, b in rows]
+
+
+def slowly_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 64, 8192])
+def test_bit_parallel_distance_in_blocks_of_any_size(monkeypatch, block):
+    monkeypatch.setattr(edit, "BLOCK", block)
+    rng = random.Random(block)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abकक्😀𝒳") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        assert edit.bit_parallel(a, b) == slowly_apart(a, b), (a, b)
+        assert edit.bit_parallel(a.split("a"), b.split("a")) == slowly_apart(a.split("a"), b.split("a"))
+
+
+def test_bit_parallel_distance_of_long_texts_is_fast():
+    rng = random.Random(4)
+    a, b = ("".join(rng.choice("abcdefghij") for _ in range(20_000)) for _ in range(2))
+    began = time.time()
+    got = edit.bit_parallel(a, b)
+    assert time.time() - began < 5 and edit.bit_parallel(b, a) == got
+    assert edit.bit_parallel(a, a[:9000] + "zz" + a[9001:]) == 2 and edit.bit_parallel("", a) == 20_000
+
+
+def test_ocr_scores_of_long_and_very_different_texts(spark):
+    """Beyond all thresholds the scores are those of the whole table."""
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)), " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n))) for n in (50, 3000)]
+    rows += [("ab " * 3000, "ab " * 2999 + "c"), ("x" * 7000, "y" * 6500)]
+    df = spark.createDataFrame(rows, "r string, h string")
+    got = edit.with_ocr_scores(df, F.col("r"), F.col("h")).select("anls_word", "anls_char", F.levenshtein(F.trim("r"), F.trim("h")).alias("d"), F.greatest(F.length(F.trim("r")), F.length(F.trim("h"))).alias("n")).collect()
+    for r, (a, b) in zip(got, rows, strict=True):
+        assert r.anls_char == round(r.d * 100 / r.n, 4)
+        assert r.anls_word == round(edit.bit_parallel(a.split(), b.split()) * 100 / max(len(a.split()), len(b.split())), 4)
+
+
+def test_judge_scores_are_pythons_numbers(spark):
+    given = ["inf", "-Infinity", "+INF", "1_0", "1__0", "_1", "1_", "0_1.5_0e0_1", "infinit", "nan", "5.", "."]
+
+    def python(text):
+        try:
+            return None if text == "nan" else min(max(float(text), 0.0), 10.0)
+        except ValueError:
+            return None
+
+    assert one(spark, [(g,) for g in given], "v string", normalize.judge_score(F.col("v"))) == [python(g) for g in given]
+    assert [normalize.is_judge_score(g) for g in given] == [python(g) is not None for g in given]
