@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import LOWER, NOT_ALNUM, discard, mixed, row_blocks, running_hash, small_batches, span_hash, string_bytes, tidy, word_spans, written
 
@@ -121,15 +120,16 @@ def varied(rows: list[tuple[int, list[int]]]) -> list[int]:
     return kept
 
 
-def fit(sample: DataFrame, prior: float) -> Model:
-    """A model from a written table of SAMPLE. prior: the share of toxic documents among unlabelled ones.
+def fit(sample: DataFrame, prior: float, keys: DataFrame | None = None) -> Model:
+    """A model from a written table of SAMPLE, of those rows whose (positive, text_hash) are in keys, if given. prior: the share of toxic documents among unlabelled ones.
 
     Without positive or without unlabelled rows all scores are low.
     """
     prior = min(max(prior, 1e-3), 0.9)
     start = float(np.log(prior / (1 - prior)))
     rows: dict[bool, list] = {True: [], False: []}
-    for r in sample.select("positive", "text_hash", "marks").collect():  # at most POSITIVES + UNLABELLED, three numbers each
+    known_by = sample if keys is None else sample.join(F.broadcast(keys), ["positive", "text_hash"], "left_semi")
+    for r in known_by.select("positive", "text_hash", "marks").dropDuplicates(["positive", "text_hash"]).collect():  # at most POSITIVES + UNLABELLED, three numbers each
         rows[r[0]].append((r[1], r[2]))
     kept = {k: varied(v) for k, v in rows.items()}
     n_p, n_u = len(kept[True]), len(kept[False])
@@ -186,23 +186,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Fitted on at most POSITIVES rows that labels calls toxic and UNLABELLED rows of docs whose labels
     aren't looked at, each the rows of the least hash of doc_id, whole; the class prior is the share of toxic
-    rows among all of labels (0.05 without labels). Empty texts and null ids aren't learned from; of a doc_id's
-    several texts each is a row.
+    rows among all of labels (0.05 without labels). Null ids aren't learned from, and empty texts among the rows picked are
+    left out; of a doc_id's several texts each is a row, and rows that repeat are one.
+
+    Ids are picked without reading texts; those of both sets are then read in one scan.
     """
-    texts = docs.filter("length(text) > 0 AND doc_id IS NOT NULL").select("doc_id", "text")
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
     prior = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
 
     def least(rows: DataFrame, most: int, positive: bool) -> DataFrame:
-        ids = rows.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most).distinct()
-        return texts.join(F.broadcast(ids), "doc_id", "left_semi").select(F.lit(positive).alias("positive"), "text")
+        return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most).distinct().withColumn("positive", F.lit(positive))
 
-    chosen = least(texts.select("doc_id").join(toxic, "doc_id", "left_semi"), POSITIVES, True).unionAll(least(texts, UNLABELLED, False))
+    picked = least(ids.join(toxic, "doc_id", "left_semi"), POSITIVES, True).unionAll(least(ids, UNLABELLED, False))
     small_batches(docs.sparkSession)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("length(text) > 0").select("positive", "text")
     sample = written(_features(chosen), "toxicity-sample")
-    # rows beyond the bounds are there only where a doc_id has several
-    order = Window.partitionBy("positive").orderBy("text_hash")
-    model = fit(sample.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("positive"), POSITIVES).otherwise(UNLABELLED)).drop("r"), 0.05 if prior is None else prior)
+    # texts beyond the bounds are there only where a doc_id has several; their hashes alone are put in order
+    keys = sample.select("positive", "text_hash").distinct()
+    few = keys.filter("positive").orderBy("text_hash").limit(POSITIVES).unionAll(keys.filter("NOT positive").orderBy("text_hash").limit(UNLABELLED))
+    model = fit(sample, 0.05 if prior is None else prior, few)
     discard(sample)
     return model
 
