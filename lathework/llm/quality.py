@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, row_blocks, running_hash, small_batches, span_hash, string_bytes, tidy, word_spans
+from .shared import LOWER, SPACE, discard, row_blocks, running_hash, small_batches, span_hash, string_bytes, tidy, word_spans, written
 
 #: Labelled rows that the field is fitted on, at most, and lines of one of them: a row of more lines gives as many runs of
 #: RUN_LINES lines, spread over all of it, each a chain of its own.
@@ -242,21 +242,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Field:
     """A field from docs (doc_id, text) and labels (doc_id, quality), both without what is held out.
 
     Fitted on at most `most` labelled rows, half of either label where there are so many: those of the
-    least hash of doc_id. Rows with a null label, text or doc_id are left out; a doc_id's least label counts, and
-    each of its texts is a row. Their lines' features are made on the executors.
+    least hash of doc_id. Rows with a null label or doc_id are left out, and null and empty texts among the rows picked; a
+    doc_id's least label counts, each of its texts is a row, and rows that repeat are one. Their lines' features are made
+    on the executors. Ids are picked without reading texts; those of both labels are then read in one scan.
     """
-    texts = docs.filter("length(text) > 0").select("doc_id", "text")
-    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    have = docs.select("doc_id").join(known, "doc_id")
 
     def least(value: int) -> DataFrame:
-        have = texts.select("doc_id").join(known.filter(F.col("quality") == value), "doc_id", "left_semi")
-        ids = have.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most // 2).distinct()
-        rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("h"), "text")
-        return rows.orderBy("doc_id", "h").limit(most // 2).select(F.lit(value).alias("label"), "text")
+        return have.filter(F.col("label") == value).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most // 2).distinct()
 
     small_batches(docs.sparkSession)
+    texts = docs.select("doc_id", "text").join(F.broadcast(least(0).unionAll(least(1))), "doc_id").filter("length(text) > 0")
+    rows = written(texts.select("label", "doc_id", F.xxhash64("text").alias("h"), "text"), "quality-sample")
+    keys = rows.select("label", "doc_id", "h").distinct()
+    few = keys.filter("label = 0").orderBy("doc_id", "h").limit(most // 2).unionAll(keys.filter("label = 1").orderBy("doc_id", "h").limit(most // 2))
+    rows_once = rows.join(F.broadcast(few), ["label", "doc_id", "h"], "left_semi").groupBy("label", "doc_id", "h").agg(F.first("text").alias("text"))
     # at most `most` rows of at most FIT_LINES lines
-    made = chains(least(0).unionAll(least(1))).collect()
+    made = chains(rows_once.select("label", "text")).collect()
+    discard(rows)
     return fit(sorted(((r[0], np.array(r[1], float).reshape(-1, FEATURES)) for r in made), key=lambda x: (x[0], len(x[1]), x[1].tobytes())))
 
 
