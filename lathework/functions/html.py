@@ -135,6 +135,34 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
+def page_parts(html: Column, level: int = 4, header_class: str = "prp-page-qualityheader", holder_class: str = "prp-page-image", text_class: str = "pagetext") -> Column:
+    """struct<proofread,image,text> of a page, as proofread(), image_url() and element_text() give them, in one Arrow UDF.
+
+    A page that isn't proofread isn't parsed for the others, which are null.
+    """
+
+    def wanted(name: str, attrs: dict) -> bool:
+        return text_class in (attrs.get("class") or "").split()
+
+    @F.pandas_udf(T.StructType([T.StructField("proofread", T.BooleanType()), T.StructField("image", T.StringType()), T.StructField("text", T.StringType())]))
+    def found(pages: pd.Series) -> pd.DataFrame:
+        good = [level in levels(p, header_class) for p in pages]
+        image = [image_source(p, holder_class) if g else None for p, g in zip(pages, good, strict=True)]
+        text = [first_text(p, wanted) if i is not None else None for p, i in zip(pages, image, strict=True)]
+        return pd.DataFrame({"proofread": good, "image": pd.Series([None if i is None else f"https:{i}" for i in image], dtype="object"), "text": pd.Series(text, dtype="object")})
+
+    return found(html)
+
+
+def first_text(page: str | None, wanted) -> str | None:
+    """Text nodes, stripped, a line each, of the first element that `wanted` names; null where there is no such element."""
+    parser = _Text(wanted)
+    if isinstance(page, str):
+        parser.feed(page)
+        parser.close()
+    return "\n".join(parser.parts) if parser.found else None
+
+
 def element_text(class_name: str | None = None, tag: str | None = None):
     """An Arrow UDF: the first such element's text nodes, stripped, a line each; null where there is no such element."""
 
@@ -143,13 +171,6 @@ def element_text(class_name: str | None = None, tag: str | None = None):
 
     @F.pandas_udf(T.StringType())
     def text(pages: pd.Series) -> pd.Series:
-        out = []
-        for page in pages:
-            parser = _Text(wanted)
-            if isinstance(page, str):
-                parser.feed(page)
-                parser.close()
-            out.append("\n".join(parser.parts) if parser.found else None)
-        return pd.Series(out, dtype="object")
+        return pd.Series([first_text(p, wanted) for p in pages], dtype="object")
 
     return text

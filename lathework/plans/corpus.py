@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import element_text, image_url, proofread
+from ..functions.html import page_parts
 from ..functions.prompts import caption_prompt, question_prompt
 from ..functions.replies import is_pair, is_questions, line_fields, qa_fields
 from ..functions.text import join_path, path_part, url_language
@@ -58,9 +58,9 @@ def final(by_language: DataFrame) -> DataFrame:
 
 
 def verified_pages(pages: DataFrame, level: int = 4) -> DataFrame:
-    """page_url, text, image_url, lang of proofread pages that have an image; the check stands before the parser."""
-    good = pages.filter(proofread(F.col("html"), level)).withColumn("image_url", image_url(F.col("html"))).filter("image_url IS NOT NULL")
-    return good.select(F.col("url").alias("page_url"), element_text(class_name="pagetext")(F.col("html")).alias("text"), "image_url", url_language(F.col("url")).alias("lang"))
+    """page_url, text, image_url, lang of proofread pages that have an image; a page goes through Python once."""
+    made = pages.withColumn("_page", page_parts(F.col("html"), level)).filter("_page.proofread AND _page.image IS NOT NULL")
+    return made.select(F.col("url").alias("page_url"), F.col("_page.text").alias("text"), F.col("_page.image").alias("image_url"), url_language(F.col("url")).alias("lang"))
 
 
 def page_sample(verified: DataFrame, languages: list[str], most: int = 90, words: int = 10, seed: int = 42) -> DataFrame:

@@ -13,7 +13,8 @@ _STATE_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in STATE_LANGUAGE.items())
 _OPTIONS = [(lang, a, letter) for lang, inner in sorted(OPTION_LETTERS.items()) for a, letter in inner.items()]
 _OPTION_ROWS = ", ".join(f"({i}, '{lang}', '{letter}')" for i, (lang, _, letter) in enumerate(_OPTIONS))
 _QUESTIONS = (("short_q1", "short_a1"), ("short_q2", "short_a2"), ("mcq", "mcq_a"), ("true_false_q", "true_false_a"), ("long_q", "long_a"), ("adversarial_question", "adversarial_answer"))
-_BLANK_FIELDS = ", ".join(f"'' AS {c}" for c in ("short_q1", "short_a1", "short_q2", "short_a2", "mcq", "mcq_a", "mcq_opt1", "mcq_opt2", "mcq_opt3", "mcq_opt4", "true_false_q", "true_false_a", "long_q", "long_a", "adversarial_question", "adversarial_answer"))
+_PUBLISHED_FIELDS = ("short_q1", "short_a1", "short_q2", "short_a2", "mcq", "mcq_a", "mcq_opt1", "mcq_opt2", "mcq_opt3", "mcq_opt4", "true_false_q", "true_false_a", "long_q")
+_QA_VALUES = ", ".join(f"CASE WHEN doc_id % {i + 2} <> 0 THEN '{i} of ' || doc_id ELSE '' END AS {c}" for i, c in enumerate(_PUBLISHED_FIELDS)) + ", coalesce(text, '') AS long_a, '' AS adversarial_question, '' AS adversarial_answer"
 _RULE = "CASE WHEN question_type LIKE '%short%' THEN '{short}' WHEN question_type LIKE '%adversarial%' THEN '{adversarial}' ELSE '{long}' END".format(**JUDGE_KINDS)
 
 _OPEN = f"""
@@ -215,7 +216,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT item_id, CASE item_id % 4 WHEN 2 THEN '```' ELSE '' END || CASE WHEN item_id % 4 = 2 THEN text ELSE regexp_replace(text, '^\s+', '') END AS text
         FROM (SELECT item_id, regexp_replace(text, '\s+$', '') AS text FROM benchmark)""",
     "publish_projection": f"""
-        SELECT 'root/' || source || '/' || lang || '/' || doc_id || '.jpg' AS image, lang AS topic, source AS "State/UT", lang AS language, {_BLANK_FIELDS}, source AS source_url FROM documents""",
+        SELECT 'root/' || source || '/' || lang || '/' || doc_id || '.jpg' AS image, lang AS topic, source AS "State/UT", lang AS language, {_QA_VALUES}, source AS source_url FROM documents""",
     "union_by_language": "SELECT doc_id, CASE WHEN lang IS DISTINCT FROM (SELECT min(lang) FROM documents) THEN source END AS source, lang AS language FROM documents",
     "blank_passthrough": "SELECT item_id, CASE item_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'CHANGED' END AS text FROM benchmark",
     "judge_prompts": f"""

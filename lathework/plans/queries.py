@@ -23,6 +23,7 @@ from ..functions.text import join_path, mime_type, path_part, title_url, tokens,
 from ..operators import lookups, reports, reshape, sampling, unions
 from ..operators.projections import option_line, published, with_defaults, with_path_parts
 from ..operators.spread import spread
+from ..schemas import QA_FIELDS
 from . import evaluate, model_queries, report_queries
 
 LANGUAGES = sorted(TRUE_FALSE_WORDS)
@@ -369,8 +370,8 @@ def unfenced_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(F.format_string("root/%s/%s/%d.jpg", "source", "lang", "doc_id").alias("image_path"), F.col("source").alias("source_url"), F.lit("done").alias("status"), F.col("lang").alias("language"))
-    return with_path_parts(with_defaults(rows, ["short_q1", "short_a1", "short_q2", "short_a2", "mc_q1", "mc_a1", "mc_opt1_1", "mc_opt1_2", "mc_opt1_3", "mc_opt1_4", "true_false_q", "true_false_a", "long_q", "long_a", "adversarial_question", "adversarial_answer"]))
+    rows = _table(spark, sf_dir, "documents").select(F.format_string("root/%s/%s/%d.jpg", "source", "lang", "doc_id").alias("image_path"), F.col("source").alias("source_url"), F.lit("done").alias("status"), F.col("lang").alias("language"), *(F.when(F.col("doc_id") % (i + 2) != 0, F.concat(F.lit(f"{i} of "), F.col("doc_id").cast("string"))).alias(f) for i, f in enumerate(QA_FIELDS[:-3])), F.col("text").alias("long_a"))
+    return with_path_parts(with_defaults(rows, QA_FIELDS))
 
 
 def publish_projection(spark: SparkSession, sf_dir: str) -> DataFrame:

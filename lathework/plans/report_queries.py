@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import TRUE_FALSE_SYNONYMS, TRUE_FALSE_WORDS
+from ..functions.images import image_format, image_size, too_large
 from ..functions.normalize import true_false
 from ..operators import reports, reshape, sampling, unions
 from ..providers import sections, stub_seeing
@@ -123,6 +124,30 @@ def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_array(spark, f"{path}/part=*", "item_id long, text string, score double")
 
 
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format, size and the rule for large sides, of the headers of PNG and JPEG files; some are cut short or other files."""
+    key = F.col("doc_id")
+    width, height = (F.lpad(F.hex(1 + key * n % 3000), 8, "0") for n in (7, 13))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), width, height, F.lit("0806000000"))
+    other = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFFFDB0006"), F.lit("01020304FFC4000411"), F.lit("22"))
+    jpeg = F.concat(other, F.lit("FFC2001108"), F.substring(height, 5, 4), F.substring(width, 5, 4), F.lit("03012200"))
+    form = key % 5
+    body = F.when(form == 0, png).when(form == 1, jpeg).when(form == 2, F.substring(png, 1, 40)).when(form == 3, F.concat(other, F.lit("FFDA0000"))).otherwise("47494638")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.unhex(body).alias("content"))
+    size = image_size(F.col("content"))
+    return rows.select("doc_id", image_format(F.col("content")).alias("format"), size["width"].alias("width"), size["height"].alias("height"), too_large(F.col("content")).alias("too_large"))
+
+
+def verified_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofread pages with an image: their text, image and language."""
+    rows = _table(spark, sf_dir, "pages")
+    key = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<p class="prp-page-qualityheader quality'), (F.col("page_id") % 3 + 3).cast("string"), F.lit('"></p>'))
+    image = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<div class="prp-page-image"><span><img src="//img.example.org/'), key, F.lit('.jpg"></span></div>'))).otherwise("")
+    page = F.concat(F.lit("<html>"), head, image, F.lit('<div class="pagetext x"> page '), key, F.lit("<p>two</p></div>"), F.coalesce("html", F.lit("")), F.lit("</html>"))
+    return corpus.verified_pages(rows.withColumn("html", page))
+
+
 def large_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of all events, whole rows, by a threshold of their draws."""
     rows = _table(spark, sf_dir, "events")
@@ -143,7 +168,7 @@ def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (ocr_report_of_scored, nested_report, ordered_report, report_file, true_false_words, page_sections, final_corpus, csv_folder_by_name, json_arrays, large_draw, stored_upsert)
+    for f in (ocr_report_of_scored, nested_report, ordered_report, report_file, true_false_words, page_sections, final_corpus, csv_folder_by_name, json_arrays, image_sizes, verified_corpus, large_draw, stored_upsert)
 }
 
 _TYPED_SQL = f"""
@@ -181,6 +206,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents, (SELECT unnest([1, 2]))""",
     "csv_folder_by_name": "SELECT doc_id, text, CASE WHEN doc_id % 4 <> 2 THEN lang END AS lang, CASE WHEN doc_id % 4 < 2 THEN source END AS source, CASE WHEN doc_id % 4 = 1 THEN 'x' END AS more FROM documents",
     "json_arrays": "SELECT item_id, '\"' || text || '\"' || chr(10) AS text, CASE WHEN item_id % 2 = 0 THEN item_id / 4 END AS score FROM benchmark",
+    "image_sizes": """
+        SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 2) THEN 'png' WHEN doc_id % 5 IN (1, 3) THEN 'jpeg' END AS format,
+               CAST(CASE WHEN doc_id % 5 < 2 THEN 1 + doc_id * 7 % 3000 END AS INTEGER) AS width, CAST(CASE WHEN doc_id % 5 < 2 THEN 1 + doc_id * 13 % 3000 END AS INTEGER) AS height,
+               doc_id % 5 < 2 AND (1 + doc_id * 7 % 3000 > 1080 OR 1 + doc_id * 13 % 3000 > 1080) AS too_large
+        FROM documents""",
+    "verified_corpus": "SELECT url AS page_url, 'page ' || page_id || chr(10) || 'two' AS text, 'https://img.example.org/' || page_id || '.jpg' AS image_url, substr(regexp_replace(url, '^https://', ''), 1, 2) AS lang FROM pages WHERE page_id % 3 = 1 AND page_id % 2 = 0",
     "large_draw": "SELECT event_id, user_id, event_type, value FROM events ORDER BY md5(event_id || '|9'), event_id LIMIT (SELECT count(*) // 3 FROM events)",
     "stored_upsert": """
         WITH marked AS (SELECT o_custkey AS c_custkey, o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority ELSE ' ' END AS priority FROM orders),

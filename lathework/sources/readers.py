@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv as csv_lines
+import heapq
 import re
+import time
 from collections.abc import Iterable
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,21 +137,46 @@ def base64_of(content: Column) -> Column:
     return F.base64(content)
 
 
-def fetched(pages: DataFrame, fetch, url: str = "url", attempts: int = 3) -> DataFrame:
-    """pages with html and error: `fetch(list of urls)` yields (html, error) for each; a failed page is tried again
-    within its task and stays with its error. Filters belong before this: the call is never cut short by when()."""
+#: Calls that a host gets at once, and seconds between two calls of a task to one host.
+PER_HOST, PAUSE = 2, 0.0
+
+
+def fetched(pages: DataFrame, fetch, url: str = "url", attempts: int = 3, per_host: int = PER_HOST, pause: float = PAUSE, wait: float = 0.0) -> DataFrame:
+    """pages with html and error: `fetch(list of urls)` yields (html, error) for each; it is given one URL at a time.
+
+    Pages are dealt by host and one of `per_host` slots of it, so a host gets at most so many calls at once, whatever the
+    cluster, and a host that holds most pages still is several tasks' work. A task calls what is due first: a host again after
+    `pause` seconds, a failed page after `wait` seconds more each time, and other hosts meanwhile; what fails `attempts`
+    times stays with its error. A task holds a batch of pages at a time. Filters belong before this: the call is never
+    cut short by when().
+    """
     schema = StructType([*pages.schema.fields, StructField("html", StringType()), StructField("error", StringType())])
+    host = F.coalesce(F.regexp_extract(F.lower(F.col(url)), "^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit(""))
+    dealt = pages.repartition(host, F.pmod(F.xxhash64(url), F.lit(per_host)))
 
     def work(batches: Iterable):
+        free: dict[str, float] = {}  # when a host may be called again
         for pdf in batches:
             html, error = [None] * len(pdf), [None] * len(pdf)
-            left = list(range(len(pdf)))
-            for _ in range(attempts):
-                for i, (page, why) in zip(left, fetch([pdf[url].iloc[i] for i in left]), strict=True):
-                    html[i], error[i] = page, why
-                left = [i for i in left if error[i] is not None]
-                if not left:
-                    break
+            urls = pdf[url].tolist()
+            hosts = [urlsplit(u).netloc.lower() if isinstance(u, str) else "" for u in urls]
+            queue = [(0.0, i, 1) for i in range(len(pdf))]  # due, page, attempt
+            while queue:
+                due, i, attempt = heapq.heappop(queue)
+                ready = max(due, free.get(hosts[i], 0.0))
+                now = time.monotonic()
+                if ready > max(now, due) and queue and queue[0][0] <= now:  # others can go first
+                    heapq.heappush(queue, (ready, i, attempt))
+                    continue
+                if ready > now:
+                    time.sleep(ready - now)
+                try:
+                    ((html[i], error[i]),) = fetch([urls[i]])
+                except Exception as e:  # any failure is a page's error
+                    html[i], error[i] = None, f"{type(e).__name__}: {e}"
+                free[hosts[i]] = time.monotonic() + pause
+                if error[i] is not None and attempt < attempts:
+                    heapq.heappush(queue, (time.monotonic() + wait * attempt, i, attempt + 1))
             yield pdf.assign(html=html, error=error)
 
-    return pages.mapInPandas(work, schema)
+    return dealt.mapInPandas(work, schema)

@@ -136,3 +136,80 @@ def test_upsert_splits_hot_keys_and_keeps_null_ones(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", "n"), ("a", "n"), (None, "3"), (None, "4"), ("b", "5"), (None, "z"), ("c", " ")], key=str)
     assert "FullOuter" not in got._jdf.queryExecution().executedPlan().toString()
     assert providers.maker("stub-seeing")()([("p", None), ("p", "i")])[0] != providers.maker("stub-seeing")()([("p", "i")])[0]
+
+
+# ---------------------------------------------------------------- images, copies, pages
+
+
+def test_sizes_of_images(spark):
+    from lathework.functions.images import image_format, image_size, too_large
+
+    png = lambda w, h: bytes.fromhex("89504E470D0A1A0A0000000D49484452") + w.to_bytes(4, "big") + h.to_bytes(4, "big") + b"rest"
+    frame = lambda w, h, m=0xC0: bytes([0xFF, m, 0, 17, 8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\3"
+    app = bytes.fromhex("FFE1") + (40_000).to_bytes(2, "big") + b"\xff\xc0" * 19_999
+    rows = [png(5, 70_000), png(1080, 1080), b"\xff\xd8" + frame(1081, 3), b"\xff\xd8" + app + b"\xff\xff" + frame(7, 8, 0xC2)[0:], b"\xff\xd8" + app, b"\xff\xd8\xff\xda\0\2", b"\xff\xd8\xff", b"GIF89a", b"", None, png(1, 2)[:19], b"\xff\xd8\x00" + frame(1, 1)]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(rows)], "i int, content binary")
+    got = sorted(df.select("i", image_format(F.col("content")).alias("f"), image_size(F.col("content")).alias("s"), too_large(F.col("content")).alias("large")).collect())
+    assert [r.f for r in got] == ["png", "png", *["jpeg"] * 5, None, None, None, "png", "jpeg"]
+    assert [None if r.s is None else tuple(r.s) for r in got] == [(5, 70_000), (1080, 1080), (1081, 3), (7, 8), *[None] * 8]
+    assert [r.large for r in got] == [True, False, True] + [False] * 9
+
+
+def test_copies_are_whole_and_failures_drop(spark, tmp_path):
+    from lathework.sources import writers
+
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        (tmp_path / "in" / f"{i} é.jpg").write_bytes(bytes([i]) * 3_000_000)
+    rows = [(i, str(tmp_path / "in" / f"{i} é.jpg"), "hi" if i % 2 else "ta") for i in range(5)] + [(9, None, "hi")]
+    df = spark.createDataFrame(rows, "id int, image_path string, lang string").withColumn("from", F.col("image_path")).repartition(3)
+    df = df.unionAll(df.filter("id = 1"))  # two tasks copy one file
+    moved = writers.language_paths(df, str(tmp_path / "out"))
+    for _ in range(2):
+        got = writers.copied(moved, "from", "image_path").collect()
+        assert sorted(r.id for r in got) == [0, 1, 1, 2, 3]
+        assert sorted(os.listdir(tmp_path / "out" / "hi")) == ["1 é.jpg", "3 é.jpg"] and sorted(os.listdir(tmp_path / "out" / "ta")) == ["0 é.jpg", "2 é.jpg"]
+    assert all((tmp_path / "out" / r.lang / f"{r.id} é.jpg").read_bytes() == bytes([r.id]) * 3_000_000 for r in got)
+    errors = {r.id: r.why for r in writers.copied(moved, "from", "image_path", "why").collect()}
+    assert errors[0] is None and "FileNotFound" in errors[4] and errors[9] == "no path"
+
+
+def test_hosts_get_a_bounded_number_of_calls_at_once(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def fetch(urls):
+        import time as clock
+
+        began = clock.time()
+        clock.sleep(0.02)
+        with open(log, "a") as f:
+            f.write(json.dumps([urls[0].split("/")[2], began, clock.time()]) + "\n")
+        if urls[0].endswith("bad"):
+            raise OSError("down")
+        return [("page " + urls[0], None)] if not urls[0].endswith("404") else [(None, "404")]
+
+    hot = [f"https://hot.example/{i}" for i in range(60)]
+    rows = [(u,) for u in [*hot, "https://a.example/bad", "https://b.example/404", *(f"https://h{i}.example/x" for i in range(20)), None]]
+    got = {r.url: (r.html, r.error) for r in readers.fetched(spark.createDataFrame(rows, "url string").repartition(7), fetch, attempts=2, per_host=2, pause=0.001, wait=0.01).collect()}
+    assert got["https://a.example/bad"] == (None, "OSError: down") and got["https://b.example/404"] == (None, "404") and got[None][0] is None
+    assert all(got[u] == (f"page {u}", None) for u in hot)
+    calls = [json.loads(x) for x in open(log)]
+    assert sum(c[0] == "a.example" for c in calls) == 2 and sum(c[0] == "hot.example" for c in calls) == 60
+    for _, begin, end in (c for c in calls if c[0] == "hot.example"):
+        assert sum(b < end and begin < e for h, b, e in calls if h == "hot.example") <= 5  # at most two at any one time
+    times = sorted([(b, 1) for h, b, _ in calls if h == "hot.example"] + [(e, -1) for h, _, e in calls if h == "hot.example"])
+    now = most = 0
+    for _, d in times:
+        now += d
+        most = max(most, now)
+    assert most <= 2
+
+
+def test_pages_are_parsed_once_with_the_same_parts(spark):
+    from lathework.functions.html import element_text, image_url, page_parts, proofread
+
+    page = '<p class="prp-page-qualityheader quality4"></p><div class="prp-page-image"><span><img src="//x/1"></span></div><div class="pagetext"> a <b>b</b></div>'
+    rows = spark.createDataFrame([(page,), (page.replace("quality4", "quality3"),), (page.replace("<img", "<i"),), (None,), ("",), (page.replace("pagetext", "p"),)], "html string")
+    html = F.col("html")
+    for r in rows.select(page_parts(html).alias("p"), proofread(html).alias("good"), image_url(html).alias("image"), element_text(class_name="pagetext")(html).alias("text")).collect():
+        assert r.p.proofread == r.good and r.p.image == (r.image if r.good else None) and r.p.text == (r.text if r.good and r.image else None)
