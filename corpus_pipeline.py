@@ -19,14 +19,16 @@ def named_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     These are null texts, texts without a letter, and texts of LEAST_LETTERS letters or more that take over MOST_RATE
     times the phrases of their best language's own text (other scripts, strings of random letters). All learned languages
-    and all scores are kept. Without any labelled text nothing can be judged, and all documents stay.
+    and all scores are kept. Without any labelled text nothing can be judged, and all documents stay. Rows that repeat are judged
+    alike; no rows give none.
     """
     learned = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     return language_id.accepted(docs, language_id.train(learned), most_rate=language_id.MOST_RATE)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the row with the largest doc_id stays; null counts as empty. Of rows that repeat both one stays."""
+    """Exact dedup: of equal texts the row with the largest doc_id stays; null counts as empty. Of rows that repeat both one stays.
+    No rows give none."""
     return exact_dedup.deduplicated(docs)
 
 
@@ -34,13 +36,14 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """N-gram Jaccard join: five-word shingles, similarity 0.8 or more; of each group the least doc_id stays.
 
     What goes is a row by its doc_id and text: another text of the same doc_id stays. Rows without a word stay, and rows
-    without a doc_id go where their group has one with.
+    without a doc_id go where their group has one with. No rows give none.
     """
     return jaccard_join.distinct(docs, words=5, percent=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go; null and empty texts hold none."""
+    """Benchmark decontamination: documents that hold a benchmark item go; null and empty texts hold none, and items of
+    under five words are none. Rows that repeat are judged alike; no rows give none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

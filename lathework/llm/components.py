@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .shared import discard, written
 
-#: Neighbours from which a node is a hub, whose edges meet its least neighbour by broadcast, not in one task. There are at most
-#: edges / HUB of them.
-HUB = 100_000
+#: Neighbours from which a node is a hub, whose edges meet its least neighbour by broadcast, not in one task. Where edges are so many
+#: that there could be over MOST_HUBS of these, a hub has more: edges / MOST_HUBS, and so the broadcast has a bound.
+HUB, MOST_HUBS = 100_000, 500_000
 #: Steps after which something must be wrong; the method needs about the square of the logarithm.
 MOST_STEPS = 60
 
@@ -25,10 +25,10 @@ def _state(edges: DataFrame) -> tuple:
 def _with_least(edges: DataFrame, source: DataFrame, count: int) -> DataFrame:
     """edges (a, b) with m, the least b of each a in source, or a itself if that is less."""
     least = source.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "n")
-    met = F.col("a") == F.col("k")
-    if count <= HUB:
+    met, hub = F.col("a") == F.col("k"), max(HUB, count // MOST_HUBS)
+    if count <= hub:
         return edges.join(least, met).select("a", "b", "m")
-    hubs = written(least.filter(F.col("n") > HUB).select("k", "m"), "hubs")
+    hubs = written(least.filter(F.col("n") > hub).select("k", "m"), "hubs")
     rest = edges.join(F.broadcast(hubs), met, "left_anti").join(least, met).select("a", "b", "m")
     return rest.unionAll(edges.join(F.broadcast(hubs), met).select("a", "b", "m"))
 

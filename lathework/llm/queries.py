@@ -1,4 +1,11 @@
-"""The queries of this subpackage, by name, and their SQL where SQL can express them."""
+"""The queries of this subpackage, by name, and their SQL where SQL can express them.
+
+Each applies its operator to whole tables with production parameters. What happens with null, empty and very long values, ties,
+rows that repeat, empty tables and further columns is stated where the operator is: secrets.scan, simple8b.write_files and
+read_files, packing.pack, jaccard_join.join, url_filter.judged and derived_entries, language_id.predictions,
+exact_dedup.decisions, toxicity.scored, decontaminate.contaminated, quality.scored, whitening.whiten and
+projection_passes.near_duplicates.
+"""
 
 from __future__ import annotations
 
@@ -115,6 +122,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE
+        texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM texts),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_have FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT a, b FROM shared WHERE 100 * both_have >= 90 * (na + nb - both_have)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.other = ways.a)
+        SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+    """,
     "op5_url_filter": r"""
         WITH captures AS (
             SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS fetched,

@@ -198,6 +198,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<
 def read_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files; no record is shuffled.
 
+    Null doc_ids are there as such, and rows that repeat as often as they were written; no record gives no row.
     Places of shards are broadcast: one row for each task that wrote, however long its records are.
     """
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
