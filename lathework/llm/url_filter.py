@@ -15,8 +15,10 @@ from pyspark.sql.window import Window
 
 from .shared import bitmap, in_bitmap, written
 
-#: Captures of one host and day from which these are judged by broadcast.
-HOT_ROWS = 100_000
+#: Captures of one host and day from which these are judged by broadcast, and host days of one listed domain from which these are
+#: dealt over tasks. Where rows are so many that over MOST_HOT keys could be hot, the number is rows / MOST_HOT, so
+#: what is broadcast has a bound.
+HOT_ROWS, MOST_HOT = 100_000, 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -46,19 +48,27 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     Null or odd URLs have host '' and aren't blocked; nor is a capture without a fetch day. Only the three
     named columns are read. Of the hosts' parent domains only those in the list are joined (a bitmap of bounded size
-    leaves the others, such as a domain that most hosts lie under). Days with HOT_ROWS captures or more
-    are judged by broadcast, and rows that need no look-up are spread, so no key is one task's.
+    leaves the others, such as a domain that most hosts lie under), and the host days of one that many hosts lie under are dealt
+    over tasks, its entries going to each. Days with HOT_ROWS captures or more are judged by broadcast, and rows
+    that need no look-up are spread, so no key is one task's. No entries block nothing; no captures give no rows.
     """
     rows = captures.select("capture_id", host_of(F.col("url")).alias("host"), F.col("fetched").cast("date").alias("fetched"))
     valid = written(intervals(entries), "intervals")
     days = written(rows.filter("host <> '' AND fetched IS NOT NULL").groupBy("host", "fetched").agg(F.count("*").alias("n")), "days")
     keyed = days.select("host", "fetched", F.explode(suffixes(F.col("host"))).alias("domain"))
     listed = written(valid.select(F.xxhash64("domain").alias("h")).distinct(), "listed")
-    keyed = in_bitmap(keyed, F.xxhash64("domain"), bitmap(listed))
-    active = keyed.join(valid, (keyed["domain"] == valid["domain"]) & (keyed["fetched"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (keyed["fetched"] < valid["valid_to"])))
+    keyed = written(in_bitmap(keyed, F.xxhash64("domain"), bitmap(listed)), "keyed")
+    hosts = keyed.count()
+    large = max(HOT_ROWS, hosts // MOST_HOT)
+    wide = keyed.groupBy("domain").agg(F.count("*").alias("n")).filter(F.col("n") >= large).select(F.col("domain").alias("wide"), F.ceil(F.col("n") / large).cast("int").alias("deals"))
+    wide = written(wide, "wide-domains")
+    dealt = keyed.join(F.broadcast(wide), F.col("domain") == F.col("wide"), "left").select("host", "fetched", "domain", F.pmod(F.xxhash64("host", "fetched"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+    valid = valid.join(F.broadcast(wide), F.col("domain") == F.col("wide"), "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("wide", "deals")
+    active = dealt.join(valid, (dealt["domain"] == valid["domain"]) & (dealt["deal"] == valid["deal"]) & (dealt["fetched"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (dealt["fetched"] < valid["valid_to"])))
     verdict = written(active.groupBy("host", "fetched").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")), "verdicts")
-    # there are no more hot days than captures / HOT_ROWS
-    hot = days.filter(F.col("n") >= HOT_ROWS).select("host", "fetched").join(verdict, ["host", "fetched"], "left").select(F.col("host").alias("hot_host"), F.col("fetched").alias("hot_day"), F.struct("n_entries", "categories").alias("hot"))
+    # there are no more hot days than MOST_HOT
+    often = max(HOT_ROWS, (days.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = days.filter(F.col("n") >= often).select("host", "fetched").join(verdict, ["host", "fetched"], "left").select(F.col("host").alias("hot_host"), F.col("fetched").alias("hot_day"), F.struct("n_entries", "categories").alias("hot"))
     rows = rows.join(F.broadcast(hot), (F.col("host") == F.col("hot_host")) & (F.col("fetched") == F.col("hot_day")), "left")
     alone = F.col("hot_host").isNotNull() | (F.col("host") == "") | F.col("fetched").isNull()
     key = F.when(alone, F.concat(F.lit(" "), F.xxhash64("capture_id", "host").cast("string"))).otherwise(F.col("host"))
@@ -70,7 +80,9 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
 def derived_entries(pages: DataFrame) -> DataFrame:
     """A dated list for tables that have none: half of the pages' hosts and of their parents with three
-    labels or more, with days, category and removals from the MD5 of the domain."""
+    labels or more, with days, category and removals from the MD5 of the domain.
+
+    Null and odd URLs give no entry, URLs of one host the same entries once, and no pages none."""
     domains = pages.select(host_of(F.col("url")).alias("host")).filter("host <> ''").distinct().select(F.explode(suffixes(F.col("host"))).alias("domain")).filter(F.size(F.split("domain", r"\.", -1)) >= 3).distinct()
     hashed = domains.withColumn("h", F.md5(F.col("domain").cast("binary")))
     digit = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("int")
