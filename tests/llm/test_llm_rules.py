@@ -104,3 +104,44 @@ def test_a_text_of_many_matches_takes_no_square(spark):
         took.append(time.time() - began)
         assert (got.n_assign, got.n_markov) == (n, 0)
     assert took[1] < 20 and took[1] < 8 * max(took[0], 1.5)
+
+
+@pytest.mark.parametrize("hot, most", [(100_000, 200_000), (3, 200_000), (1, 4)])
+def test_url_filter_of_a_hot_domain_long_urls_and_clashing_columns(spark, monkeypatch, hot, most):
+    from lathework.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "HOT_ROWS", hot)
+    monkeypatch.setattr(url_filter, "MOST_HOT", most)
+    long = "x" * 300_000
+    rows = [(i, f"https://h{i % 40}.big.org/{i}", f"2024-01-{i % 28 + 1:02d}") for i in range(400)]
+    rows += [(500, f"http://{'a.' * 300}big.org/{long}", "2024-01-20"), (501, f"http://{long}.org/", "2024-01-20"), (502, long, "2024-01-20"), (503, None, None)]
+    entries = [("big.org", "spam", "add", "2024-01-10"), ("h1.big.org", "adult", "add", "2024-01-05"), ("h1.big.org", "adult", "remove", "2024-01-15")]
+    captures = spark.createDataFrame([(*r, None, "y", 7, "z") for r in rows], "capture_id long, url string, fetched string, host string, domain string, n long, key string").repartition(5)
+    listed = spark.createDataFrame([(d, c, a, t, "x", 1) for d, c, a, t in entries], "domain string, category string, action string, dated string, host string, deals int").withColumn("dated", F.to_date("dated"))
+    want = {}
+    for i, url, day in rows:
+        host = (url or "").split("//")[-1].split("/")[0] if url and "//" in url else ""
+        active = {"spam"} if (host == "big.org" or host.endswith(".big.org")) and day >= "2024-01-10" else set()
+        if host == "h1.big.org" and "2024-01-05" <= day < "2024-01-15":
+            active.add("adult")
+        want[i] = (host, bool(active), len(active), ",".join(sorted(active)))
+    got = {r.capture_id: (r.host, r.blocked, r.n_entries, r.categories) for r in url_filter.judged(captures, listed).collect()}
+    assert got == want
+    pages = spark.createDataFrame([(1, None), (2, "nothing"), (3, "http://a.b.c.org/x"), (4, "http://a.b.c.org/y")], "page_id long, url string")
+    once = sorted(map(tuple, url_filter.derived_entries(pages).collect()), key=str)
+    assert once == sorted(map(tuple, url_filter.derived_entries(pages.filter("page_id <> 4")).collect()), key=str)
+    assert url_filter.derived_entries(pages.limit(0)).count() == url_filter.derived_entries(pages.filter("page_id < 3")).count() == 0
+
+
+def test_token_files_of_null_ids_on_several_partitions(spark):
+    import public_tokenizers
+
+    from lathework.llm import simple8b
+
+    rows = [(None, f"text {i} {words(i, 30)}") for i in range(40)] + [(i, None) for i in range(5)] + [(3, words(3, 900))] * 3
+    files = simple8b.write_files(frame(spark, rows).repartition(6), public_tokenizers.path("word_bpe_49k.json"), end_id=1, record_ids=200)
+    got = simple8b.read_files(files).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got) == sorted((-1 if d is None else d) for d, _ in rows)
+    spans = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id) for r in got)
+    assert all(a[0] + a[1] == b[0] and a[2] <= b[2] for a, b in zip(spans[:-1], spans[1:], strict=True)) and spans[0][0] == 0
+    assert len({r.ids_crc32 for r in got if r.doc_id == 3}) == 2
