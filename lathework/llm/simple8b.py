@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunked_bpe import ChunkedEncoder
-from .shared import BLOCK_BYTES, small_batches, spread, string_bytes, tidy, written
+from .shared import BLOCK_BYTES, discard, small_batches, spread, string_bytes, tidy, written
 
 #: Fixed values of the format, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -148,22 +148,46 @@ def forget() -> None:
 FILES = "shard int, record long, first_id long, n_ids long, doc_ids array<bigint>, lengths array<int>, payload binary"
 
 
+def encoded(docs: DataFrame, tokenizer: str, mark: str) -> DataFrame:
+    """doc_id, head (the text's first RANGE_CHARS characters), key (a hash of it), ids (little-endian, two bytes each where the vocabulary allows it, else four) of every row,
+    as a written table: each text is read and encoded once, where it is."""
+    small_batches(docs.sparkSession)
+    kind = id_type(tokenizer)
+
+    def work(batches):
+        enc = encoder_of(tokenizer, False, mark)
+        for batch in batches:
+            data, offsets, _ = string_bytes(batch.column(3))
+            for low, high, ids, at in enc.encode(data, offsets, BLOCK_BYTES):
+                width, n = kind.itemsize, high - low
+                raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((np.asarray(at, np.int64) - at[0]) * width), pa.py_buffer(np.ascontiguousarray(ids, kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, n) for k in range(3)), raw], names=["doc_id", "head", "key", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.substring("text", 1, RANGE_CHARS).alias("head"), F.xxhash64("text").alias("key"), "text")
+    return written(rows.mapInArrow(tidy(work), "doc_id long, head string, key long, ids binary"), "simple8b-ids")
+
+
+def id_type(tokenizer: str) -> np.dtype:
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+
 def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<|endoftext|>", record_ids: int = 1 << 18) -> DataFrame:
     """Encodes docs (doc_id, text) in ascending doc_id order and returns the written files as a table.
 
-    Rows of one doc_id are ordered by their text; a null doc_id comes first; null text counts as
+    Rows of one doc_id are ordered by the beginning of their text and then by a hash of it; a null doc_id comes first; null text counts as
     empty, and an empty text has its end id alone. Other columns are not read. A record ends with
     the document that brings it to record_ids ids, so that no document spans two records.
-    An empty table gives no record. Documents are dealt out by ranges of doc_id: one shuffle of the texts.
+    An empty table gives no record. Texts are encoded where they are, and their ids dealt out by ranges of doc_id, and of text
+    beginnings and hashes where a doc_id has many rows: one shuffle of ids, two bytes for each.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # ranges of doc_id, and of beginnings of texts where a doc_id has many rows
-    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
-
-    small_batches(docs.sparkSession)
+    kind = id_type(tokenizer)
+    packed = encoded(docs, tokenizer, mark)
+    rows = packed.repartitionByRange("doc_id", "head", "key").sortWithinPartitions("doc_id", "head", "key").select("doc_id", "ids")
 
     def shard(batches):
-        enc = encoder_of(tokenizer, False, mark)
         shard_id, record, first = TaskContext.get().partitionId(), 0, 0
         held, names, sizes, total = [], [], [], 0
 
@@ -176,23 +200,33 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<
             return out
 
         for batch in batches:
-            data, offsets, _ = string_bytes(batch.column(1))
+            raw = batch.column(1).cast(pa.large_binary())
+            if not len(raw):
+                continue
+            at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            ids = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind)
+            at = (at - at[0]) // kind.itemsize
             doc_ids = batch.column(0)
-            for low, high, ids, at in enc.encode(data, offsets, BLOCK_BYTES):
-                lengths = np.diff(at) + 1
-                full = np.full(len(ids) + high - low, end_id, np.int64)
-                owner, place = spread(np.diff(at))
-                full[(np.cumsum(lengths) - lengths)[owner] + place] = ids
+            low = 0
+            while low < len(raw):  # as many documents as bring the record to its ids, or all that are left
+                high = min(len(raw), low + 1 + int(np.searchsorted(at[low + 1 :] - at[low] + np.arange(1, len(raw) - low + 1), record_ids - total)))
+                lengths = np.diff(at[low : high + 1]) + 1
+                full = np.full(int(lengths.sum()), end_id, np.int64)
+                owner, place = spread(lengths - 1)
+                full[(np.cumsum(lengths) - lengths)[owner] + place] = ids[at[low] : at[high]]
                 held.append(full)
                 names += doc_ids.slice(low, high - low).to_pylist()
                 sizes.append(lengths)
                 total += len(full)
                 if total >= record_ids:
                     yield flush()
+                low = high
         if names:
             yield flush()
 
-    return written(rows.mapInArrow(tidy(shard), FILES), "simple8b")
+    files = written(rows.mapInArrow(tidy(shard), FILES), "simple8b")
+    discard(packed)
+    return files
 
 
 def read_files(files: DataFrame) -> DataFrame:
