@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import frame, words
 
 from lathework.llm import decontaminate, secrets
+from lathework.llm.shared import written
 
 ITEMS = "item_id long, text string"
 
@@ -145,3 +147,17 @@ def test_token_files_of_null_ids_on_several_partitions(spark):
     spans = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id) for r in got)
     assert all(a[0] + a[1] == b[0] and a[2] <= b[2] for a, b in zip(spans[:-1], spans[1:], strict=True)) and spans[0][0] == 0
     assert len({r.ids_crc32 for r in got if r.doc_id == 3}) == 2
+
+
+def test_jaccard_join_is_the_same_with_counts_of_a_share(spark, monkeypatch):
+    from test_llm_operators import brute_components
+
+    from lathework.llm import jaccard_join
+
+    rows = [(i, words(i % 40, 60, 3000) + f" tail{i % 7}") for i in range(160)] + [(200 + i, words(5, 40)) for i in range(5)]
+    stored = written(jaccard_join._keyed(frame(spark, rows)), "few")
+    monkeypatch.setattr(jaccard_join, "COUNTED_BYTES", 100)
+    assert jaccard_join.sketch_bits(stored)[1] > 1
+    monkeypatch.setattr(jaccard_join, "sketch_bits", lambda docs: (16, 5))
+    got = jaccard_join.join(frame(spark, rows), words=3, percent=60).collect()
+    assert Counter(map(tuple, got)) == brute_components(rows, 3, 60)
