@@ -19,19 +19,24 @@ def configured(defaults: str, given: dict) -> dict:
     return known | given
 
 
+def _value(text: str):
+    """JSON, or else the text as it is."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
 def main(run: Callable[[SparkSession, dict], dict], defaults: str, about: str) -> None:
-    """--config FILE and --set name=value in place of the defaults; the session is made and stopped here alone."""
-    parser = argparse.ArgumentParser(description=about)
-    parser.add_argument("--config", help=f"JSON with settings in place of those in {defaults}")
-    parser.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="one setting; the value is JSON, or text")
-    args = parser.parse_args()
-    given = json.loads(Path(args.config).read_text()) if args.config else {}
-    for item in args.set:
-        name, _, value = item.partition("=")
-        try:
-            given[name] = json.loads(value)
-        except ValueError:
-            given[name] = value
+    """An option for each setting, such as --source PATH, and --config FILE with several; the session is made and stopped here alone."""
+    parser = argparse.ArgumentParser(description=about, formatter_class=argparse.RawDescriptionHelpFormatter)
+    parser.add_argument("--config", help=f"JSON file with settings in place of those in jobs/{defaults}")
+    for name, value in configured(defaults, {}).items():
+        parser.add_argument(f"--{name.replace('_', '-')}", dest=name, metavar="VALUE", help=f"default: {json.dumps(value)}")
+    args = vars(parser.parse_args())
+    config = args.pop("config")
+    given = json.loads(Path(config).read_text()) if config else {}
+    given |= {name: _value(value) for name, value in args.items() if value is not None}
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = SparkSession.builder.appName(run.__module__).getOrCreate()
     try:

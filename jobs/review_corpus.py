@@ -1,6 +1,6 @@
 """Keeps a reviewed corpus: reviewers' fields are merged by key into a bucketed store, which is published by language.
 
-    python -m jobs.review_corpus --set source=/data/documents.parquet --set reviews=/data/labels.parquet --set output=/out
+    python -m jobs.review_corpus --source /data/documents.parquet --reviews /data/labels.parquet --output /out
 
 `output/store` is made of the source's rows on the first run. Later runs merge new rows of the source and new or changed
 reviews; of a key's reviews the last by `order` counts, blank fields leave what is there, and a review of an
@@ -53,7 +53,7 @@ def run(spark: SparkSession, config: dict) -> dict:
         fresh = source.join(known, F.col("key") == F.col("known"), "left_anti").withColumn("_order", F.lit("0"))
         touched |= set(merged_into(store, fresh, "key", "_order"))
     touched |= set(merged_into(store, reviews, "key", "_order", config["buckets"], source if first else None))
-    log.info("read %s and %s; wrote %s buckets of %s", config["source"], config["reviews"], len(touched), store)
+    log.info("read %s rows of %s and %s of %s; wrote %s buckets of %s", source.count(), config["source"], reviews.count(), config["reviews"], len(touched), store)
 
     rows = spark.read.parquet(store).drop("buckets", "bucket")
     done = F.lit(False)

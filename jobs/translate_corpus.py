@@ -1,6 +1,6 @@
 """Translates a growing corpus: each run takes the files that came since the last one.
 
-    python -m jobs.translate_corpus --set source=/data/documents.parquet --set output=/out --set checkpoint=/out-checkpoint
+    python -m jobs.translate_corpus --source /data/documents.parquet --output /out --checkpoint /out-checkpoint
 
 The source is read as a file stream with a checkpoint (availableNow), so a run takes what is new and ends. Every text is
 translated by the model of that name; blank texts stay, failed ones keep their text and carry the error. Replies are
@@ -38,7 +38,7 @@ def translated_rows(batch: DataFrame, config: dict) -> DataFrame:
 
 
 def run(spark: SparkSession, config: dict) -> dict:
-    """Translates what is new; gives the rows read and the rows there are by status. Settings that aren't given are those of the file."""
+    """Translates what is new; gives the batches of this run and the rows there are by status. Settings that aren't given are those of the file."""
     config = configured(DEFAULTS, config)
     rows_path, report_path = f"{config['output']}/rows", f"{config['output']}/report"
     source = config["source"].rstrip("/")
@@ -46,21 +46,24 @@ def run(spark: SparkSession, config: dict) -> dict:
     # as a pattern, as the stream takes a plain path for a folder, and a source may be one file
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(f"{source[:-1]}[{source[-1]}]")
 
+    taken: dict[int, int] = {}  # rows of each batch of this run
+
     def put(batch: DataFrame, number: int) -> None:
         made = translated_rows(batch, config).withColumns({"batch": F.lit(number), "part": F.coalesce(F.nullif(F.col("group"), F.lit("")), F.lit("none"))})
         overwrite_partitions(made, rows_path, "batch", "part")
         written = batch.sparkSession.read.schema(made.schema).parquet(rows_path).filter(F.col("batch") == number)
         report = written.groupBy("batch", "part", "status").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
         overwrite_partitions(report.coalesce(1), report_path, "batch")
-        log.info("batch %s: wrote %s to %s", number, {r["status"]: r["n"] for r in report.groupBy("status").agg(F.sum("n").alias("n")).collect()}, rows_path)
+        counts = {r["status"]: r["n"] for r in report.groupBy("status").agg(F.sum("n").alias("n")).orderBy("status").collect()}
+        taken[number] = sum(counts.values())
+        log.info("batch %s: read %s rows, wrote %s to %s", number, taken[number], counts, rows_path)
 
     query = stream.writeStream.option("checkpointLocation", config["checkpoint"]).trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    read = sum(p["numInputRows"] for p in query.recentProgress)
     there = table_if_there(spark, report_path)
     counts = {} if there is None else {r["status"]: r["n"] for r in there.groupBy("status").agg(F.sum("n").alias("n")).orderBy("status").collect()}
-    log.info("read %s new rows of %s; %s now holds %s", read, config["source"], config["output"], counts)
-    return {"batches": len([p for p in query.recentProgress if p["numInputRows"]]), "rows": counts}
+    log.info("read %s new rows of %s in %s batches; %s now holds %s", sum(taken.values()), source, len(taken), config["output"], counts)
+    return {"batches": len(taken), "rows": counts}
 
 
 if __name__ == "__main__":

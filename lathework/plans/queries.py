@@ -24,6 +24,7 @@ from ..operators import lookups, reports, reshape, sampling, unions
 from ..operators.projections import option_line, published, with_defaults, with_path_parts
 from ..operators.spread import spread
 from ..schemas import QA_FIELDS
+from ..sources.scratch import scratch_path
 from . import evaluate, model_queries, report_queries
 
 LANGUAGES = sorted(TRUE_FALSE_WORDS)
@@ -379,12 +380,18 @@ def publish_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each language, and of none, as a table of their own, put together; the first one lacks a column."""
+    """Documents of each language, and of none, as a table of their own, put together; the first one lacks a column.
+
+    The tables are partitions of one that is stored, so that each is read by itself.
+    """
+    path = scratch_path(spark, "by-language")
     rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    codes = sorted(r[0] for r in rows.filter("lang IS NOT NULL").select("lang").distinct().collect())  # languages are few
-    parts = [unions.tagged(rows.filter(F.col("lang") == code).drop("lang"), "language", code) for code in codes]
+    rows.withColumn("part", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("none"))).write.partitionBy("part").parquet(path)
+    stored = spark.read.schema("doc_id long, lang string, source string, part string").parquet(path)
+    codes = sorted(r[0] for r in stored.select("part").distinct().collect())  # languages are few
+    parts = [stored.filter(F.col("part") == code).select("doc_id", "source", F.col("lang").alias("language")) for code in codes]
     parts[:1] = [p.drop("source") for p in parts[:1]]
-    return unions.union_all([*parts, unions.tagged(rows.filter("lang IS NULL").drop("lang"), "language", None)])
+    return unions.union_all(parts)
 
 
 def blank_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+from .dims import QUESTIONS
+from .functions.replies import REPLY_FIELDS
+
 METADATA = "image_filename string, source_url string, category string, caption string"
 CAPTIONS = "image_path string, caption string, source_url string, status string"
-QA_FIELDS = [
-    "short_q1", "short_a1", "short_q2", "short_a2", "mc_q1", "mc_a1", "mc_opt1_1", "mc_opt1_2", "mc_opt1_3", "mc_opt1_4",
-    "true_false_q", "true_false_a", "long_q", "long_a", "adversarial_question", "adversarial_answer",
-]
+QA_FIELDS = [*REPLY_FIELDS, "adversarial_question", "adversarial_answer"]
 QA = "image_path string, caption string, source_url string, " + ", ".join(f"{f} string" for f in QA_FIELDS) + ", status string"
 SAMPLED = QA + ", state string, primary_language string"
 FINAL = "image_path string, source_url string, " + ", ".join(f"{f} string" for f in QA_FIELDS) + ", language string, `State/UT` string, topic string"
 URLS = "language string, url string"
 PAGES = "image_path string, text string, page_url string"
 OCR_PREDICTIONS = "model string, id string, language string, page_url string, reference_text string, predicted_text string"
-_QUESTIONS = ", ".join(f"{q}: string" for q in ("short_q1", "short_q2", "mcq", "true_false_q", "long_q", "adversarial_question"))
-_ANSWERS = ", ".join(f"{a}: string" for a in ("short_a1", "short_a2", "mcq_a", "true_false_a", "long_a", "adversarial_answer"))
+_QUESTIONS, _ANSWERS = (", ".join(f"{name}: string" for name in names) for names in (QUESTIONS, QUESTIONS.values()))
 VQA_PREDICTIONS = f"model string, id string, language string, `State/UT` string, topic string, source_url string, questions struct<{_QUESTIONS}>, predictions struct<{_ANSWERS}>, references struct<{_ANSWERS}>"
 MMT_PREDICTIONS = "model string, id string, target_language string, source_url string, english_caption string, reference_caption string, predicted_caption string"

@@ -170,9 +170,13 @@ def test_command_line_runs_a_job_and_refuses_unknown_settings(tmp_path, small):
     env = os.environ | {"PYTHONPATH": ROOT}
     settings = {"source": f"{small}/documents.parquet", "reviews": f"{small}/labels.parquet", "output": str(tmp_path / "out"), "buckets": 4}
     (tmp_path / "config.json").write_text(json.dumps(settings))
-    got = subprocess.run([sys.executable, "-m", "jobs.review_corpus", "--config", str(tmp_path / "config.json"), "--set", "buckets=2"], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300)
+    got = subprocess.run([sys.executable, "-m", "jobs.review_corpus", "--config", str(tmp_path / "config.json"), "--buckets", "2"], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300)
     assert got.returncode == 0, got.stderr[-2000:]
-    assert json.loads(got.stdout.splitlines()[-1])["buckets"] == [0, 1] and "it now holds" in got.stderr
+    assert json.loads(got.stdout.splitlines()[-1])["buckets"] == [0, 1] and "it now holds" in got.stderr and "read 200 rows of" in got.stderr
+    settings = ["--source", f"{small}/documents.parquet", "--output", str(tmp_path / "t"), "--checkpoint", str(tmp_path / "c"), "--wait-seconds", "0"]
+    got = subprocess.run([sys.executable, "-m", "jobs.translate_corpus", *settings], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300)
+    assert got.returncode == 0, got.stderr[-2000:]
+    assert json.loads(got.stdout.splitlines()[-1]) == {"batches": 1, "rows": {"translated": 200}} and "read 200 new rows" in got.stderr
     with pytest.raises(ValueError, match="unknown settings"):
         translate_corpus.run(None, {"sauce": 1})
 
