@@ -1,4 +1,4 @@
-"""What several operators of this subpackage need: shared folders and text batches.
+"""What several operators of this subpackage need: tables in the shared folder and text batches.
 
 Text batches are Arrow string columns seen as one byte array with offsets, so
 that words and their hashes come from a few numpy passes, with no Python object
@@ -9,38 +9,23 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 #: Bytes of text that one numpy pass takes together; a longer text goes alone.
 BLOCK_BYTES = 700_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset and Spark is local (tests), a new one that is set here."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        sc = spark.sparkContext
-        known = sc.getCheckpointDir()
-        if not known:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            known = f"file://{tempfile.mkdtemp(prefix='lathework-')}"
-            sc.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: it survives lost executors and cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["_written_to"] = path
     return out
 
