@@ -11,10 +11,11 @@ from ..dims import TRUE_FALSE_SYNONYMS, TRUE_FALSE_WORDS
 from ..functions.images import image_format, image_size, too_large
 from ..functions.normalize import true_false
 from ..operators import reports, reshape, sampling, unions
-from ..providers import sections, stub_seeing
+from ..providers import sections, stub_refusing, stub_seeing
 from ..sources import readers, writers
 from ..sources.scratch import scratch_path
 from ..sources.stores import merged_into
+from ..streaming.resume import translated_fields
 from . import corpus
 from .model_queries import _table
 
@@ -148,6 +149,17 @@ def verified_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.verified_pages(rows.withColumn("html", page))
 
 
+def resumed_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields translated by a store of replies, first those of some rows and then of all: each text is asked once."""
+    store = scratch_path(spark, "replies")
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("note "), (F.col("item_id") % 4).cast("string"))).alias("note"))
+    for part in (rows.filter("item_id % 2 = 0"), rows):
+        told = translated_fields(part, ["text", "note"], stub_refusing, "Hindi", store, attempts=1, commits=2)
+    asked = spark.read.parquet(store)
+    once = asked.agg((F.count("*") == F.count_distinct("prompt_key")).alias("once"))
+    return told.select("item_id", "text", "note", F.concat_ws(",", "failed_fields").alias("failed"), F.concat_ws("; ", "errors").alias("errors")).join(F.broadcast(once))  # one row
+
+
 def large_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of all events, whole rows, by a threshold of their draws."""
     rows = _table(spark, sf_dir, "events")
@@ -168,7 +180,7 @@ def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (ocr_report_of_scored, nested_report, ordered_report, report_file, true_false_words, page_sections, final_corpus, csv_folder_by_name, json_arrays, image_sizes, verified_corpus, large_draw, stored_upsert)
+    for f in (ocr_report_of_scored, nested_report, ordered_report, report_file, true_false_words, page_sections, final_corpus, csv_folder_by_name, json_arrays, image_sizes, verified_corpus, resumed_translation, large_draw, stored_upsert)
 }
 
 _TYPED_SQL = f"""
@@ -212,6 +224,13 @@ ORACLE_SQL: dict[str, str] = {
                doc_id % 5 < 2 AND (1 + doc_id * 7 % 3000 > 1080 OR 1 + doc_id * 13 % 3000 > 1080) AS too_large
         FROM documents""",
     "verified_corpus": "SELECT url AS page_url, 'page ' || page_id || chr(10) || 'two' AS text, 'https://img.example.org/' || page_id || '.jpg' AS image_url, substr(regexp_replace(url, '^https://', ''), 1, 2) AS lang FROM pages WHERE page_id % 3 = 1 AND page_id % 2 = 0",
+    "resumed_translation": """
+        WITH rows AS (SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN ' ' ELSE 'note ' || item_id % 4 END AS note FROM benchmark),
+        told AS (SELECT *, md5('Translate to Hindi: ' || text) AS t, md5('Translate to Hindi: ' || note) AS n, trim(note) <> '' AS asked FROM rows),
+        seen AS (SELECT *, list_filter([CASE WHEN t < '4' THEN 'text' END, CASE WHEN asked AND n < '4' THEN 'note' END], lambda x: x IS NOT NULL) AS f FROM told)
+        SELECT item_id, CASE WHEN t < '4' THEN text ELSE t END AS text, CASE WHEN NOT asked OR n < '4' THEN note ELSE n END AS note,
+               array_to_string(f, ',') AS failed, array_to_string(list_transform(f, lambda x: x || ' - ValueError: refused'), '; ') AS errors, true AS once
+        FROM seen""",
     "large_draw": "SELECT event_id, user_id, event_type, value FROM events ORDER BY md5(event_id || '|9'), event_id LIMIT (SELECT count(*) // 3 FROM events)",
     "stored_upsert": """
         WITH marked AS (SELECT o_custkey AS c_custkey, o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority ELSE ' ' END AS priority FROM orders),

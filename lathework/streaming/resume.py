@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import blank, strip
 from ..operators.projections import quoted
 from ..providers import Provider, answered
 from ..sources.scratch import scratch_path
@@ -26,6 +27,12 @@ def prompt_key(prompt: str, image: str | None = None) -> Column:
     return F.sha2(F.concat(F.col(quoted(prompt)), F.lit("\u001f"), F.coalesce(F.col(quoted(image)), F.lit("")) if image else F.lit("")), 256)
 
 
+def _known(spark: SparkSession, store: str) -> DataFrame | None:
+    """The replies that are there now. By its files, as Spark takes two readings of one folder for the same, of whichever time, where
+    a plan holds both."""
+    return table_if_there(spark, f"{store.rstrip('/')}/part-*", STORE)
+
+
 def replied(rows: DataFrame, make: Callable[[], Provider], prompt: str, store: str, image: str | None = None, attempts: int = 3, wait: float = 0.0, accept: Callable[[str], bool] | None = None, commits: int = COMMITS, retry_failed: bool = False) -> DataFrame:
     """rows with reply and reply_error, as answered() gives them, each distinct prompt asked once over all runs with this store.
 
@@ -38,7 +45,7 @@ def replied(rows: DataFrame, make: Callable[[], Provider], prompt: str, store: s
     keyed = rows.withColumn("_prompt_key", prompt_key(prompt, image))
     shown = F.col(quoted(image)) if image else F.lit(None).cast("string")
     wanted = keyed.filter("_prompt_key IS NOT NULL").groupBy(F.col("_prompt_key").alias("prompt_key")).agg(F.any_value(F.col(quoted(prompt))).alias("prompt"), F.any_value(shown).alias("image"))
-    known = table_if_there(spark, store, STORE)
+    known = _known(spark, store)
     if known is not None:
         done = known.filter("reply_error IS NULL") if retry_failed else known
         wanted = wanted.join(done.select("prompt_key").distinct(), "prompt_key", "left_anti")
@@ -48,10 +55,24 @@ def replied(rows: DataFrame, make: Callable[[], Provider], prompt: str, store: s
     for part in sorted(r[0] for r in todo.select("part").distinct().collect()):
         asked = answered(todo.filter(F.col("part") == part).drop("part"), make, "prompt", image="image", attempts=attempts, wait=wait, accept=accept)
         asked.select("prompt_key", "reply", "reply_error").write.mode("append").parquet(store)
-    known = table_if_there(spark, store, STORE)
+    known = _known(spark, store)
     if known is None:
         return rows.withColumns({"reply": F.lit(None).cast("string"), "reply_error": F.lit(None).cast("string")})
     best = F.min(F.struct(F.col("reply_error").isNotNull().alias("failed"), "reply", "reply_error"))
     replies = known.groupBy(F.col("prompt_key").alias("_reply_key")).agg(best.alias("_reply"))
     out = keyed.join(replies, F.col("_prompt_key") == F.col("_reply_key"), "left")
     return out.withColumns({"reply": F.col("_reply.reply"), "reply_error": F.col("_reply.reply_error")}).drop("_prompt_key", "_reply_key", "_reply")
+
+
+def translated_fields(rows: DataFrame, fields: list[str], make: Callable[[], Provider], language: str, store: str, attempts: int = 3, wait: float = 0.0, commits: int = COMMITS) -> DataFrame:
+    """rows as providers.translated() gives them (fields translated, failed_fields, errors), by a store of replies: a run that
+    was stopped goes on, and a text that several rows or fields have is asked once."""
+    out = rows.withColumns({"failed_fields": F.array().cast("array<string>"), "errors": F.array().cast("array<string>")})
+    for f in fields:
+        value = F.col(quoted(f))
+        asked = out.withColumn("_field_prompt", F.when(~blank(value), F.concat(F.lit(f"Translate to {language}: "), value)))
+        told = replied(asked, make, "_field_prompt", store, attempts=attempts, wait=wait, commits=commits)
+        error, good = F.col("reply_error"), F.col("_field_prompt").isNotNull() & F.col("reply_error").isNull()
+        failed = lambda column, item: F.when(error.isNotNull(), F.array_append(column, item)).otherwise(F.col(column))
+        out = told.withColumns({f: F.when(good, strip(F.col("reply"))).otherwise(value), "failed_fields": failed("failed_fields", F.lit(f)), "errors": failed("errors", F.concat(F.lit(f"{f} - "), error))}).drop("_field_prompt", "reply", "reply_error")
+    return out

@@ -214,3 +214,40 @@ def test_waits_only_after_failed_calls(monkeypatch):
         raise OSError("down")
 
     assert providers.asked_all(down, [("a", None)], wait=2.0) == [(None, "OSError: down")] and waits == [2.0, 2.0]
+
+
+def test_stopped_questions_go_on_where_they_were(spark, tmp_path):
+    from lathework.plans import corpus
+
+    log, stop = str(tmp_path / "log"), str(tmp_path / "stop")
+    open(stop, "w").close()
+    good = json.dumps({"long_question": {"question": "l", "answer": "L"}})
+
+    def make(reply):
+        def build():
+            def model(asked_now):
+                if os.path.exists(stop) and any("p5" in p for p, _ in asked_now):
+                    raise SystemExit("stopped")
+                with open(log, "a") as f:
+                    f.writelines(json.dumps(f"{p}|{image}") + "\n" for p, image in asked_now)
+                return [reply for _ in asked_now]
+
+            return model
+
+        return build
+
+    rows = spark.createDataFrame([(f"r/Goa/food/{i}.jpg", f"caption p{i % 8}", "u", "success") for i in range(8)], "image_path string, caption string, source_url string, status string")
+    work = lambda: corpus.questioned(rows, make(good), make("Adversarial Question: x\nAnswer: y"), store=str(tmp_path / "store"))
+    with pytest.raises(Exception):
+        work()
+    before = asked(log)
+    assert 0 < len(before) < 8
+    os.remove(stop)
+    got = work()
+    assert sorted(r.status for r in got.collect()) == ["success"] * 8
+    every = asked(log)
+    committed = {r.prompt_key for r in spark.read.parquet(str(tmp_path / "store" / "standard")).collect()}
+    assert len(committed) == 8 and len(set(every)) == 16 and len(every) <= 16 + 2  # what a stopped part had not committed is asked again
+    assert got.count() == work().count() == 8 and asked(log) == every
+    captions = lambda: corpus.captioned(spark.createDataFrame([("1.jpg", "u", "food")], "image_filename string, source_url string, category string"), "r", "Goa", lambda df, _: df, make("a meal"), store=str(tmp_path / "captions"))
+    assert captions().first().caption == captions().first().caption == "a meal" and len(asked(log)) == len(every) + 1
