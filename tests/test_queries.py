@@ -56,6 +56,8 @@ def test_rest_works_without_the_llm_folders(tmp_path):
 
     from conftest import ROOT
 
+    from jobs import queries as jobs
+
     copy = tmp_path / "copy"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
     said = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sorted(k for k in e.queries() if k.startswith('op') and k[2].isdigit() or k == 'pipeline'))"
@@ -63,4 +65,5 @@ def test_rest_works_without_the_llm_folders(tmp_path):
         for name in gone:
             (copy / name).unlink()
         got = subprocess.run([sys.executable, "-c", said], cwd=copy, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
-        assert got.stdout.split() == [str(len(queries.QUERIES)), str(len(ORACLE_SQL)), "[]"], got.stderr
+        # the jobs' queries are registered beside the library's
+        assert got.stdout.split() == [str(len(queries.QUERIES) + len(jobs.QUERIES)), str(len(ORACLE_SQL) + len(jobs.ORACLE_SQL)), "[]"], got.stderr
