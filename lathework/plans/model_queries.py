@@ -88,7 +88,7 @@ def mmt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prompt for all pages, each with its own image: a reply for each page."""
     rows = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("Hindi").alias("language"), F.col("url").alias("page_url"), F.col("url").alias("image"), F.col("html").alias("text"))
-    return generate.ocr(rows, "stub-seeing").select("model", "id", "language", "page_url", F.length("reference_text").alias("chars"), "predicted_text")
+    return generate.ocr(rows, "stub-seeing").select("model", "id", "language", "page_url", F.length("reference_text").cast("long").alias("chars"), "predicted_text")
 
 
 def translated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
