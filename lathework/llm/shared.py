@@ -21,10 +21,11 @@ from ..sources.scratch import scratch_path
 BLOCK_BYTES = 700_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: it survives lost executors and cuts the lineage."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, read again: it survives lost executors and cuts the lineage. compression: a Parquet codec
+    in place of the session's, for what the usual one doesn't make smaller."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["_written_to"] = path
     return out

@@ -165,7 +165,7 @@ def encoded(docs: DataFrame, tokenizer: str, mark: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.substring("text", 1, RANGE_CHARS).alias("head"), F.xxhash64("text").alias("key"), "text")
-    return written(rows.mapInArrow(tidy(work), "doc_id long, head string, key long, ids binary"), "simple8b-ids")
+    return written(rows.mapInArrow(tidy(work), "doc_id long, head string, key long, ids binary"), "simple8b-ids", compression="zstd")
 
 
 def id_type(tokenizer: str) -> np.dtype:
@@ -224,7 +224,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, mark: str = "<
         if names:
             yield flush()
 
-    files = written(rows.mapInArrow(tidy(shard), FILES), "simple8b")
+    files = written(rows.mapInArrow(tidy(shard), FILES), "simple8b", compression="zstd")
     discard(packed)
     return files
 
