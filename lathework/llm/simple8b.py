@@ -20,6 +20,7 @@ record at once, word by word, with numpy.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
@@ -168,6 +169,7 @@ def encoded(docs: DataFrame, tokenizer: str, mark: str) -> DataFrame:
     return written(rows.mapInArrow(tidy(work), "doc_id long, head string, key long, ids binary"), "simple8b-ids", compression="zstd")
 
 
+@functools.lru_cache(maxsize=4)
 def id_type(tokenizer: str) -> np.dtype:
     from tokenizers import Tokenizer
 
