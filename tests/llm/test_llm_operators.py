@@ -123,6 +123,25 @@ def test_jaccard_join_alike_beyond_its_bounds(spark, monkeypatch):
     assert Counter(map(tuple, jaccard_join.join(frame(spark, rows), 3, 80).collect())) == want
 
 
+def test_templated_pages_do_not_all_meet(spark, monkeypatch):
+    """Pages of one template with words of their own, too many to link: they share prefix tokens, yet the join makes no square of them."""
+    template = words(900, 94, 100_000)
+    rows = [(i, f"{template} " + " ".join(f"own{i}x{k}" for k in range(9 + i % 2))) for i in range(300)]
+    other = words(901, 94, 100_000)
+    rows += [(1000 + i, f"{other} own{i} more{i}") for i in range(12)]  # these link with each other
+    met, original = [], jaccard_join.candidates
+
+    def counted(entries, percent):
+        wanted, sized = jaccard_join.by_sizes_wanted(entries.filter("outside"), percent), jaccard_join.by_size(entries, percent)
+        met.append((entries.filter("outside").select("token", "class").join(entries.select("token", "n"), "token").count(), wanted.select("token", "range").join(sized.select("token", "range"), ["token", "range"]).count()))
+        return original(entries, percent)
+
+    monkeypatch.setattr(jaccard_join, "candidates", counted)
+    assert Counter(map(tuple, jaccard_join.join(frame(spark, rows), 3, 90).collect())) == brute_components(rows, 3, 90)
+    assert met[0][0] > 300 * 300
+    assert met[0][1] < 10 * len(rows)
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_one_document_of_each_component_stays(spark, monkeypatch, few):
     if not few:
