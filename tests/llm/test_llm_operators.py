@@ -113,10 +113,10 @@ def test_repeated_ids_lose_no_link(spark, parts):
 
 
 def test_jaccard_join_alike_beyond_its_bounds(spark, monkeypatch):
-    """Signatures that collide, hot tokens, key tables too large to broadcast, hubs and a sketch without use."""
+    """Signatures that collide, hot tokens, key tables too large to broadcast, hubs, lists all joined by sizes and a sketch without use."""
     rows = near_groups(1) + repeated_ids()
     want = brute_components(rows, 3, 80)
-    for name, value in (("CLASS_BITS", 3), ("HOT", 2), ("SKETCH_BITS", (4, 4)), ("PARTNERS", 2), ("FAN_IN", 2)):
+    for name, value in (("CLASS_BITS", 3), ("HOT", 2), ("SKETCH_BITS", (4, 4)), ("PARTNERS", 2), ("FAN_IN", 2), ("WHOLE_LIST", 0)):
         monkeypatch.setattr(jaccard_join, name, value)
     monkeypatch.setattr(components, "HUB", 1)
     monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
