@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Rows of a task, about.
+ROWS = 2_000
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over as many tasks as there are cores where it has fewer partitions, as a small file has; else df as it is."""
+
+def spread(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """df dealt evenly over tasks of about so many rows, as many as there are cores at least.
+
+    A file's splits say little of its tasks: a row group is one task's whatever its size, and splits without one are empty. So
+    rows are counted, of files by their footers, and tasks grow in number with the input, not in size.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // rows)))

@@ -213,3 +213,21 @@ def test_unknown_model_is_an_error():
     with pytest.raises(ValueError, match="no model named"):
         providers.maker("nothing")
     assert providers.maker("STUB") is providers.stub
+
+
+def test_spread_makes_more_tasks_of_more_rows(spark, tmp_path):
+    """A file of one row group, which its splits can't cut, as tasks of a bounded number of rows; a part of it over the cores at least."""
+    from lathework.operators.spread import ROWS, spread
+
+    n, cores = 9 * ROWS, spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, 1).selectExpr("id", "md5(string(id)) t").write.parquet(str(tmp_path / "one"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)  # splits without a row group
+    try:
+        dealt = spread(spark.read.parquet(str(tmp_path / "one")))
+        per_task = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(per_task) == n == dealt.select("id").distinct().count() and max(per_task) <= 1.1 * ROWS
+        few = spread(dealt.filter("id < 100"))
+        assert few.rdd.getNumPartitions() == cores and few.count() == 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
