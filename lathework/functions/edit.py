@@ -21,8 +21,8 @@ def _percent(distance: Column, a: Column, b: Column) -> Column:
 #: Distances that are tried one after the other on texts of over TIMES as many characters: a try costs the text's length times
 #: itself, the whole table the square of the length.
 THRESHOLDS, TIMES = (64, 256, 1024), 6
-#: Groups that a pair's distinct tokens are looked up in, by hash.
-GROUPS = 64
+#: Groups that a pair's distinct tokens are looked up in, by hash, where there are more than FEW of these; else one.
+GROUPS, FEW = 64, 512
 
 
 #: Cells of a column that bit_parallel() steps at a time, as the bits of one number.
@@ -101,9 +101,13 @@ def _group(token: Column) -> Column:
 
 
 def vocabulary_of(ref: Column, hyp: Column) -> Column:
-    """The distinct tokens of both, by group."""
-    every = F.array_distinct(F.concat(ref, hyp))
-    return F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(every, lambda t: _group(t) == g))
+    """The distinct tokens of both, by group; in one where they are few, as each group is a pass over them."""
+
+    def grouped(every: Column) -> Column:
+        by_hash = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(every, lambda t: _group(t) == g))
+        return F.when(F.size(every) > FEW, by_hash).otherwise(F.array(every))
+
+    return F.get(F.transform(F.array(F.array_distinct(F.concat(ref, hyp))), grouped), F.lit(0))
 
 
 def token_codes(side: Column, vocabulary: Column) -> Column:
@@ -113,7 +117,8 @@ def token_codes(side: Column, vocabulary: Column) -> Column:
     have some hundred thousand distinct tokens. vocabulary: vocabulary_of(ref, hyp) as a column that is there
     already; as an expression it would be made again for each token. A token is looked up in its group alone.
     """
-    places = F.transform(side, lambda t: (F.array_position(F.get(vocabulary, _group(t)), t) - 1) * GROUPS + _group(t) + 1)
+    by_hash = F.transform(side, lambda t: (F.array_position(F.get(vocabulary, _group(t)), t) - 1) * GROUPS + _group(t) + 1)
+    places = F.when(F.size(vocabulary) == 1, F.transform(side, lambda t: F.array_position(F.get(vocabulary, F.lit(0)), t))).otherwise(by_hash)
     points = F.transform(places, lambda p: F.when(p < 35_000, p + 0x4E00).otherwise(p - 35_000 + 0x10000))
     return F.decode(F.unhex(F.array_join(F.transform(points, lambda p: F.lpad(F.hex(p), 8, "0")), "")), "UTF-32")
 
