@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,11 +17,14 @@ OPTIONS = 4
 REPLY_FIELDS = ("short_q1", "short_a1", "short_q2", "short_a2", "mc_q1", "mc_a1", *(f"mc_opt1_{i + 1}" for i in range(OPTIONS)), "true_false_q", "true_false_a", "long_q", "long_a")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parsed(reply: Column) -> Column:
     """The JSON of a reply, in a fence or not; null where it is none."""
-    text = unfenced(reply)
-    made = F.from_json(text, _SCHEMA)
-    return F.when(F.try_parse_json(text).isNotNull(), made)
+    return _once(_once(reply, unfenced), lambda text: F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, _SCHEMA)))
 
 
 def is_questions(reply: str) -> bool:
@@ -65,7 +69,7 @@ def qa_fields(reply: Column) -> dict[str, Column]:
             out[q], out[a] = field(p[name]["question"]), field(p[name]["answer"])
         return F.struct(*(c.alias(k) for k, c in out.items()))
 
-    made = F.get(F.transform(F.array(parsed(reply)), fields), F.lit(0))
+    made = _once(parsed(reply), fields)
     return {k: made[k] for k in REPLY_FIELDS}
 
 

@@ -264,3 +264,9 @@ def test_word_distance_of_few_and_many_distinct_tokens(spark):
     got = df.select(F.size("v").alias("groups"), edit.token_distance(F.col("r"), F.col("h"), F.col("v")).alias("d")).collect()
     assert [r.d for r in got] == [edit.bit_parallel(a, b) for a, b in sides]
     assert [r.groups for r in got] == [1, 1, edit.GROUPS, 1, 1]
+
+
+def test_a_reply_is_made_once(spark):
+    """Its expression occurs once in a field's, so what makes it isn't run again for each use."""
+    made = replies.qa_fields(F.concat(F.col("v"), F.lit("made-here")))["mc_q1"]
+    assert str(made).count("made-here") == 1
