@@ -32,8 +32,8 @@ from .shared import LOWER, bitmap, discard, few_enough, in_bitmap, mixed, row_bl
 #: The sketch of counts has a bucket for so many bytes of the input, in powers of two between these bits; tasks' sketches
 #: are added up in pieces, so many at a time. It only sets the order of shingles and costs: any sketch gives the same links.
 SKETCH_BYTES, SKETCH_BITS, SKETCH_PIECES, FAN_IN = 128, (16, 24), 16, 32
-#: Bytes of the input for each part of which one is counted: beyond what fills the largest sketch, a task's counts come from a share
-#: of its texts by hash, so that tasks' sketches don't grow to a share of the input.
+#: Bytes of the input that fill the largest sketch. All texts are counted whatever the input; beyond this size a task's sketch, of which
+#: few places are still empty, is packed harder, so that tasks' sketches stay a small share of the input on disk.
 COUNTED_BYTES = 4 * SKETCH_BYTES << SKETCH_BITS[1]
 #: Steps of a count's logarithm in the sketch as it is sent: a byte for each bucket.
 LOG_STEPS = 6
@@ -117,8 +117,8 @@ def _read(batch, column: int):
 
 
 def sketch_bits(docs: DataFrame) -> tuple[int, int]:
-    """Bits of the sketch, and of how many texts one is counted, by the size that the plan knows of its input; a middle number and
-    all where it knows none."""
+    """Bits of the sketch, and how many times over the input fills the largest one, by the size that the plan knows of its input; a middle
+    number and once where it knows none. Neither leaves out a text."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     low, high = SKETCH_BITS
     if size >= 1 << 60:
@@ -126,10 +126,22 @@ def sketch_bits(docs: DataFrame) -> tuple[int, int]:
     return min(high, max(low, (size // SKETCH_BYTES).bit_length())), max(1, size // COUNTED_BYTES)
 
 
+def _packed(counts: np.ndarray, level: int) -> bytes:
+    """Counts in the least width that holds the largest, compressed."""
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), level)
+
+
+def _counts(payload: bytes, n: int) -> np.ndarray:
+    """The n counts that _packed() took; their width follows from the length."""
+    held = zlib.decompress(payload)
+    return np.frombuffer(held, f"u{len(held) // n}").astype(np.int64)
+
+
 def survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(doc_id, key, n, class, spare, profile) of every row as a written table, the sketch of counts of their
-    shingles (of a share of very many rows, scaled up), and the classes that different sets collide in (by chance some at 10^11 sets), whose rows go by `spare`."""
-    (bits, one_of), class_bits = sketch_bits(docs), CLASS_BITS
+    shingles, and the classes that different sets collide in (by chance some at 10^11 sets), whose rows go by `spare`."""
+    (bits, fills), class_bits = sketch_bits(docs), CLASS_BITS
+    level = 1 if fills == 1 else 6
     size = 1 << bits
     piece = size // SKETCH_PIECES
     names = ["doc_id", "key", "n", "class", "spare", "profile", "piece", "salt", "counts"]
@@ -143,14 +155,12 @@ def survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarr
                 n, of, spare = signatures(rows, h, high - low, class_bits)
                 k = high - low
                 profile = profiles(rows, h, k)
-                if one_of > 1:
-                    h = h[(batch.column(1).slice(low, k).to_numpy() % one_of == 0)[rows]]
                 np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
                 seen += len(h)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, k), batch.column(1).slice(low, k), pa.array(n, pa.int64()), pa.array(of), pa.array(spare), profile, pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if seen:
             salt, none = TaskContext.get().partitionId(), pa.nulls(SKETCH_PIECES, pa.int64())
-            packed = [zlib.compress(counts[i * piece : (i + 1) * piece].astype("<u8").tobytes(), 1) for i in range(SKETCH_PIECES)]
+            packed = [_packed(counts[i * piece : (i + 1) * piece], level) for i in range(SKETCH_PIECES)]
             yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(SKETCH_PIECES, small), pa.array(range(SKETCH_PIECES), pa.int32()), pa.array([salt] * SKETCH_PIECES, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     def add(batches):
@@ -158,7 +168,7 @@ def survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarr
         key, held = None, None
         for batch in batches:
             for k, s, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                now = np.frombuffer(zlib.decompress(payload), "<u8")
+                now = _counts(payload, piece)
                 if key == (k, s):
                     held = held + now
                     continue
@@ -169,7 +179,7 @@ def survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarr
             yield _piece(key, held)
 
     def _piece(key, held):
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], names=names[6:])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([_packed(held, level)], pa.binary())], names=names[6:])
 
     both = written(docs.mapInArrow(tidy(look), "doc_id long, key long, n long, class long, spare long, profile array<tinyint>, piece int, salt int, counts binary"), "survey")
     added = both.filter("piece IS NOT NULL").select("piece", "salt", "counts")
@@ -179,8 +189,7 @@ def survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarr
         added = added.withColumn("salt", F.expr(f"salt div {FAN_IN}").cast("int")).repartition("piece", "salt").sortWithinPartitions("piece", "salt").mapInArrow(tidy(add), "piece int, salt int, counts binary")
     sketch = np.zeros(size, np.int64)
     for r in added.toLocalIterator():  # of fixed size: a count for each bucket
-        sketch[r[0] * piece : (r[0] + 1) * piece] += np.frombuffer(zlib.decompress(r[2]), "<u8").astype(np.int64)
-    sketch *= one_of
+        sketch[r[0] * piece : (r[0] + 1) * piece] += _counts(r[2], piece)
     rows = both.filter("piece IS NULL").drop("piece", "salt", "counts")
     collided = rows.filter("n > 0").groupBy("class").agg(F.min("spare").alias("a"), F.max("spare").alias("b")).filter("a <> b").select("class")
     return rows, sketch, np.array(sorted(r[0] for r in collided.collect()), np.int64)

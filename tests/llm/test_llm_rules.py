@@ -161,3 +161,14 @@ def test_jaccard_join_is_the_same_with_counts_of_a_share(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "sketch_bits", lambda docs: (16, 5))
     got = jaccard_join.join(frame(spark, rows), words=3, percent=60).collect()
     assert Counter(map(tuple, got)) == brute_components(rows, 3, 60)
+
+
+def test_sketch_counts_the_shingles_of_all_texts_whatever_the_size(spark, monkeypatch):
+    from lathework.llm import jaccard_join
+
+    rows = [(i, words(i % 40, 60, 3000) + f" tail{i % 7}") for i in range(160)] + [(300, None), (301, "")] + [(400 + i, "the same three words again") for i in range(300)]
+    monkeypatch.setattr(jaccard_join, "COUNTED_BYTES", 100)
+    stored = written(jaccard_join._keyed(frame(spark, rows)).repartition(5), "all")
+    assert jaccard_join.sketch_bits(stored)[1] > 1
+    surveyed, sketch, _ = jaccard_join.survey(stored, 3)
+    assert sketch.sum() == surveyed.agg({"n": "sum"}).first()[0] and sketch.max() >= 300
